@@ -11,12 +11,16 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 POINT = "struct<x:double,y:double>"
 RINGS = f"array<array<{POINT}>>"
 BBOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
 GEOMETRY = f"struct<type:string,rings:{RINGS},part:array<int>,hole:array<boolean>,bbox:{BBOX}>"
 
+RING_TYPE = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+RINGS_TYPE = T.ArrayType(RING_TYPE)
+
 # WGS84 ellipsoid
 A = 6378137.0
 FLATTENING = 1 / 298.257223563

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from hydrolens.functions import geo
@@ -100,7 +101,7 @@ def _inside(x: float, y: float, rings: list[np.ndarray]) -> bool:
 # --- predicates ---------------------------------------------------------------------------
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def _self_intersects(rings: pd.Series) -> pd.Series:
     def check(value) -> bool:
         if value is None:
@@ -128,7 +129,7 @@ def self_intersects(geom) -> Column:
     return _self_intersects(g["rings"])
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def _intersects(a: pd.Series, ka: pd.Series, b: pd.Series, kb: pd.Series) -> pd.Series:
     def test(left, kind_left, right, kind_right) -> bool:
         l, r = [_xy(x) for x in left], [_xy(x) for x in right]
@@ -155,7 +156,7 @@ def intersects(a, b) -> Column:
     return _intersects(left["rings"], left["type"], right["rings"], right["type"])
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def _contains_point(x: pd.Series, y: pd.Series, rings: pd.Series) -> pd.Series:
     # consecutive rows usually share one polygon: test each polygon's points in one go
     result = np.zeros(len(x), dtype=bool)
@@ -177,7 +178,7 @@ def contains_point(geom, x, y) -> Column:
 # --- clipping -----------------------------------------------------------------------------
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def _clip_area(rings: pd.Series, hole: pd.Series, box: pd.DataFrame) -> pd.Series:
     def area(rs, hs, b) -> float:
         total = 0.0
@@ -198,7 +199,7 @@ def clip_area_m2(geom, box) -> Column:
     return _clip_area(g["rings"], g["hole"], b)
 
 
-@pandas_udf(geo.RINGS)
+@pandas_udf(geo.RINGS_TYPE)
 def _clip_rings(rings: pd.Series, box: pd.DataFrame) -> pd.Series:
     def clip(rs, b):
         pieces = []
@@ -257,7 +258,7 @@ def _simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
 def simplify(geom, tolerance: float) -> Column:
     """Douglas-Peucker per ring; a ring that would fall below four positions stays as it is."""
 
-    @pandas_udf(geo.RINGS)
+    @pandas_udf(geo.RINGS_TYPE)
     def run(rings: pd.Series) -> pd.Series:
         return rings.map(
             lambda rs: [[{"x": float(x), "y": float(y)} for x, y in _simplified(_closed(_xy(r)), tolerance)] for r in rs]
@@ -473,7 +474,7 @@ def polygonal_parts(df: DataFrame, geom: str = "geometry") -> DataFrame:
 
     good = parts.where(~F.col("__bad")).select(*others, rebuilt(F.col("__ring")))
 
-    @pandas_udf(geo.RINGS)
+    @pandas_udf(geo.RINGS_TYPE)
     def even_odd(rings: pd.Series) -> pd.Series:
         return rings.map(
             lambda rs: [
@@ -501,7 +502,7 @@ def clip_to_boundary(df: DataFrame, boundary: DataFrame, keys: list[str], bucket
         "bx", "by", F.col("ring").alias("frame")
     )
 
-    @pandas_udf(f"array<{geo.POINT}>")
+    @pandas_udf(geo.RING_TYPE)
     def meet(ring: pd.Series, frame: pd.Series) -> pd.Series:
         def one(a, b):
             p = _convex_clip(_xy(a), _xy(b))
