@@ -119,7 +119,7 @@ SELECT c_custkey AS extent_id, CONCAT('E', c_custkey % 40) AS event_id,
   16.4513e0 + ((c_custkey * 11) % 190) * 0.001e0 AS ymin,
   95.4052e0 + ((c_custkey * 7) % 240) * 0.001e0 + (c_custkey % 5) * 0.001e0 AS xmax,
   16.4553e0 + ((c_custkey * 11) % 190) * 0.001e0 + (c_custkey % 3) * 0.001e0 AS ymax,
-  CAST(ABS(CAST(c_acctbal AS INT)) % 900 AS DOUBLE) / 10e0 AS area_km2,
+  CAST(CAST(FLOOR(ABS(c_acctbal)) AS INT) % 900 AS DOUBLE) / 10e0 AS area_km2,
   CAST(c_custkey % 3 = 0 AS BOOLEAN) AS field_validated,
   CASE WHEN c_custkey % 6 = 0 THEN 'possible_flood' ELSE 'flood' END AS classification,
   CAST(1 + c_custkey % 8 AS INT) AS event_count

@@ -41,27 +41,25 @@ def running_totals(
     )
     # one row per (range, key): at most the number of ranges plus the number of keys
     totals = ranged.groupBy(_RANGE, *keys).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__{c}") for c in sums]
+        F.count(F.lit(1)).alias("__rows"), *[F.sum(c).alias(f"__sum_{c}") for c in sums]
     )
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        _RANGE,
-        *keys,
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"),
-        *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}0") for c in sums],
-    )
-    condition = ranged[_RANGE] == offsets[_RANGE]
-    for k in keys:
-        condition = condition & ranged[k].eqNullSafe(offsets[k])
-    joined = ranged.join(offsets, condition).select(
-        *[ranged[c] for c in ranged.columns], "__n0", *[f"__{c}0" for c in sums]
+        F.col(_RANGE).alias("__at"),
+        *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)],
+        F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows_before"),
+        *[F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in sums],
     )
+    condition = F.col(_RANGE) == F.col("__at")
+    for i, k in enumerate(keys):
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__key_{i}"))
+    joined = ranged.join(offsets, condition)
     within = Window.partitionBy(_RANGE, *keys).orderBy(*sorted_by)
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(
         *df.columns,
-        (F.col("__n0") + F.row_number().over(within)).alias(rank),
-        *[(F.col(f"__{c}0") + F.sum(c).over(upto)).alias(f"{c}_running") for c in sums],
+        (F.col("__rows_before") + F.row_number().over(within)).alias(rank),
+        *[(F.col(f"__before_{c}") + F.sum(c).over(upto)).alias(f"{c}_running") for c in sums],
     )
 
 

@@ -297,15 +297,15 @@ def highest_alert(alerts: DataFrame) -> DataFrame:
     )
 
 
-def group_order(column) -> list[Column]:
+def group_keys(column: str) -> list[Column]:
     """Sort keys for mixed group values: numbers first, in numeric order, then text."""
     text = F.col(column).cast("string")
     number = text.try_cast("double")
-    return [number.isNull().asc(), F.coalesce(number, F.lit(0.0)).asc(), text.asc()]
+    return [number.isNull(), F.coalesce(number, F.lit(0.0)), text]
 
 
 def order_groups(df: DataFrame, column: str) -> DataFrame:
-    return df.orderBy(*group_order(column))
+    return df.orderBy(*[k.asc() for k in group_keys(column)])
 
 
 def extreme_cells(cells: DataFrame, products: dict[str, tuple[DataFrame, str]], key: str = "cell_id",

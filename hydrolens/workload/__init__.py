@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("scalars",)
+FAMILIES = ("scalars", "relational", "rain")
 
 
 def load():

@@ -42,3 +42,16 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 def r6(column) -> Column:
     return F.round(column if isinstance(column, Column) else F.col(column), 6)
+
+
+NUDGE = 1.000000000001
+
+
+def nudged(df: DataFrame, **digits: int) -> DataFrame:
+    """Round after a tiny push away from zero, for values that may sit exactly on a rounding tie."""
+    return df.withColumns({c: F.round(F.col(c) * NUDGE, d) for c, d in digits.items()})
+
+
+def near(expression: str, digits: int = 6) -> str:
+    """SQL twin of ``nudged``."""
+    return f"ROUND(({expression}) * {NUDGE!r}e0, {digits})"
