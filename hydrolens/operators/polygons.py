@@ -1,7 +1,8 @@
 """Polygon work that needs loops over vertices: NumPy inside Arrow batches, spread by Spark.
 
-Areas are measured in the cylindrical equal-area plane (see ``functions.geo``); clipping and sweeping run
-in degrees, where grid cells are boxes.
+Vertices cross the Arrow border as flat number arrays, which convert without per-vertex objects. Areas are
+measured in the cylindrical equal-area plane (see ``functions.geo``); clipping and sweeping run in degrees,
+where grid cells are boxes.
 """
 
 from __future__ import annotations
@@ -15,51 +16,86 @@ from pyspark.sql.functions import pandas_udf
 
 from hydrolens.functions import geo
 
-# --- small vertex helpers -----------------------------------------------------------------
+# --- flat vertex arrays -------------------------------------------------------------------
 
+FLAT_TYPE = T.StructType(
+    [
+        T.StructField("xy", T.ArrayType(T.DoubleType())),
+        T.StructField("size", T.ArrayType(T.IntegerType())),
+        T.StructField("start", T.ArrayType(T.IntegerType())),
+    ]
+)
 
-def _xy(ring) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in ring], dtype=float).reshape(-1, 2)
 
+def _flat(rings: Column) -> tuple[Column, Column]:
+    """(x0, y0, x1, y1, ... of all rings; vertices per ring)."""
+    xy = F.flatten(F.transform(F.flatten(rings), lambda p: F.array(p["x"], p["y"])))
+    return xy, F.transform(rings, lambda r: F.size(r))
+
+
+def _rings(flat: Column) -> Column:
+    """Rings from the flat form."""
+
+    def ring(start: Column, size: Column) -> Column:
+        def vertex(j: Column) -> Column:
+            at = (start + j) * 2
+            return F.struct(F.get(flat["xy"], at).alias("x"), F.get(flat["xy"], at + 1).alias("y"))
+
+        return F.transform(F.sequence(F.lit(0), size - 1), vertex)
+
+    return F.zip_with(flat["start"], flat["size"], ring)
 
-def _closed(ring: np.ndarray) -> np.ndarray:
-    return ring if len(ring) and np.array_equal(ring[0], ring[-1]) else np.vstack([ring, ring[:1]])
 
+def _split(xy, sizes) -> list[np.ndarray]:
+    points = np.asarray(xy, dtype=float).reshape(-1, 2)
+    return np.split(points, np.cumsum(np.asarray(sizes, dtype=int))[:-1]) if len(sizes) else []
 
-def _equal_area(ring: np.ndarray) -> np.ndarray:
-    s = np.sin(np.radians(ring[:, 1]))
-    q = (1 - geo.E2) * (s / (1 - geo.E2 * s * s) - np.log((1 - geo.ECC * s) / (1 + geo.ECC * s)) / (2 * geo.ECC))
-    return np.column_stack([np.radians(ring[:, 0]) * geo.A, q * geo.A / 2])
 
+def _joined(rings: list[np.ndarray]):
+    sizes = np.array([len(r) for r in rings], dtype="int32")
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype("int32") if len(sizes) else sizes
+    xy = np.concatenate(rings).ravel() if rings else np.empty(0)
+    return xy, sizes, starts
 
-def _ring_area(ring: np.ndarray) -> float:
-    if len(ring) < 3:
-        return 0.0
-    p = ring - ring[0]
-    return abs(float(np.sum(p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]) + p[-1, 0] * p[0, 1] - p[0, 0] * p[-1, 1])) / 2
+
+def _flat_frame(items: list[list[np.ndarray]]) -> pd.DataFrame:
+    rows = [_joined(rings) for rings in items]
+    return pd.DataFrame({"xy": [r[0] for r in rows], "size": [r[1] for r in rows], "start": [r[2] for r in rows]})
+
+
+def _closed(ring: np.ndarray) -> np.ndarray:
+    return ring if len(ring) and (ring[0] == ring[-1]).all() else np.vstack([ring, ring[:1]])
 
 
 def _clip_ring(ring: np.ndarray, box) -> np.ndarray:
     """Part of a ring inside a box, one half-plane at a time; bridges left by concave rings have no area."""
+    points = ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
     xmin, ymin, xmax, ymax = box
-    points = ring[:-1] if len(ring) > 1 and np.array_equal(ring[0], ring[-1]) else ring
     for axis, limit, sign in ((0, xmin, 1), (0, xmax, -1), (1, ymin, 1), (1, ymax, -1)):
         if len(points) == 0:
             break
-        signed = sign * (points[:, axis] - limit)
-        following, after = np.roll(points, -1, axis=0), np.roll(signed, -1)
-        kept = []
-        for a, b, da, db in zip(points, following, signed, after):
-            if da >= 0:
-                kept.append(a)
-            if (da >= 0) != (db >= 0):
-                cut = a + (b - a) * (da / (da - db))
-                cut[axis] = limit
-                kept.append(cut)
-        points = np.array(kept, dtype=float).reshape(-1, 2)
+        points = _half_plane(points, sign * (points[:, axis] - limit))
     return points
 
 
+def _half_plane(points: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Open ring kept where ``side`` is not negative, with the crossing points added."""
+    inside = side >= 0
+    if inside.all():
+        return points
+    if not inside.any():
+        return points[:0]
+    following, after = np.roll(points, -1, axis=0), np.roll(side, -1)
+    crossing = inside != np.roll(inside, -1)
+    gap = np.where(crossing, side - after, 1.0)
+    both = np.empty((2 * len(points), 2))
+    both[0::2] = points
+    both[1::2] = points + (following - points) * (side / gap)[:, None]
+    keep = np.empty(2 * len(points), dtype=bool)
+    keep[0::2], keep[1::2] = inside, crossing
+    return both[keep]
+
+
 def _segments(ring: np.ndarray) -> np.ndarray:
     r = _closed(ring)
     s = np.hstack([r[:-1], r[1:]])
@@ -101,149 +137,116 @@ def _inside(x: float, y: float, rings: list[np.ndarray]) -> bool:
 # --- predicates ---------------------------------------------------------------------------
 
 
-@pandas_udf(T.BooleanType())
-def _self_intersects(rings: pd.Series) -> pd.Series:
-    def check(value) -> bool:
-        if value is None:
-            return False
-        for ring in value:
-            s = _segments(_xy(ring))
-            n = len(s)
-            if n < 4:
-                continue
-            meet = _edges_meet(s, s, proper=True)
-            if meet.any():
-                return True
-            # touching of edges that are not neighbours also makes a ring invalid
-            touch = _edges_meet(s, s, proper=False)
-            i, j = np.nonzero(np.triu(touch, 2))
-            if np.any(~((i == 0) & (j == n - 1))):
-                return True
+def _ring_crosses(ring: np.ndarray) -> bool:
+    s = _segments(ring)
+    n = len(s)
+    if n < 4:
         return False
+    if _edges_meet(s, s, proper=True).any():
+        return True
+    # touching of edges that are not neighbours also makes a ring invalid
+    i, j = np.nonzero(np.triu(_edges_meet(s, s, proper=False), 2))
+    return bool(np.any(~((i == 0) & (j == n - 1))))
+
+
+@pandas_udf(T.BooleanType())
+def _self_intersects(xy: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series([p is not None and any(_ring_crosses(r) for r in _split(p, n)) for p, n in zip(xy, sizes)], dtype=bool)
+
 
-    return rings.map(check)
+def _rings_cross(rings: Column) -> Column:
+    return _self_intersects(*_flat(rings))
 
 
 def self_intersects(geom) -> Column:
     g = F.col(geom) if isinstance(geom, str) else geom
-    return _self_intersects(g["rings"])
+    return _rings_cross(g["rings"])
 
 
 @pandas_udf(T.BooleanType())
-def _intersects(a: pd.Series, ka: pd.Series, b: pd.Series, kb: pd.Series) -> pd.Series:
-    def test(left, kind_left, right, kind_right) -> bool:
-        l, r = [_xy(x) for x in left], [_xy(x) for x in right]
-        areal_l, areal_r = kind_left.endswith("Polygon"), kind_right.endswith("Polygon")
-
-        def edges(rings, areal):
-            parts = [_segments(x) if areal else np.hstack([x[:-1], x[1:]]) if len(x) > 1 else np.hstack([x, x]) for x in rings]
-            return np.vstack(parts)
-
-        if _edges_meet(edges(l, areal_l), edges(r, areal_r), proper=False).any():
+def _intersects(a: pd.Series, na: pd.Series, ka: pd.Series, b: pd.Series, nb: pd.Series, kb: pd.Series) -> pd.Series:
+    def edges(rings, areal):
+        return np.vstack([_segments(x) if areal else np.hstack([x[:-1], x[1:]]) if len(x) > 1 else np.hstack([x, x]) for x in rings])
+
+    def test(xy_l, n_l, kind_l, xy_r, n_r, kind_r) -> bool:
+        left, right = _split(xy_l, n_l), _split(xy_r, n_r)
+        areal_l, areal_r = kind_l.endswith("Polygon"), kind_r.endswith("Polygon")
+        if _edges_meet(edges(left, areal_l), edges(right, areal_r), proper=False).any():
             return True
         # no edges meet: one lies within the other, or they are apart
-        if areal_r and any(_inside(*x[0], r) for x in l):
+        if areal_r and any(_inside(*x[0], right) for x in left):
             return True
-        return bool(areal_l and any(_inside(*x[0], l) for x in r))
+        return bool(areal_l and any(_inside(*x[0], left) for x in right))
 
-    return pd.Series([test(*row) for row in zip(a, ka, b, kb)], dtype="boolean")
+    return pd.Series([test(*row) for row in zip(a, na, ka, b, nb, kb)], dtype=bool)
 
 
 def intersects(a, b) -> Column:
     """Exact intersection test of two geometries; put ``geo.bbox_intersects`` before it."""
     left = F.col(a) if isinstance(a, str) else a
     right = F.col(b) if isinstance(b, str) else b
-    return _intersects(left["rings"], left["type"], right["rings"], right["type"])
-
-
-@pandas_udf(T.BooleanType())
-def _contains_point(x: pd.Series, y: pd.Series, rings: pd.Series) -> pd.Series:
-    # consecutive rows usually share one polygon: test each polygon's points in one go
-    result = np.zeros(len(x), dtype=bool)
-    cache: dict[int, list[np.ndarray]] = {}
-    xs, ys = x.to_numpy(), y.to_numpy()
-    for i, value in enumerate(rings):
-        key = id(value)
-        if key not in cache:
-            cache[key] = [_xy(r) for r in value]
-        result[i] = _inside(xs[i], ys[i], cache[key])
-    return pd.Series(result)
-
-
-def contains_point(geom, x, y) -> Column:
-    g = F.col(geom) if isinstance(geom, str) else geom
-    return _contains_point(x, y, g["rings"])
+    return _intersects(*_flat(left["rings"]), left["type"], *_flat(right["rings"]), right["type"])
 
 
 # --- clipping -----------------------------------------------------------------------------
 
 
-@pandas_udf(T.DoubleType())
-def _clip_area(rings: pd.Series, hole: pd.Series, box: pd.DataFrame) -> pd.Series:
-    def area(rs, hs, b) -> float:
-        total = 0.0
-        for ring, is_hole in zip(rs, hs):
-            piece = _clip_ring(_xy(ring), b)
-            if len(piece) >= 3:
-                total += (-1 if is_hole else 1) * _ring_area(_equal_area(piece))
-        return max(0.0, total)
-
-    boxes = box[["xmin", "ymin", "xmax", "ymax"]].to_numpy()
-    return pd.Series([area(r, h, b) for r, h, b in zip(rings, hole, boxes)], dtype=float)
-
+@pandas_udf(FLAT_TYPE)
+def _clip(xy: pd.Series, sizes: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
+    """Every ring cut to the box; a ring outside it becomes an empty ring, so positions are kept."""
 
-def clip_area_m2(geom, box) -> Column:
-    """Area of a polygonal geometry inside a bbox struct."""
-    g = F.col(geom) if isinstance(geom, str) else geom
-    b = F.col(box) if isinstance(box, str) else box
-    return _clip_area(g["rings"], g["hole"], b)
+    def cut(points, n, box):
+        pieces = [_clip_ring(r, box) for r in _split(points, n)]
+        return [_closed(p) if len(p) >= 3 else p[:0] for p in pieces]
 
+    return _flat_frame([cut(p, n, box) for p, n, *box in zip(xy, sizes, x0, y0, x1, y1)])
 
-@pandas_udf(geo.RINGS_TYPE)
-def _clip_rings(rings: pd.Series, box: pd.DataFrame) -> pd.Series:
-    def clip(rs, b):
-        pieces = []
-        for ring in rs:
-            piece = _clip_ring(_xy(ring), b)
-            pieces.append([{"x": float(x), "y": float(y)} for x, y in _closed(piece)] if len(piece) >= 3 else [])
-        return pieces
 
-    boxes = box[["xmin", "ymin", "xmax", "ymax"]].to_numpy()
-    return pd.Series([clip(r, b) for r, b in zip(rings, boxes)])
+def with_clip(df: DataFrame, geom: str, box: str, name: str = "geometry") -> DataFrame:
+    """Add ``name``: the polygonal geometry ``geom`` cut to the bbox struct ``box``, null when nothing remains."""
+    g, b = F.col(geom), F.col(box)
+    flat = _clip(*_flat(g["rings"]), b["xmin"], b["ymin"], b["xmax"], b["ymax"])
+    cut = df.withColumn("__flat", flat)
+    return cut.withColumn(name, _rebuilt(F.col("__flat"), g["type"], g["part"], g["hole"])).drop("__flat")
 
 
-def clip_to_box(geom, box) -> Column:
-    """Polygonal geometry cut to a box; null when nothing remains."""
-    g = F.col(geom) if isinstance(geom, str) else geom
-    b = F.col(box) if isinstance(box, str) else box
-    zipped = F.filter(
-        F.arrays_zip(_clip_rings(g["rings"], b).alias("ring"), g["part"].alias("part"), g["hole"].alias("hole")),
-        lambda z: F.size(z["ring"]) > 0,
+def _rebuilt(flat: Column, kind: Column, part: Column, hole: Column) -> Column:
+    ring_of = F.filter(
+        F.arrays_zip(flat["start"].alias("start"), flat["size"].alias("size"), part.alias("part"), hole.alias("hole")),
+        lambda z: z["size"] > 0,
+    )
+    kept = F.struct(
+        flat["xy"].alias("xy"),
+        F.transform(ring_of, lambda z: z["size"]).alias("size"),
+        F.transform(ring_of, lambda z: z["start"]).alias("start"),
     )
-    rings = F.transform(zipped, lambda z: z["ring"])
     return F.when(
-        F.size(zipped) > 0,
-        geo.geometry(g["type"], rings, F.transform(zipped, lambda z: z["part"]), F.transform(zipped, lambda z: z["hole"])),
+        F.size(ring_of) > 0,
+        geo.geometry(kind, _rings(kept), F.transform(ring_of, lambda z: z["part"]), F.transform(ring_of, lambda z: z["hole"])),
     )
 
 
+def with_clip_area(df: DataFrame, geom: str, box: str, name: str = "overlap_m2") -> DataFrame:
+    """Add the area of ``geom`` inside ``box``."""
+    clipped = with_clip(df, geom, box, "__clipped")
+    return clipped.withColumn(name, F.coalesce(geo.area_m2("__clipped"), F.lit(0.0))).drop("__clipped")
+
+
 # --- simplification -----------------------------------------------------------------------
 
 
 def _simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
     n = len(ring)
     keep = np.zeros(n, dtype=bool)
-    keep[[0, n - 1]] = True
     # a closed ring is anchored at its first vertex and the vertex farthest from it
     far = int(np.argmax(np.hypot(*(ring - ring[0]).T)))
-    keep[far] = True
+    keep[[0, far, n - 1]] = True
     stack = [(0, far), (far, n - 1)]
     while stack:
         i, j = stack.pop()
         if j - i < 2:
             continue
-        a, b = ring[i], ring[j]
-        span = b - a
+        a, span = ring[i], ring[j] - ring[i]
         length = float(np.hypot(*span))
         rel = ring[i + 1 : j] - a
         gap = np.abs(rel[:, 0] * span[1] - rel[:, 1] * span[0]) / length if length else np.hypot(*rel.T)
@@ -255,20 +258,19 @@ def _simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
     return result if len(result) >= 4 else ring
 
 
-def simplify(geom, tolerance: float) -> Column:
+def simplify(df: DataFrame, tolerance: float, geom: str = "geometry") -> DataFrame:
     """Douglas-Peucker per ring; a ring that would fall below four positions stays as it is."""
 
-    @pandas_udf(geo.RINGS_TYPE)
-    def run(rings: pd.Series) -> pd.Series:
-        return rings.map(
-            lambda rs: [[{"x": float(x), "y": float(y)} for x, y in _simplified(_closed(_xy(r)), tolerance)] for r in rs]
-        )
+    @pandas_udf(FLAT_TYPE)
+    def run(xy: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        return _flat_frame([[_simplified(_closed(r), tolerance) for r in _split(p, n)] for p, n in zip(xy, sizes)])
 
-    g = F.col(geom) if isinstance(geom, str) else geom
-    return geo.geometry(g["type"], run(g["rings"]), g["part"], g["hole"])
+    g = F.col(geom)
+    thinned = df.withColumn("__flat", run(*_flat(g["rings"])))
+    return thinned.withColumn(geom, geo.geometry(g["type"], _rings(F.col("__flat")), g["part"], g["hole"])).drop("__flat")
 
 
-# --- union area ---------------------------------------------------------------------------
+# --- union --------------------------------------------------------------------------------
 
 
 def _cuts(edges: np.ndarray) -> np.ndarray:
@@ -280,20 +282,43 @@ def _cuts(edges: np.ndarray) -> np.ndarray:
         s = rest[:, 2:] - rest[:, :2]
         w = rest[:, :2] - a[:2]
         den = r[0] * s[:, 1] - r[1] * s[:, 0]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (w[:, 0] * s[:, 1] - w[:, 1] * s[:, 0]) / den
-            u = (w[:, 0] * r[1] - w[:, 1] * r[0]) / den
-        hit = (den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        apart = den == 0
+        if apart.all():
+            continue
+        safe = np.where(apart, 1.0, den)
+        t = (w[:, 0] * s[:, 1] - w[:, 1] * s[:, 0]) / safe
+        u = (w[:, 0] * r[1] - w[:, 1] * r[0]) / safe
+        hit = ~apart & (t > 0) & (t < 1) & (u > 0) & (u < 1)
         xs.append(a[0] + t[hit] * r[0])
     return np.unique(np.concatenate(xs))
 
 
+def _convex(ring: np.ndarray) -> np.ndarray | None:
+    """The ring counter-clockwise if it is convex, else None."""
+    p = ring[:-1]
+    if len(p) < 3:
+        return None
+    turn = _cross(p, np.roll(p, -1, axis=0), np.roll(p, -2, axis=0))
+    # one turn around, so that a star is not taken for convex
+    x = np.sign(np.roll(p[:, 0], -1) - p[:, 0])
+    x = x[x != 0]
+    if np.count_nonzero(x != np.roll(x, -1)) > 2:
+        return None
+    if (turn >= 0).all():
+        return ring
+    return ring[::-1] if (turn <= 0).all() else None
+
+
 def union_trapezoids(polygons: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Disjoint trapezoids that cover exactly the union of polygons (each a list of rings, even-odd).
+    """Disjoint convex pieces that cover exactly the union of polygons (each a list of rings, even-odd).
 
     Vertical slabs are cut wherever edges end or cross; inside a slab the edges are ordered, so a running
-    count per polygon tells which strips are covered.
+    count per polygon tells which strips are covered. A single convex ring is its own piece.
     """
+    if len(polygons) == 1 and len(polygons[0]) == 1:
+        whole = _convex(_closed(polygons[0][0]))
+        if whole is not None:
+            return [whole]
     edges, owner = [], []
     for index, rings in enumerate(polygons):
         for ring in rings:
@@ -303,11 +328,10 @@ def union_trapezoids(polygons: list[list[np.ndarray]]) -> list[np.ndarray]:
             s[flip] = s[flip][:, [2, 3, 0, 1]]
             edges.append(s)
             owner.append(np.full(len(s), index))
-    if not edges:
-        return []
-    e, own = np.vstack(edges), np.concatenate(owner)
+    e = np.vstack(edges) if edges else np.empty((0, 4))
     if len(e) == 0:
         return []
+    own = np.concatenate(owner)
     slope = (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
     result = []
     cuts = _cuts(e)
@@ -317,10 +341,9 @@ def union_trapezoids(polygons: list[list[np.ndarray]]) -> list[np.ndarray]:
         if len(active) == 0:
             continue
         y_mid = e[active, 1] + (mid - e[active, 0]) * slope[active]
-        order = active[np.argsort(y_mid, kind="stable")]
         inside: set[int] = set()
         start = None
-        for k in order:
+        for k in active[np.argsort(y_mid, kind="stable")]:
             before = bool(inside)
             inside ^= {int(own[k])}
             if not before and inside:
@@ -333,67 +356,39 @@ def union_trapezoids(polygons: list[list[np.ndarray]]) -> list[np.ndarray]:
     return result
 
 
-def _trapezoid_rows(trapezoids: list[np.ndarray], planar: bool) -> pd.DataFrame:
-    measure = (lambda t: t) if planar else _equal_area
-    return pd.DataFrame(
-        {
-            "ring": [[{"x": float(x), "y": float(y)} for x, y in t] for t in trapezoids],
-            "area_m2": [_ring_area(measure(t)) for t in trapezoids],
-        }
-    )
+@pandas_udf(FLAT_TYPE)
+def _unite(xy: pd.Series, sizes: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    """Convex pieces of the union of a list of polygons; ``counts`` holds the rings per polygon."""
 
+    def one(points, n, c):
+        rings, polygons, at = _split(points, n), [], 0
+        for k in c:
+            polygons.append(rings[at : at + k])
+            at += k
+        return union_trapezoids(polygons)
 
-def dissolve(df: DataFrame, keys: list[str], bucket: float = 0.01, chunk: int = 500, planar: bool = False,
-             origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """Union of polygons per key as disjoint convex pieces: (keys, bx, by, ring, area_m2).
+    return _flat_frame([one(*row) for row in zip(xy, sizes, counts)])
 
-    Work is split by grid bucket: every polygon is cut to the buckets it meets, exact copies are dropped, and
-    a bucket that some piece fills is taken as a whole, without its other pieces. What is left of a bucket
-    is united in chunks and then across chunks, so a crowded bucket is shared by many tasks first.
-    ``planar`` measures in the units of the coordinates (projected metres) instead of on the ellipsoid.
-    """
-    pieces = bucket_pieces(df, keys, bucket, planar, origin)
-    group = [*keys, "bx", "by"]
-    full = F.abs(F.col("piece_m2") - F.col("bucket_m2")) <= F.col("bucket_m2") * 1e-9
-    filled = pieces.where(full).select(*group).distinct()
-    corners = _bucket_box(bucket, origin)
-    whole = filled.select(
-        *group, geo.box_ring(*corners).alias("ring"), _box_measure(corners, planar).alias("area_m2")
-    )
-    open_pieces = pieces.join(filled, group, "left_anti").dropDuplicates([*group, "digest"])
-    sizes = open_pieces.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("__n") / chunk)).cast("int")
-    chunked = open_pieces.join(sizes, group).withColumn(
-        "chunk", F.when(F.col("__n") <= chunk, F.lit(0)).otherwise(part)
-    )
-    types = dict(chunked.dtypes)
-    schema = ", ".join([f"{g} {types[g]}" for g in group] + [f"ring array<{geo.POINT}>", "area_m2 double"])
-
-    def unite(many_rings: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            polygons = (
-                [[_xy(r) for r in rings] for rings in pdf["rings"]] if many_rings else [[_xy(r)] for r in pdf["ring"]]
-            )
-            out = _trapezoid_rows(union_trapezoids(polygons), planar)
-            for name in reversed(group):
-                out.insert(0, name, pdf[name].iloc[0])
-            return out
-
-        return run
-
-    first = chunked.groupBy(*group, "chunk").applyInPandas(unite(True), schema)
-    crowded_keys = sizes.where(F.col("__n") > chunk).select(*group)
-    single = first.join(crowded_keys, group, "left_anti")
-    crowded = first.join(crowded_keys, group, "left_semi").groupBy(*group).applyInPandas(unite(False), schema)
-    columns = [*group, "ring", "area_m2"]
-    return single.select(*columns).unionByName(crowded.select(*columns)).unionByName(whole.select(*columns))
-
-
-def _bucket_box(size: float, origin: tuple[float, float]):
+
+def _united(df: DataFrame, group: list[str]) -> DataFrame:
+    """(group, ring) of the convex pieces of each group's union; ``rings`` holds one polygon per row."""
+    gathered = df.groupBy(*group).agg(F.collect_list("rings").alias("__polygons"))
+    every = F.flatten("__polygons")
+    flat = _unite(*_flat(every), F.transform("__polygons", lambda p: F.size(p)))
+    return gathered.select(*group, flat.alias("__flat")).select(*group, F.explode(_rings(F.col("__flat"))).alias("ring"))
+
+
+def _shape(ring) -> Column:
+    return geo.geometry(F.lit("Polygon"), F.array(ring), F.array(F.lit(0)), F.array(F.lit(False)))
+
+
+def _measure(geom: Column, planar: bool) -> Column:
+    return geo.planar_area(geom) if planar else geo.area_m2(geom)
+
+
+def _bucket_box(size: float, origin: tuple[float, float], x: str = "bx", y: str = "by"):
     ox, oy = origin
-    return (
-        F.col("bx") * size + ox, F.col("by") * size + oy, (F.col("bx") + 1) * size + ox, (F.col("by") + 1) * size + oy
-    )
+    return F.col(x) * size + ox, F.col(y) * size + oy, (F.col(x) + 1) * size + ox, (F.col(y) + 1) * size + oy
 
 
 def _box_measure(corners, planar: bool) -> Column:
@@ -401,42 +396,71 @@ def _box_measure(corners, planar: bool) -> Column:
     return (x1 - x0) * (y1 - y0) if planar else geo.box_area_m2(x0, y0, x1, y1)
 
 
-def _cut(df: DataFrame, keys: list[str], size: float, origin: tuple[float, float]) -> DataFrame:
+def _cut(df: DataFrame, size: float, origin: tuple[float, float], x: str = "bx", y: str = "by") -> DataFrame:
+    """Geometry cut to every grid bucket it meets. What lies in one bucket passes without Python."""
     b = F.col("geometry.bbox")
 
-    def span(low: str, high: str, start: float) -> Column:
-        return F.sequence(
-            F.floor((b[low] - start) / size).cast("bigint"), F.floor((b[high] - start) / size).cast("bigint")
-        )
+    def first(low: str, start: float) -> Column:
+        return F.floor((b[low] - start) / size).cast("bigint")
 
-    spread = (
-        df.select(*keys, "geometry")
-        .withColumn("bx", F.explode(span("xmin", "xmax", origin[0])))
-        .withColumn("by", F.explode(span("ymin", "ymax", origin[1])))
-    )
-    window = F.struct(*[c.alias(n) for c, n in zip(_bucket_box(size, origin), ("xmin", "ymin", "xmax", "ymax"))])
-    cut = spread.withColumn("__window", window)
-    return cut.withColumn("geometry", clip_to_box(F.col("geometry"), F.col("__window"))).where(
-        F.col("geometry").isNotNull()
-    ).drop("__window")
+    ends = (first("xmin", origin[0]), first("xmax", origin[0]), first("ymin", origin[1]), first("ymax", origin[1]))
+    single = (ends[0] == ends[1]) & (ends[2] == ends[3])
+    inside = df.where(single).withColumn(x, ends[0]).withColumn(y, ends[2])
+    spread = df.where(~single).withColumn(x, F.explode(F.sequence(ends[0], ends[1]))).withColumn(y, F.explode(F.sequence(ends[2], ends[3])))
+    window = F.struct(*[c.alias(n) for c, n in zip(_bucket_box(size, origin, x, y), ("xmin", "ymin", "xmax", "ymax"))])
+    cut = with_clip(spread.withColumn("__window", window), "geometry", "__window").drop("__window")
+    return inside.unionByName(cut.where(F.col("geometry").isNotNull()))
 
 
 def bucket_pieces(df: DataFrame, keys: list[str], bucket: float, planar: bool = False,
                   origin: tuple[float, float] = (0.0, 0.0), fanout: int = 16) -> DataFrame:
-    """Every polygon cut to each grid bucket it meets.
+    """Every polygon cut to each grid bucket it meets: (keys, bx, by, rings, digest, filled).
 
     Large outlines are cut to coarse buckets first, so a long ring is not copied to each of its fine buckets.
+    ``filled`` tells that a piece covers its whole bucket.
+    """
+    coarse = _cut(df.select(*keys, "geometry"), bucket * fanout, origin, "__cx", "__cy").drop("__cx", "__cy")
+    fine = _cut(coarse, bucket, origin)
+    full = _box_measure(_bucket_box(bucket, origin), planar)
+    measured = fine.withColumn("__m", _measure(F.col("geometry"), planar)).where(F.col("__m") > 0)
+    return measured.select(
+        *keys, "bx", "by", F.col("geometry.rings").alias("rings"), F.xxhash64(F.col("geometry.rings")).alias("digest"),
+        (F.abs(F.col("__m") - full) <= full * 1e-9).alias("filled"),
+    )
+
+
+def dissolve(df: DataFrame, keys: list[str], bucket: float = 0.01, crowd: int = 500, planar: bool = False,
+             origin: tuple[float, float] = (0.0, 0.0), split: int = 16) -> DataFrame:
+    """Union of polygons per key as disjoint convex pieces: (keys, bx, by, ring, area_m2).
+
+    Work is split by grid bucket: every polygon is cut to the buckets it meets, exact copies are dropped, and a
+    bucket that some piece fills is taken as a whole, without its other pieces. Buckets that still hold more
+    than ``crowd`` pieces are split into ``split`` x ``split`` smaller ones and treated the same way, so a
+    crowded place is shared by many tasks. ``planar`` measures in the units of the coordinates.
     """
-    coarse = _cut(df, keys, bucket * fanout, origin).drop("bx", "by")
-    fine = _cut(coarse, keys, bucket, origin)
-    area = geo.planar_area(F.col("geometry")) if planar else geo.area_m2(F.col("geometry"))
-    return fine.select(
-        *keys, "bx", "by",
-        F.col("geometry.rings").alias("rings"),
-        F.xxhash64(F.col("geometry.rings")).alias("digest"),
-        area.alias("piece_m2"),
-        _box_measure(_bucket_box(bucket, origin), planar).alias("bucket_m2"),
-    ).where(F.col("piece_m2") > 0)
+    group = [*keys, "bx", "by"]
+    rows = bucket_pieces(df, keys, bucket, planar, origin).dropDuplicates([*group, "digest"])
+    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.bool_or("filled").alias("__full"))
+    whole = counts.where("__full").select(*group, geo.box_ring(*_bucket_box(bucket, origin)).alias("ring"))
+    open_rows = rows.join(counts.where(~F.col("__full")).select(*group, "__n"), group)
+    calm = _united(open_rows.where(F.col("__n") <= crowd), group)
+    # crowded buckets once more, on a finer grid inside the same bucket
+    fine = bucket / split
+    inner = [*group, "__sx", "__sy"]
+    shaped = open_rows.where(F.col("__n") > crowd).select(
+        *group, geo.geometry(F.lit("Polygon"), F.col("rings"), F.transform("rings", lambda _: F.lit(0)), F.transform("rings", lambda _, i: i > 0)).alias("geometry")
+    )
+    pieces = _cut(shaped, fine, origin, "__sx", "__sy").withColumn("__m", _measure(F.col("geometry"), planar)).where(F.col("__m") > 0)
+    small = _box_measure(_bucket_box(fine, origin, "__sx", "__sy"), planar)
+    marked = pieces.select(
+        *inner, F.col("geometry.rings").alias("rings"), F.xxhash64(F.col("geometry.rings")).alias("digest"),
+        (F.abs(F.col("__m") - small) <= small * 1e-9).alias("filled"),
+    ).dropDuplicates([*inner, "digest"])
+    filled = marked.where("filled").select(*inner).distinct()
+    fine_whole = filled.select(*group, geo.box_ring(*_bucket_box(fine, origin, "__sx", "__sy")).alias("ring"))
+    fine_open = _united(marked.join(filled, inner, "left_anti"), inner).select(*group, "ring")
+    result = whole.unionByName(calm).unionByName(fine_whole).unionByName(fine_open)
+    return result.withColumn("area_m2", _measure(_shape(F.col("ring")), planar)).where(F.col("area_m2") > 0)
 
 
 def union_area(df: DataFrame, keys: list[str], bucket: float = 0.01) -> DataFrame:
@@ -447,15 +471,13 @@ def union_area(df: DataFrame, keys: list[str], bucket: float = 0.01) -> DataFram
 def polygonal_parts(df: DataFrame, geom: str = "geometry") -> DataFrame:
     """One row per polygon with positive area: parts split, rings closed, self-crossing rings repaired.
 
-    A crossing ring is rebuilt from the even-odd trapezoids it encloses, each of which is a polygon.
+    A crossing ring is rebuilt from the even-odd convex pieces it encloses, each of which is a polygon.
     """
     g = F.col(geom)
     others = [c for c in df.columns if c != geom]
     closed = F.transform(
         g["rings"],
-        lambda r: F.when(
-            (F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)), r
-        ).otherwise(F.concat(r, F.array(F.get(r, F.lit(0))))),
+        lambda r: F.when(F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1), r).otherwise(F.concat(r, F.array(F.get(r, F.lit(0))))),
     )
     zipped = F.arrays_zip(closed.alias("ring"), g["part"].alias("part"), g["hole"].alias("hole"))
     parts = (
@@ -463,27 +485,18 @@ def polygonal_parts(df: DataFrame, geom: str = "geometry") -> DataFrame:
         .withColumn("__part", F.explode(F.array_distinct(g["part"])))
         .withColumn("__rings", F.filter(zipped, lambda z: z["part"] == F.col("__part")))
         .withColumn("__ring", F.transform("__rings", lambda z: z["ring"]))
-        .withColumn("__bad", _self_intersects(F.col("__ring")))
+        .withColumn("__bad", _rings_cross(F.col("__ring")))
     )
 
     def rebuilt(ring: Column) -> Column:
         n = F.size(ring)
-        return geo.geometry(
-            F.lit("Polygon"), ring, F.array_repeat(F.lit(0), n), F.transform(ring, lambda _, i: i > 0)
-        ).alias(geom)
+        return geo.geometry(F.lit("Polygon"), ring, F.array_repeat(F.lit(0), n), F.transform(ring, lambda _, i: i > 0)).alias(geom)
 
     good = parts.where(~F.col("__bad")).select(*others, rebuilt(F.col("__ring")))
-
-    @pandas_udf(geo.RINGS_TYPE)
-    def even_odd(rings: pd.Series) -> pd.Series:
-        return rings.map(
-            lambda rs: [
-                [{"x": float(x), "y": float(y)} for x, y in t] for t in union_trapezoids([[_xy(r) for r in rs]])
-            ]
-        )
-
-    fixed = parts.where("__bad").withColumn("__t", F.explode(even_odd(F.col("__ring")))).select(
-        *others, rebuilt(F.array(F.col("__t")))
+    repaired = _unite(*_flat(F.col("__ring")), F.array(F.size("__ring")))
+    fixed = (
+        parts.where("__bad").withColumn("__flat", repaired).withColumn("__t", F.explode(_rings(F.col("__flat"))))
+        .select(*others, rebuilt(F.array(F.col("__t"))))
     )
     return good.unionByName(fixed).where(geo.area_m2(geom) > 0)
 
@@ -491,49 +504,40 @@ def polygonal_parts(df: DataFrame, geom: str = "geometry") -> DataFrame:
 # --- general clipping to a boundary --------------------------------------------------------
 
 
+def _convex_clip(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Ring cut by a counter-clockwise convex ring."""
+    points = _closed(subject)[:-1]
+    win = _closed(window)[:-1]
+    for a, b in zip(win, np.roll(win, -1, axis=0)):
+        if len(points) == 0:
+            break
+        if (a == b).all():
+            continue
+        points = _half_plane(points, (b[0] - a[0]) * (points[:, 1] - a[1]) - (b[1] - a[1]) * (points[:, 0] - a[0]))
+    return points
+
+
+@pandas_udf(FLAT_TYPE)
+def _meet(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    def one(p, q):
+        piece = _convex_clip(np.asarray(p, dtype=float).reshape(-1, 2), np.asarray(q, dtype=float).reshape(-1, 2))
+        return [_closed(piece)] if len(piece) >= 3 else []
+
+    return _flat_frame([one(p, q) for p, q in zip(a, b)])
+
+
 def clip_to_boundary(df: DataFrame, boundary: DataFrame, keys: list[str], bucket: float = 0.01) -> DataFrame:
     """Pieces of each key's polygons inside the boundary: (keys, bx, by, ring, area_m2).
 
-    Both sides are decomposed by grid bucket into disjoint trapezoids and met bucket by bucket, so the
+    Both sides are decomposed by grid bucket into disjoint convex pieces and met bucket by bucket, so the
     boundary is never shipped whole to every task.
     """
     mine = dissolve(df, keys, bucket)
-    frame = dissolve(boundary.select(F.lit(1).alias("__b"), "geometry"), ["__b"], bucket).select(
-        "bx", "by", F.col("ring").alias("frame")
-    )
+    frame = dissolve(boundary.select(F.lit(1).alias("__b"), "geometry"), ["__b"], bucket).select("bx", "by", F.col("ring").alias("frame"))
 
-    @pandas_udf(geo.RING_TYPE)
-    def meet(ring: pd.Series, frame: pd.Series) -> pd.Series:
-        def one(a, b):
-            p = _convex_clip(_xy(a), _xy(b))
-            return [{"x": float(x), "y": float(y)} for x, y in _closed(p)] if len(p) >= 3 else []
+    def flat(ring: str) -> Column:
+        return _flat(F.array(ring))[0]
 
-        return pd.Series([one(a, b) for a, b in zip(ring, frame)])
-
-    def area(ring: Column) -> Column:
-        return geo.area_m2(geo.geometry(F.lit("Polygon"), F.array(ring), F.array(F.lit(0)), F.array(F.lit(False))))
-
-    met = mine.join(frame, ["bx", "by"]).select(*keys, "bx", "by", meet("ring", "frame").alias("ring"))
-    return met.where(F.size("ring") > 0).withColumn("area_m2", area(F.col("ring"))).where(F.col("area_m2") > 0)
-
-
-def _convex_clip(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Ring cut by a convex ring."""
-    win = _closed(window)[:-1]
-    area = np.sum(win[:, 0] * np.roll(win[:, 1], -1) - np.roll(win[:, 0], -1) * win[:, 1])
-    if area < 0:
-        win = win[::-1]
-    points = _closed(subject)[:-1]
-    for a, b in zip(win, np.roll(win, -1, axis=0)):
-        if len(points) == 0 or np.array_equal(a, b):
-            continue
-        side = (b[0] - a[0]) * (points[:, 1] - a[1]) - (b[1] - a[1]) * (points[:, 0] - a[0])
-        following, after = np.roll(points, -1, axis=0), np.roll(side, -1)
-        kept = []
-        for p, q, dp, dq in zip(points, following, side, after):
-            if dp >= 0:
-                kept.append(p)
-            if (dp >= 0) != (dq >= 0):
-                kept.append(p + (q - p) * (dp / (dp - dq)))
-        points = np.array(kept, dtype=float).reshape(-1, 2)
-    return points
+    met = mine.join(frame, ["bx", "by"]).withColumn("__flat", _meet(flat("ring"), flat("frame")))
+    pieces = met.where(F.size("__flat.size") > 0).select(*keys, "bx", "by", F.get(_rings(F.col("__flat")), F.lit(0)).alias("ring"))
+    return pieces.withColumn("area_m2", geo.area_m2(_shape(F.col("ring")))).where(F.col("area_m2") > 0)

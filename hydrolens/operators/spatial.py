@@ -88,9 +88,8 @@ def box_overlaps(cells: DataFrame, extents: DataFrame, key: str = "cell_id", kee
 def polygon_overlaps(cells: DataFrame, extents: DataFrame, key: str = "cell_id", keep: Sequence[str] = (), bucket_deg: float = 0.02) -> DataFrame:
     """As ``box_overlaps`` for polygonal extents: the part of each polygon inside the cell box."""
     other = extents.select("geometry", F.col("geometry.bbox").alias("right_bbox"), *keep)
-    return bbox_join(cells.select(key, "bbox"), other, "bbox", "right_bbox", bucket_deg).select(
-        key, *keep, polygons.clip_area_m2("geometry", "bbox").alias("overlap_m2")
-    )
+    pairs = bbox_join(cells.select(key, "bbox"), other, "bbox", "right_bbox", bucket_deg)
+    return polygons.with_clip_area(pairs, "geometry", "bbox").select(key, *keep, "overlap_m2")
 
 
 def _cell_area() -> Column:
@@ -283,7 +282,7 @@ def square_grid(boundary: DataFrame, size_m: int = 500, zone: int = 46) -> DataF
     corners = F.array(
         *[geo.from_utm((F.col("bx") + i) * float(size_m), (F.col("by") + j) * float(size_m), zone) for i in (0, 1) for j in (0, 1)]
     )
-    xs, ys = (F.transform(corners, lambda p, a=a: p[a]) for a in ("x", "y"))
+    xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
     centre = geo.from_utm((F.col("bx") + 0.5) * float(size_m), (F.col("by") + 0.5) * float(size_m), zone)
     return cells.select(
         F.col("bx").alias("grid_i"),

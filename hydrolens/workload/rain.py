@@ -19,7 +19,7 @@ def a14(v):
 
 
 @query("w8_weighted_percentile", "v_rain_samples", sql="""
-SELECT month, MIN(precipitation_mm) FILTER (WHERE cum >= total * 0.9e0) AS p90 FROM (
+SELECT CAST(month AS DATE) AS month, MIN(precipitation_mm) FILTER (WHERE cum >= total * 0.9e0) AS p90 FROM (
   SELECT date_trunc('month', observed_date) AS month, precipitation_mm,
     SUM(weight) OVER (PARTITION BY date_trunc('month', observed_date) ORDER BY precipitation_mm, sample_id ROWS UNBOUNDED PRECEDING) AS cum,
     SUM(weight) OVER (PARTITION BY date_trunc('month', observed_date)) AS total FROM v_rain_samples) GROUP BY month""")
