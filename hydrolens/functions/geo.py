@@ -213,6 +213,12 @@ def planar_area(geom) -> Column:
     return F.aggregate(signed, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def planar_ring_area(ring: Column) -> Column:
+    """Area of one ring in squared coordinate units."""
+    o = F.get(ring, F.lit(0))
+    return F.abs(_ring_sum(ring, lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"]))) / 2
+
+
 def map_vertices(geom, change) -> Column:
     """Geometry with every vertex replaced by ``change(x, y)``, a struct(x, y) column."""
     g = _col(geom)

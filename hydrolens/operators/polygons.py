@@ -1,8 +1,9 @@
 """Polygon work that needs loops over vertices: NumPy inside Arrow batches, spread by Spark.
 
-Vertices cross the Arrow border as flat number arrays, which convert without per-vertex objects. Areas are
-measured in the cylindrical equal-area plane (see ``functions.geo``); clipping and sweeping run in degrees,
-where grid cells are boxes.
+Inside this module a polygon is flat: ``xy`` holds x0, y0, x1, y1, ... of all rings and ``size`` the vertices
+per ring. Flat arrays cross the Arrow border without per-vertex objects, and no higher-order expression is
+repeated for them. Areas are measured in the cylindrical equal-area plane (see ``functions.geo``); clipping and
+sweeping run in degrees, where grid cells are boxes.
 """
 
 from __future__ import annotations
@@ -15,35 +16,33 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from hydrolens.functions import geo
-
-# --- flat vertex arrays -------------------------------------------------------------------
-
-FLAT_TYPE = T.StructType(
-    [
-        T.StructField("xy", T.ArrayType(T.DoubleType())),
-        T.StructField("size", T.ArrayType(T.IntegerType())),
-        T.StructField("start", T.ArrayType(T.IntegerType())),
-    ]
+from hydrolens.session import materialize
+
+# --- flat polygons ------------------------------------------------------------------------
+
+_XY = T.ArrayType(T.DoubleType())
+_SIZE = T.ArrayType(T.IntegerType())
+_PIECE = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("bx", T.LongType()), T.StructField("by", T.LongType()), T.StructField("xy", _XY),
+            T.StructField("size", _SIZE), T.StructField("filled", T.BooleanType()),
+        ]
+    )
 )
+_PART = T.ArrayType(T.StructType([T.StructField("xy", _XY), T.StructField("size", _SIZE)]))
+_CONVEX = T.ArrayType(T.StructType([T.StructField("xy", _XY), T.StructField("area", T.DoubleType())]))
 
 
 def _flat(rings: Column) -> tuple[Column, Column]:
-    """(x0, y0, x1, y1, ... of all rings; vertices per ring)."""
     xy = F.flatten(F.transform(F.flatten(rings), lambda p: F.array(p["x"], p["y"])))
     return xy, F.transform(rings, lambda r: F.size(r))
 
 
-def _rings(flat: Column) -> Column:
-    """Rings from the flat form."""
-
-    def ring(start: Column, size: Column) -> Column:
-        def vertex(j: Column) -> Column:
-            at = (start + j) * 2
-            return F.struct(F.get(flat["xy"], at).alias("x"), F.get(flat["xy"], at + 1).alias("y"))
-
-        return F.transform(F.sequence(F.lit(0), size - 1), vertex)
-
-    return F.zip_with(flat["start"], flat["size"], ring)
+def flat_polygons(df: DataFrame, geom: str = "geometry") -> DataFrame:
+    """Replace a geometry column by its flat form."""
+    xy, size = _flat(F.col(geom)["rings"])
+    return df.withColumn("xy", xy).withColumn("size", size).drop(geom)
 
 
 def _split(xy, sizes) -> list[np.ndarray]:
@@ -51,18 +50,6 @@ def _split(xy, sizes) -> list[np.ndarray]:
     return np.split(points, np.cumsum(np.asarray(sizes, dtype=int))[:-1]) if len(sizes) else []
 
 
-def _joined(rings: list[np.ndarray]):
-    sizes = np.array([len(r) for r in rings], dtype="int32")
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype("int32") if len(sizes) else sizes
-    xy = np.concatenate(rings).ravel() if rings else np.empty(0)
-    return xy, sizes, starts
-
-
-def _flat_frame(items: list[list[np.ndarray]]) -> pd.DataFrame:
-    rows = [_joined(rings) for rings in items]
-    return pd.DataFrame({"xy": [r[0] for r in rows], "size": [r[1] for r in rows], "start": [r[2] for r in rows]})
-
-
 def _closed(ring: np.ndarray) -> np.ndarray:
     return ring if len(ring) and (ring[0] == ring[-1]).all() else np.vstack([ring, ring[:1]])
 
@@ -134,6 +121,20 @@ def _inside(x: float, y: float, rings: list[np.ndarray]) -> bool:
     return odd
 
 
+def _equal_area(ring: np.ndarray) -> np.ndarray:
+    s = np.sin(np.radians(ring[:, 1]))
+    q = (1 - geo.E2) * (s / (1 - geo.E2 * s * s) - np.log((1 - geo.ECC * s) / (1 + geo.ECC * s)) / (2 * geo.ECC))
+    return np.column_stack([np.radians(ring[:, 0]) * geo.A, q * geo.A / 2])
+
+
+def _ring_area(ring: np.ndarray, planar: bool) -> float:
+    if len(ring) < 3:
+        return 0.0
+    p = ring if planar else _equal_area(ring)
+    p = p - p[0]
+    return abs(float(np.dot(p[:-1, 0], p[1:, 1]) - np.dot(p[1:, 0], p[:-1, 1]))) / 2
+
+
 # --- predicates ---------------------------------------------------------------------------
 
 
@@ -191,45 +192,23 @@ def intersects(a, b) -> Column:
 # --- clipping -----------------------------------------------------------------------------
 
 
-@pandas_udf(FLAT_TYPE)
-def _clip(xy: pd.Series, sizes: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
-    """Every ring cut to the box; a ring outside it becomes an empty ring, so positions are kept."""
-
-    def cut(points, n, box):
-        pieces = [_clip_ring(r, box) for r in _split(points, n)]
-        return [_closed(p) if len(p) >= 3 else p[:0] for p in pieces]
+@pandas_udf(T.DoubleType())
+def _clip_area(xy: pd.Series, sizes: pd.Series, hole: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+    def area(points, n, holes, box) -> float:
+        total = 0.0
+        for ring, is_hole in zip(_split(points, n), holes):
+            piece = _clip_ring(ring, box)
+            if len(piece) >= 3:
+                total += (-1 if is_hole else 1) * _ring_area(_closed(piece), False)
+        return max(0.0, total)
 
-    return _flat_frame([cut(p, n, box) for p, n, *box in zip(xy, sizes, x0, y0, x1, y1)])
-
-
-def with_clip(df: DataFrame, geom: str, box: str, name: str = "geometry") -> DataFrame:
-    """Add ``name``: the polygonal geometry ``geom`` cut to the bbox struct ``box``, null when nothing remains."""
-    g, b = F.col(geom), F.col(box)
-    flat = _clip(*_flat(g["rings"]), b["xmin"], b["ymin"], b["xmax"], b["ymax"])
-    cut = df.withColumn("__flat", flat)
-    return cut.withColumn(name, _rebuilt(F.col("__flat"), g["type"], g["part"], g["hole"])).drop("__flat")
-
-
-def _rebuilt(flat: Column, kind: Column, part: Column, hole: Column) -> Column:
-    ring_of = F.filter(
-        F.arrays_zip(flat["start"].alias("start"), flat["size"].alias("size"), part.alias("part"), hole.alias("hole")),
-        lambda z: z["size"] > 0,
-    )
-    kept = F.struct(
-        flat["xy"].alias("xy"),
-        F.transform(ring_of, lambda z: z["size"]).alias("size"),
-        F.transform(ring_of, lambda z: z["start"]).alias("start"),
-    )
-    return F.when(
-        F.size(ring_of) > 0,
-        geo.geometry(kind, _rings(kept), F.transform(ring_of, lambda z: z["part"]), F.transform(ring_of, lambda z: z["hole"])),
-    )
+    return pd.Series([area(p, n, h, box) for p, n, h, *box in zip(xy, sizes, hole, x0, y0, x1, y1)], dtype=float)
 
 
 def with_clip_area(df: DataFrame, geom: str, box: str, name: str = "overlap_m2") -> DataFrame:
-    """Add the area of ``geom`` inside ``box``."""
-    clipped = with_clip(df, geom, box, "__clipped")
-    return clipped.withColumn(name, F.coalesce(geo.area_m2("__clipped"), F.lit(0.0))).drop("__clipped")
+    """Add the area of the polygonal geometry ``geom`` inside the bbox struct ``box``."""
+    g, b = F.col(geom), F.col(box)
+    return df.withColumn(name, _clip_area(*_flat(g["rings"]), g["hole"], b["xmin"], b["ymin"], b["xmax"], b["ymax"]))
 
 
 # --- simplification -----------------------------------------------------------------------
@@ -261,13 +240,17 @@ def _simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
 def simplify(df: DataFrame, tolerance: float, geom: str = "geometry") -> DataFrame:
     """Douglas-Peucker per ring; a ring that would fall below four positions stays as it is."""
 
-    @pandas_udf(FLAT_TYPE)
-    def run(xy: pd.Series, sizes: pd.Series) -> pd.DataFrame:
-        return _flat_frame([[_simplified(_closed(r), tolerance) for r in _split(p, n)] for p, n in zip(xy, sizes)])
+    @pandas_udf(geo.RINGS_TYPE)
+    def run(xy: pd.Series, sizes: pd.Series) -> pd.Series:
+        def one(p, n):
+            thin = [_simplified(_closed(r), tolerance) for r in _split(p, n)]
+            return [[{"x": x, "y": y} for x, y in r.tolist()] for r in thin]
+
+        return pd.Series([one(p, n) for p, n in zip(xy, sizes)])
 
     g = F.col(geom)
-    thinned = df.withColumn("__flat", run(*_flat(g["rings"])))
-    return thinned.withColumn(geom, geo.geometry(g["type"], _rings(F.col("__flat")), g["part"], g["hole"])).drop("__flat")
+    thinned = df.withColumn("__rings", run(*_flat(g["rings"])))
+    return thinned.withColumn(geom, geo.geometry(g["type"], F.col("__rings"), g["part"], g["hole"])).drop("__rings")
 
 
 # --- union --------------------------------------------------------------------------------
@@ -356,82 +339,111 @@ def union_trapezoids(polygons: list[list[np.ndarray]]) -> list[np.ndarray]:
     return result
 
 
-@pandas_udf(FLAT_TYPE)
-def _unite(xy: pd.Series, sizes: pd.Series, counts: pd.Series) -> pd.DataFrame:
-    """Convex pieces of the union of a list of polygons; ``counts`` holds the rings per polygon."""
-
-    def one(points, n, c):
-        rings, polygons, at = _split(points, n), [], 0
-        for k in c:
-            polygons.append(rings[at : at + k])
-            at += k
-        return union_trapezoids(polygons)
-
-    return _flat_frame([one(*row) for row in zip(xy, sizes, counts)])
-
-
-def _united(df: DataFrame, group: list[str]) -> DataFrame:
-    """(group, ring) of the convex pieces of each group's union; ``rings`` holds one polygon per row."""
-    gathered = df.groupBy(*group).agg(F.collect_list("rings").alias("__polygons"))
-    every = F.flatten("__polygons")
-    flat = _unite(*_flat(every), F.transform("__polygons", lambda p: F.size(p)))
-    return gathered.select(*group, flat.alias("__flat")).select(*group, F.explode(_rings(F.col("__flat"))).alias("ring"))
-
+def _pieces_udf(size: float, origin: tuple[float, float], planar: bool):
+    ox, oy = origin
 
-def _shape(ring) -> Column:
-    return geo.geometry(F.lit("Polygon"), F.array(ring), F.array(F.lit(0)), F.array(F.lit(False)))
+    def cells(rings: list[np.ndarray]):
+        every = np.concatenate(rings)
+        low, high = every.min(axis=0), every.max(axis=0)
+        for bx in range(int(np.floor((low[0] - ox) / size)), int(np.floor((high[0] - ox) / size)) + 1):
+            left, right = bx * size + ox, (bx + 1) * size + ox
+            # one column first, so that a long ring is not cut once per cell
+            strip = [_clip_ring(r, (left, -np.inf, right, np.inf)) for r in rings]
+            strip = [_closed(r) for r in strip if len(r) >= 3]
+            if not strip:
+                continue
+            ys = np.concatenate(strip)[:, 1]
+            for by in range(int(np.floor((ys.min() - oy) / size)), int(np.floor((ys.max() - oy) / size)) + 1):
+                box = (left, by * size + oy, right, (by + 1) * size + oy)
+                kept = [_clip_ring(r, box) for r in strip]
+                kept = [_closed(r) for r in kept if len(r) >= 3]
+                # ring areas cancel out for holes: the outer ring of a polygon comes first
+                areas = [_ring_area(r, planar) for r in kept]
+                if areas and max(areas) > 0:
+                    whole = (box[2] - box[0]) * (box[3] - box[1]) if planar else _ring_area(_box(box), False)
+                    filled = len(kept) == 1 and abs(areas[0] - whole) <= whole * 1e-9
+                    yield {"bx": bx, "by": by, "xy": np.concatenate(kept).ravel(), "size": [len(r) for r in kept], "filled": filled}
 
+    @pandas_udf(_PIECE)
+    def run(xy: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([list(cells(_split(p, n))) for p, n in zip(xy, sizes)])
 
-def _measure(geom: Column, planar: bool) -> Column:
-    return geo.planar_area(geom) if planar else geo.area_m2(geom)
+    return run
 
 
-def _bucket_box(size: float, origin: tuple[float, float], x: str = "bx", y: str = "by"):
-    ox, oy = origin
-    return F.col(x) * size + ox, F.col(y) * size + oy, (F.col(x) + 1) * size + ox, (F.col(y) + 1) * size + oy
+def _box(box) -> np.ndarray:
+    x0, y0, x1, y1 = box
+    return np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)])
 
 
-def _box_measure(corners, planar: bool) -> Column:
-    x0, y0, x1, y1 = corners
-    return (x1 - x0) * (y1 - y0) if planar else geo.box_area_m2(x0, y0, x1, y1)
+def _cut(df: DataFrame, keys: list[str], size: float, origin: tuple[float, float], planar: bool) -> DataFrame:
+    """(keys, bx, by, xy, size, filled): every flat polygon cut to each grid bucket it meets."""
+    cut = df.withColumn("__p", _pieces_udf(size, origin, planar)("xy", "size"))
+    return cut.select(*keys, F.explode("__p").alias("p")).select(*keys, "p.bx", "p.by", "p.xy", "p.size", "p.filled")
 
 
-def _cut(df: DataFrame, size: float, origin: tuple[float, float], x: str = "bx", y: str = "by") -> DataFrame:
-    """Geometry cut to every grid bucket it meets. What lies in one bucket passes without Python."""
-    b = F.col("geometry.bbox")
+def _largest_span(flat: DataFrame, bucket: float) -> float:
+    """Most buckets that one polygon's box meets."""
 
-    def first(low: str, start: float) -> Column:
-        return F.floor((b[low] - start) / size).cast("bigint")
+    def extent(offset: int) -> Column:
+        axis = F.filter("xy", lambda _, i: i % 2 == offset)
+        return F.ceil((F.array_max(axis) - F.array_min(axis)) / bucket) + 1
 
-    ends = (first("xmin", origin[0]), first("xmax", origin[0]), first("ymin", origin[1]), first("ymax", origin[1]))
-    single = (ends[0] == ends[1]) & (ends[2] == ends[3])
-    inside = df.where(single).withColumn(x, ends[0]).withColumn(y, ends[2])
-    spread = df.where(~single).withColumn(x, F.explode(F.sequence(ends[0], ends[1]))).withColumn(y, F.explode(F.sequence(ends[2], ends[3])))
-    window = F.struct(*[c.alias(n) for c, n in zip(_bucket_box(size, origin, x, y), ("xmin", "ymin", "xmax", "ymax"))])
-    cut = with_clip(spread.withColumn("__window", window), "geometry", "__window").drop("__window")
-    return inside.unionByName(cut.where(F.col("geometry").isNotNull()))
+    return flat.agg(F.max(extent(0) * extent(1))).first()[0] or 0
 
 
 def bucket_pieces(df: DataFrame, keys: list[str], bucket: float, planar: bool = False,
                   origin: tuple[float, float] = (0.0, 0.0), fanout: int = 16) -> DataFrame:
-    """Every polygon cut to each grid bucket it meets: (keys, bx, by, rings, digest, filled).
+    """Every polygon cut to each grid bucket it meets, exact copies dropped.
 
-    Large outlines are cut to coarse buckets first, so a long ring is not copied to each of its fine buckets.
-    ``filled`` tells that a piece covers its whole bucket.
+    When some outline meets very many buckets, all are cut to coarse buckets first and shuffled by them, so
+    that a huge outline becomes many tasks. ``filled`` tells that a piece covers its whole bucket.
     """
-    coarse = _cut(df.select(*keys, "geometry"), bucket * fanout, origin, "__cx", "__cy").drop("__cx", "__cy")
-    fine = _cut(coarse, bucket, origin)
-    full = _box_measure(_bucket_box(bucket, origin), planar)
-    measured = fine.withColumn("__m", _measure(F.col("geometry"), planar)).where(F.col("__m") > 0)
-    return measured.select(
-        *keys, "bx", "by", F.col("geometry.rings").alias("rings"), F.xxhash64(F.col("geometry.rings")).alias("digest"),
-        (F.abs(F.col("__m") - full) <= full * 1e-9).alias("filled"),
+    flat = df if "xy" in df.columns else flat_polygons(df.select(*keys, "geometry"))
+    flat = flat.select(*keys, "xy", "size")
+    if _largest_span(flat, bucket) > 16 * fanout**2:
+        coarse = _cut(flat, keys, bucket * fanout, origin, planar)
+        flat = coarse.repartition(*keys, "bx", "by").select(*keys, "xy", "size")
+    fine = _cut(flat, keys, bucket, origin, planar)
+    return fine.withColumn("digest", F.xxhash64("xy", "size")).dropDuplicates([*keys, "bx", "by", "digest"])
+
+
+def _unite_udf(planar: bool):
+    @pandas_udf(_CONVEX)
+    def run(xy: pd.Series, sizes: pd.Series, counts: pd.Series) -> pd.Series:
+        def one(points, n, c):
+            rings, polygons, at = _split(points, n), [], 0
+            for k in c:
+                polygons.append(rings[at : at + k])
+                at += k
+            pieces = ((t, _ring_area(t, planar)) for t in union_trapezoids(polygons))
+            return [{"xy": t.ravel(), "area": a} for t, a in pieces if a > 0]
+
+        return pd.Series([one(*row) for row in zip(xy, sizes, counts)])
+
+    return run
+
+
+def _united(df: DataFrame, group: list[str], planar: bool) -> DataFrame:
+    """(group, xy, area_m2): convex pieces of each group's union."""
+    gathered = df.groupBy(*group).agg(F.collect_list(F.struct("xy", "size")).alias("__polygons"))
+    p = F.col("__polygons")
+    convex = _unite_udf(planar)(F.flatten(p["xy"]), F.flatten(p["size"]), F.transform(p, lambda s: F.size(s["size"])))
+    return gathered.select(*group, convex.alias("__c")).select(*group, F.explode("__c").alias("c")).select(
+        *group, F.col("c.xy").alias("xy"), F.col("c.area").alias("area_m2")
     )
 
 
+def _whole(df: DataFrame, group: list[str], size: float, origin: tuple[float, float], planar: bool, x: str, y: str) -> DataFrame:
+    x0, y0 = F.col(x) * size + origin[0], F.col(y) * size + origin[1]
+    x1, y1 = (F.col(x) + 1) * size + origin[0], (F.col(y) + 1) * size + origin[1]
+    area = (x1 - x0) * (y1 - y0) if planar else geo.box_area_m2(x0, y0, x1, y1)
+    return df.select(*group, F.array(x0, y0, x1, y0, x1, y1, x0, y1, x0, y0).alias("xy"), area.alias("area_m2"))
+
+
 def dissolve(df: DataFrame, keys: list[str], bucket: float = 0.01, crowd: int = 500, planar: bool = False,
              origin: tuple[float, float] = (0.0, 0.0), split: int = 16) -> DataFrame:
-    """Union of polygons per key as disjoint convex pieces: (keys, bx, by, ring, area_m2).
+    """Union of polygons per key as disjoint convex pieces: (keys, bx, by, xy, area_m2), rings counter-clockwise.
 
     Work is split by grid bucket: every polygon is cut to the buckets it meets, exact copies are dropped, and a
     bucket that some piece fills is taken as a whole, without its other pieces. Buckets that still hold more
@@ -439,28 +451,27 @@ def dissolve(df: DataFrame, keys: list[str], bucket: float = 0.01, crowd: int =
     crowded place is shared by many tasks. ``planar`` measures in the units of the coordinates.
     """
     group = [*keys, "bx", "by"]
-    rows = bucket_pieces(df, keys, bucket, planar, origin).dropDuplicates([*group, "digest"])
+    columns = [*group, "xy", "area_m2"]
+    # the pieces are read several times below, so they are cut once
+    rows = materialize(bucket_pieces(df, keys, bucket, planar, origin))
     counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.bool_or("filled").alias("__full"))
-    whole = counts.where("__full").select(*group, geo.box_ring(*_bucket_box(bucket, origin)).alias("ring"))
-    open_rows = rows.join(counts.where(~F.col("__full")).select(*group, "__n"), group)
-    calm = _united(open_rows.where(F.col("__n") <= crowd), group)
+    whole = _whole(counts.where("__full"), group, bucket, origin, planar, "bx", "by")
+    busy = counts.where(~F.col("__full"))
+    calm = _united(rows.join(busy.where(F.col("__n") <= crowd).select(*group), group), group, planar)
+    result = whole.select(*columns).unionByName(calm.select(*columns))
+    thick = busy.where(F.col("__n") > crowd).select(*group)
+    if not thick.limit(1).collect():
+        return result
     # crowded buckets once more, on a finer grid inside the same bucket
-    fine = bucket / split
-    inner = [*group, "__sx", "__sy"]
-    shaped = open_rows.where(F.col("__n") > crowd).select(
-        *group, geo.geometry(F.lit("Polygon"), F.col("rings"), F.transform("rings", lambda _: F.lit(0)), F.transform("rings", lambda _, i: i > 0)).alias("geometry")
-    )
-    pieces = _cut(shaped, fine, origin, "__sx", "__sy").withColumn("__m", _measure(F.col("geometry"), planar)).where(F.col("__m") > 0)
-    small = _box_measure(_bucket_box(fine, origin, "__sx", "__sy"), planar)
-    marked = pieces.select(
-        *inner, F.col("geometry.rings").alias("rings"), F.xxhash64(F.col("geometry.rings")).alias("digest"),
-        (F.abs(F.col("__m") - small) <= small * 1e-9).alias("filled"),
-    ).dropDuplicates([*inner, "digest"])
-    filled = marked.where("filled").select(*inner).distinct()
-    fine_whole = filled.select(*group, geo.box_ring(*_bucket_box(fine, origin, "__sx", "__sy")).alias("ring"))
-    fine_open = _united(marked.join(filled, inner, "left_anti"), inner).select(*group, "ring")
-    result = whole.unionByName(calm).unionByName(fine_whole).unionByName(fine_open)
-    return result.withColumn("area_m2", _measure(_shape(F.col("ring")), planar)).where(F.col("area_m2") > 0)
+    crowded = rows.join(thick, group).select(*keys, F.col("bx").alias("__gx"), F.col("by").alias("__gy"), "xy", "size")
+    held = [*keys, "__gx", "__gy"]
+    inner = [*held, "bx", "by"]
+    fine = materialize(_cut(crowded.repartition(*held, F.xxhash64("xy")), held, bucket / split, origin, planar).dropDuplicates([*inner, "xy", "size"]))
+    filled = fine.where("filled").select(*inner).distinct()
+    back = [*keys, F.col("__gx").alias("bx"), F.col("__gy").alias("by"), "xy", "area_m2"]
+    fine_whole = _whole(filled, inner, bucket / split, origin, planar, "bx", "by").select(*back)
+    fine_open = _united(fine.join(filled, inner, "left_anti"), inner, planar).select(*back)
+    return result.unionByName(fine_whole).unionByName(fine_open)
 
 
 def union_area(df: DataFrame, keys: list[str], bucket: float = 0.01) -> DataFrame:
@@ -468,37 +479,36 @@ def union_area(df: DataFrame, keys: list[str], bucket: float = 0.01) -> DataFram
     return dissolve(df, keys, bucket).groupBy(*keys).agg(F.sum("area_m2").alias("union_area_m2"))
 
 
+@pandas_udf(_PART)
+def _parts(kind: pd.Series, xy: pd.Series, sizes: pd.Series, part: pd.Series) -> pd.Series:
+    def one(k, points, n, numbers):
+        if k not in ("Polygon", "MultiPolygon"):
+            return []
+        by_part: dict[int, list[np.ndarray]] = {}
+        for ring, number in zip(_split(points, n), numbers):
+            if len(ring) >= 3:
+                by_part.setdefault(int(number), []).append(_closed(ring))
+        result = []
+        for rings in by_part.values():
+            crossing = any(_ring_crosses(r) for r in rings)
+            for p in ([[t] for t in union_trapezoids([rings])] if crossing else [rings]):
+                if _ring_area(p[0], False) > 0:
+                    result.append({"xy": np.concatenate(p).ravel(), "size": [len(r) for r in p]})
+        return result
+
+    return pd.Series([one(*row) for row in zip(kind, xy, sizes, part)])
+
+
 def polygonal_parts(df: DataFrame, geom: str = "geometry") -> DataFrame:
-    """One row per polygon with positive area: parts split, rings closed, self-crossing rings repaired.
+    """One row per polygon with positive area, in flat form: parts split, rings closed, crossing rings repaired.
 
     A crossing ring is rebuilt from the even-odd convex pieces it encloses, each of which is a polygon.
     """
     g = F.col(geom)
     others = [c for c in df.columns if c != geom]
-    closed = F.transform(
-        g["rings"],
-        lambda r: F.when(F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1), r).otherwise(F.concat(r, F.array(F.get(r, F.lit(0))))),
-    )
-    zipped = F.arrays_zip(closed.alias("ring"), g["part"].alias("part"), g["hole"].alias("hole"))
-    parts = (
-        df.where(g["type"].isin("Polygon", "MultiPolygon"))
-        .withColumn("__part", F.explode(F.array_distinct(g["part"])))
-        .withColumn("__rings", F.filter(zipped, lambda z: z["part"] == F.col("__part")))
-        .withColumn("__ring", F.transform("__rings", lambda z: z["ring"]))
-        .withColumn("__bad", _rings_cross(F.col("__ring")))
-    )
-
-    def rebuilt(ring: Column) -> Column:
-        n = F.size(ring)
-        return geo.geometry(F.lit("Polygon"), ring, F.array_repeat(F.lit(0), n), F.transform(ring, lambda _, i: i > 0)).alias(geom)
-
-    good = parts.where(~F.col("__bad")).select(*others, rebuilt(F.col("__ring")))
-    repaired = _unite(*_flat(F.col("__ring")), F.array(F.size("__ring")))
-    fixed = (
-        parts.where("__bad").withColumn("__flat", repaired).withColumn("__t", F.explode(_rings(F.col("__flat"))))
-        .select(*others, rebuilt(F.array(F.col("__t"))))
-    )
-    return good.unionByName(fixed).where(geo.area_m2(geom) > 0)
+    xy, size = _flat(g["rings"])
+    found = df.withColumn("__p", _parts(g["type"], xy, size, g["part"]))
+    return found.select(*others, F.explode("__p").alias("p")).select(*others, "p.xy", "p.size")
 
 
 # --- general clipping to a boundary --------------------------------------------------------
@@ -517,27 +527,26 @@ def _convex_clip(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
     return points
 
 
-@pandas_udf(FLAT_TYPE)
+@pandas_udf(T.StructType([T.StructField("xy", _XY), T.StructField("area", T.DoubleType())]))
 def _meet(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     def one(p, q):
         piece = _convex_clip(np.asarray(p, dtype=float).reshape(-1, 2), np.asarray(q, dtype=float).reshape(-1, 2))
-        return [_closed(piece)] if len(piece) >= 3 else []
+        if len(piece) < 3:
+            return np.empty(0), 0.0
+        ring = _closed(piece)
+        return ring.ravel(), _ring_area(ring, False)
 
-    return _flat_frame([one(p, q) for p, q in zip(a, b)])
+    rows = [one(p, q) for p, q in zip(a, b)]
+    return pd.DataFrame({"xy": [r[0] for r in rows], "area": [r[1] for r in rows]})
 
 
 def clip_to_boundary(df: DataFrame, boundary: DataFrame, keys: list[str], bucket: float = 0.01) -> DataFrame:
-    """Pieces of each key's polygons inside the boundary: (keys, bx, by, ring, area_m2).
+    """Pieces of each key's polygons inside the boundary: (keys, bx, by, xy, area_m2).
 
     Both sides are decomposed by grid bucket into disjoint convex pieces and met bucket by bucket, so the
     boundary is never shipped whole to every task.
     """
     mine = dissolve(df, keys, bucket)
-    frame = dissolve(boundary.select(F.lit(1).alias("__b"), "geometry"), ["__b"], bucket).select("bx", "by", F.col("ring").alias("frame"))
-
-    def flat(ring: str) -> Column:
-        return _flat(F.array(ring))[0]
-
-    met = mine.join(frame, ["bx", "by"]).withColumn("__flat", _meet(flat("ring"), flat("frame")))
-    pieces = met.where(F.size("__flat.size") > 0).select(*keys, "bx", "by", F.get(_rings(F.col("__flat")), F.lit(0)).alias("ring"))
-    return pieces.withColumn("area_m2", geo.area_m2(_shape(F.col("ring")))).where(F.col("area_m2") > 0)
+    frame = dissolve(boundary.select(F.lit(1).alias("__b"), "geometry"), ["__b"], bucket).select("bx", "by", F.col("xy").alias("__frame"))
+    met = mine.join(frame, ["bx", "by"]).withColumn("__m", _meet("xy", "__frame")).where(F.col("__m.area") > 0)
+    return met.select(*keys, "bx", "by", F.col("__m.xy").alias("xy"), F.col("__m.area").alias("area_m2"))

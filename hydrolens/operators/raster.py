@@ -107,12 +107,14 @@ def clip_pixels(pixels: DataFrame, boundary: DataFrame, x: str = "lon", y: str =
     """Pixels whose centre lies inside the boundary, through the boundary's disjoint pieces per grid bucket."""
     pieces = polygons.dissolve(boundary.select(F.lit(1).alias("__b"), "geometry"), ["__b"], bucket_deg)
     homes = pixels.withColumn("bx", F.floor(F.col(x) / bucket_deg).cast("bigint")).withColumn("by", F.floor(F.col(y) / bucket_deg).cast("bigint"))
-    # half-open convex test, so a pixel on a shared side belongs to one piece only
+    # half-open even-odd test, so a pixel on a shared side belongs to one piece only
+    ends = "xy[2 * i] AS x0, xy[2 * i + 1] AS y0, xy[2 * i + 2] AS x1, xy[2 * i + 3] AS y1"
+    ends = ", ".join(f"'{e.split(' AS ')[1]}', {e.split(' AS ')[0]}" for e in ends.split(", "))
     test = (
-        "aggregate(transform(slice(ring, 1, size(ring) - 1), (p, i) -> named_struct('p', p, 'q', ring[i + 1])), 0, (n, s) -> n + "
-        f"if((s.p.y > {y}) != (s.q.y > {y}) AND {x} < s.p.x + ({y} - s.p.y) * (s.q.x - s.p.x) / (s.q.y - s.p.y), 1, 0)) % 2 = 1"
+        f"aggregate(transform(sequence(0, size(xy) div 2 - 2), i -> named_struct({ends})), 0, (n, s) -> n + "
+        f"if((s.y0 > {y}) != (s.y1 > {y}) AND {x} < s.x0 + ({y} - s.y0) * (s.x1 - s.x0) / (s.y1 - s.y0), 1, 0)) % 2 = 1"
     )
-    return homes.join(pieces.select("bx", "by", "ring"), ["bx", "by"]).where(F.expr(test)).select(*pixels.columns)
+    return homes.join(pieces.select("bx", "by", "xy"), ["bx", "by"]).where(F.expr(test)).select(*pixels.columns)
 
 
 # --- neighbourhoods -----------------------------------------------------------------------

@@ -113,9 +113,21 @@ def union_fraction(cells: DataFrame, extents: DataFrame, keys: Sequence[str] = (
     Extents are first dissolved into disjoint pieces, whose overlaps may then be added up.
     """
     pieces = polygons.dissolve(extents, list(keys), bucket_deg)
-    ring = F.array(F.col("ring"))
-    shaped = pieces.select(*keys, geo.geometry(F.lit("Polygon"), ring, F.array(F.lit(0)), F.array(F.lit(False))).alias("geometry"))
-    return flooded_fraction(cells, polygon_overlaps(cells, shaped, key, keys, bucket_deg), key, keys)
+    x, y = _axis("xy", 0), _axis("xy", 1)
+    boxed = pieces.select(
+        *keys, "xy",
+        F.struct(F.array_min(x).alias("xmin"), F.array_min(y).alias("ymin"), F.array_max(x).alias("xmax"), F.array_max(y).alias("ymax")).alias("right_bbox"),
+    )
+    pairs = bbox_join(cells.select(key, "bbox"), boxed, "bbox", "right_bbox", bucket_deg)
+    b = F.col("bbox")
+    area = polygons._clip_area("xy", F.array(F.size("xy") / 2).cast("array<int>"), F.array(F.lit(False)), b["xmin"], b["ymin"], b["xmax"], b["ymax"])
+    overlaps = pairs.withColumn("overlap_m2", area).where(F.col("overlap_m2") > 0)
+    return flooded_fraction(cells, overlaps, key, keys)
+
+
+def _axis(xy: str, offset: int) -> Column:
+    """The x (0) or y (1) values of a flat vertex array."""
+    return F.filter(F.col(xy), lambda _, i: i % 2 == offset)
 
 
 # --- nearest ------------------------------------------------------------------------------
@@ -298,8 +310,12 @@ def grid_weights(boundary: DataFrame, step_deg: float = 0.25, zone: int = 46) ->
     """Model grid points with the share of the boundary inside their footprint; shares add up to one."""
     half = step_deg / 2
     pieces = polygons.dissolve(boundary.select(F.lit(1).alias("__b"), "geometry"), ["__b"], step_deg, origin=(-half, -half))
-    ring = F.array(F.transform("ring", lambda p: geo.to_utm(p["x"], p["y"], zone)))
-    planar = geo.planar_area(geo.geometry(F.lit("Polygon"), ring, F.array(F.lit(0)), F.array(F.lit(False))))
+    vertices = F.transform(
+        F.sequence(F.lit(0), (F.size("xy") / 2).cast("int") - 1),
+        lambda i: geo.to_utm(F.get("xy", i * 2), F.get("xy", i * 2 + 1), zone),
+    )
+    pieces = pieces.select("bx", "by", vertices.alias("ring"))
+    planar = geo.planar_ring_area(F.col("ring"))
     area = pieces.groupBy("bx", "by").agg(F.sum(planar).alias("area_m2"))
     from hydrolens.operators.aggregates import with_share
 
@@ -350,10 +366,14 @@ def segment_lines(lines: DataFrame, boundary: DataFrame, max_m: float = 500.0, k
     frame = polygons.dissolve(
         boundary.select(F.lit(1).alias("__b"), geo.map_vertices("geometry", lambda x, y: geo.to_utm(x, y, zone)).alias("geometry")),
         ["__b"], bucket_m, planar=True,
-    ).select("ring", geo.ring_bounds(F.array("ring")).alias("right_bbox"))
+    )
+    frame = frame.select("xy", F.struct(
+        F.array_min(_axis("xy", 0)).alias("xmin"), F.array_min(_axis("xy", 1)).alias("ymin"),
+        F.array_max(_axis("xy", 0)).alias("xmax"), F.array_max(_axis("xy", 1)).alias("ymax"),
+    ).alias("right_bbox"))
     inside = (
         bbox_join(boxed, frame, "bbox", "right_bbox", bucket_m)
-        .withColumn("t", _convex_interval("e", "ring"))
+        .withColumn("t", _convex_interval("e", "xy"))
         .where(F.col("t.low") < F.col("t.high"))
         .select(key, "shape", (F.col("e.m") + F.col("t.low") * F.col("e.d")).alias("from_m"), (F.col("e.m") + F.col("t.high") * F.col("e.d")).alias("to_m"))
     )
@@ -393,7 +413,8 @@ def segment_lines(lines: DataFrame, boundary: DataFrame, max_m: float = 500.0, k
 
 def _convex_interval(edge: str, ring: str) -> Column:
     """Parameters between which an edge runs inside a counter-clockwise convex ring."""
-    sides = f"transform(slice({ring}, 1, size({ring}) - 1), (p, i) -> named_struct('p', p, 'q', {ring}[i + 1]))"
+    corner = "named_struct('x', {0}[2 * (i + {1})], 'y', {0}[2 * (i + {1}) + 1])".format
+    sides = f"transform(sequence(0, size({ring}) div 2 - 2), i -> named_struct('p', {corner(ring, 0)}, 'q', {corner(ring, 1)}))"
     f0 = f"((s.q.x - s.p.x) * ({edge}.y1 - s.p.y) - (s.q.y - s.p.y) * ({edge}.x1 - s.p.x))"
     f1 = f"((s.q.x - s.p.x) * ({edge}.y2 - s.p.y) - (s.q.y - s.p.y) * ({edge}.x2 - s.p.x))"
     return F.expr(

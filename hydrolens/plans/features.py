@@ -338,7 +338,7 @@ def import_extents(features: DataFrame, boundary: DataFrame | None, group_by: st
     from hydrolens.session import materialize
 
     pieces = materialize(pieces)
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    xs, ys = spatial._axis("xy", 0), spatial._axis("xy", 1)
     measured = pieces.groupBy("group_value").agg(
         (F.sum("area_m2") / 1e6).alias("area_km2"),
         F.struct(F.min(F.array_min(xs)).alias("xmin"), F.min(F.array_min(ys)).alias("ymin"), F.max(F.array_max(xs)).alias("xmax"), F.max(F.array_max(ys)).alias("ymax")).alias("bbox"),

@@ -65,7 +65,7 @@ def main() -> int:
     if args[:1] == ["--sf"]:
         directory, args = args[1], args[2:]
     spark = build_session("compare", **{
-        "spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
+        "spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, failed = connect(directory), oracle_sql(), []
     for name, run in queries().items():
