@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("scalars", "relational", "rain", "spatial", "scoring")
+FAMILIES = ("scalars", "relational", "rain", "spatial", "scoring", "streams")
 
 
 def load():

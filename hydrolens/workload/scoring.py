@@ -388,7 +388,7 @@ def event_rows(v):
     wet = spatial.box_overlaps(cells, spatial.with_box(v.v_extents), keep=["event_id"])
     fractions = spatial.flooded_fraction(cells, wet, keys=["event_id"])
     counts = spatial.historical_count(cells, spatial.with_box(v.v_labels), "demo:gfd:frequency:")
-    return features.event_dataset(cells, fractions, events, index, counts), events
+    return features.event_dataset(cells, fractions, events, index, counts, target_threshold=0.1003), events
 
 
 @query("d11_event_dataset", "v_cells", "v_extents", "v_history", sql=f"""
@@ -396,7 +396,7 @@ WITH e AS (SELECT x.event_id, x.xmin AS ex0, x.ymin AS ey0, x.xmax AS ex1, x.yma
 p AS (SELECT e.event_id, c.cell_id, r7, distance_to_waterway_m, lc_water, lc_wetland, CASE WHEN c.xmin < ex1 AND c.xmax > ex0 AND c.ymin < ey1 AND c.ymax > ey0
   THEN {CLIP.replace('f.xmin', 'ex0').replace('f.ymin', 'ey0').replace('f.xmax', 'ex1').replace('f.ymax', 'ey1')} / {CELL} ELSE 0e0 END AS f FROM e, v_cells c)
 SELECT event_id, COUNT(*) AS cells, {near('SUM(f)', 5)} AS flooded, {near('SUM(r7 / (1e0 + distance_to_waterway_m / 250e0))', 3)} AS rain_x_water,
-  CAST(SUM(CAST(f - LEAST(1e0, {frac('lc_water')} + {frac('lc_wetland')}) >= 0.1e0 AS INT)) AS BIGINT) AS positives FROM p GROUP BY event_id""")
+  CAST(SUM(CAST(f - LEAST(1e0, {frac('lc_water')} + {frac('lc_wetland')}) >= 0.1003e0 AS INT)) AS BIGINT) AS positives FROM p GROUP BY event_id""")
 def d11(v):
     rows, _ = event_rows(v)
     g = rows.groupBy("event_id").agg(
