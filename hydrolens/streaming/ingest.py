@@ -17,8 +17,6 @@ from hydrolens.sources.readings import parse_readings, to_observation
 from hydrolens.sources.tables import _exists
 from hydrolens.session import materialize
 
-DEDUPE_BUCKETS = 256
-
 
 def ingest(messages: DataFrame, subscription: str | None = None) -> tuple[DataFrame, DataFrame]:
     """ST1: (valid readings, rejected messages with their violations) of a batch or stream."""
@@ -93,9 +91,9 @@ def latest_stream(observations: DataFrame) -> DataFrame:
 class IngestJob:
     """Writes observations, alerts, rejects, counters and station state from a stream of messages.
 
-    ``path`` holds ``observations/`` and ``keys/`` by key bucket and batch, ``alerts/``, ``rejects/`` and
-    ``counters/`` by batch, and ``stations/`` by batch. Deduplication against history has no time bound: the
-    keys of a batch are anti-joined with the key table, which is read only in the buckets the batch touches.
+    ``path`` holds ``observations/``, ``alerts/``, ``rejects/``, ``counters/`` and ``seen/`` by batch, and ``keys/``
+    by batch and day. Deduplication against history has no time bound: the keys of a batch are anti-joined with
+    the key table. The day of a reading is part of its identity, so only the days in the batch are read.
     """
 
     def __init__(self, spark: SparkSession, path: str, stations: DataFrame, subscription: str | None = None) -> None:
@@ -112,28 +110,25 @@ class IngestJob:
             return None
         # a replayed batch must not see its own keys
         keys = self.spark.read.parquet(f"{self.path}/keys").where(F.col("batch_id") < batch_id)
-        touched = [r[0] for r in fresh.select("key_bucket").distinct().collect()]  # at most DEDUPE_BUCKETS values
-        return keys.where(F.col("key_bucket").isin(touched))
+        return keys.join(fresh.select("key_day").distinct(), "key_day", "left_semi")
 
     def process(self, messages: DataFrame, batch_id: int) -> None:
         messages = materialize(messages)
         valid, rejected = ingest(messages, self.subscription)
         rejected = materialize(rejected)
-        observed = to_observations(valid, self.stations).withColumn(
-            "key_bucket", F.pmod(F.xxhash64("ingestion_key"), F.lit(DEDUPE_BUCKETS)).cast("int")
-        )
+        observed = to_observations(valid, self.stations).withColumn("key_day", F.to_date("observed_at"))
         fresh = materialize(dedupe_batch(observed))
         known = self._known_keys(fresh, batch_id)
         if known is not None:
-            fresh = materialize(fresh.join(known.select("key_bucket", "ingestion_key"), ["key_bucket", "ingestion_key"], "left_anti"))
+            fresh = materialize(fresh.join(known.select("key_day", "ingestion_key"), ["key_day", "ingestion_key"], "left_anti"))
         unknown = unknown_stations(valid, self.stations)
-        self._write(fresh.drop("raw", "topic_station", "timestamp_text", "key_bucket"), "observations", batch_id)
+        self._write(fresh.drop("raw", "topic_station", "timestamp_text", "key_day"), "observations", batch_id)
         self._write(threshold_alerts(fresh), "alerts", batch_id)
         self._write(rejected.select("raw", "violations"), "rejects", batch_id)
         self._write(ingest_counters(messages, rejected, unknown, fresh), "counters", batch_id)
         self._write(fresh.groupBy("station_id").agg(F.max("observed_at").alias("observed_at")), "seen", batch_id)
         # keys last: a batch counts as stored only when everything before it is
-        self._write(fresh.select("ingestion_key", "key_bucket"), "keys", batch_id, "key_bucket")
+        self._write(fresh.select("ingestion_key", "key_day").repartition("key_day"), "keys", batch_id, "key_day")
 
     def start(self, messages: DataFrame, checkpoint: str, available_now: bool = True):
         """ST1-ST7 as one streaming query."""
