@@ -170,6 +170,8 @@ def _intersects(a: pd.Series, na: pd.Series, ka: pd.Series, b: pd.Series, nb: pd
         return np.vstack([_segments(x) if areal else np.hstack([x[:-1], x[1:]]) if len(x) > 1 else np.hstack([x, x]) for x in rings])
 
     def test(xy_l, n_l, kind_l, xy_r, n_r, kind_r) -> bool:
+        if xy_l is None:
+            return True
         left, right = _split(xy_l, n_l), _split(xy_r, n_r)
         areal_l, areal_r = kind_l.endswith("Polygon"), kind_r.endswith("Polygon")
         if _edges_meet(edges(left, areal_l), edges(right, areal_r), proper=False).any():
@@ -182,11 +184,26 @@ def _intersects(a: pd.Series, na: pd.Series, ka: pd.Series, b: pd.Series, nb: pd
     return pd.Series([test(*row) for row in zip(a, na, ka, b, nb, kb)], dtype=bool)
 
 
+def is_box(geom) -> Column:
+    """A polygon that is its own bounding box."""
+    g = F.col(geom) if isinstance(geom, str) else geom
+    b = g["bbox"]
+    ring = F.get(g["rings"], F.lit(0))
+    corners = F.forall(ring, lambda p: p["x"].isin(b["xmin"], b["xmax"]) & p["y"].isin(b["ymin"], b["ymax"]))
+    return (g["type"] == "Polygon") & (F.size(g["rings"]) == 1) & (F.size(ring) == 5) & corners
+
+
 def intersects(a, b) -> Column:
-    """Exact intersection test of two geometries; put ``geo.bbox_intersects`` before it."""
+    """Exact intersection of two geometries whose boxes meet (test that first, with ``geo.bbox_intersects``).
+
+    Two boxes need no further test, so their vertices are not sent to Python.
+    """
     left = F.col(a) if isinstance(a, str) else a
     right = F.col(b) if isinstance(b, str) else b
-    return _intersects(*_flat(left["rings"]), left["type"], *_flat(right["rings"]), right["type"])
+    open_question = ~(is_box(left) & is_box(right))
+    (xy_l, n_l), (xy_r, n_r) = _flat(left["rings"]), _flat(right["rings"])
+    sent = [F.when(open_question, c) for c in (xy_l, n_l, left["type"], xy_r, n_r, right["type"])]
+    return _intersects(*sent)
 
 
 # --- clipping -----------------------------------------------------------------------------
@@ -389,7 +406,7 @@ def _largest_span(flat: DataFrame, bucket: float) -> float:
         axis = F.filter("xy", lambda _, i: i % 2 == offset)
         return F.ceil((F.array_max(axis) - F.array_min(axis)) / bucket) + 1
 
-    return flat.agg(F.max(extent(0) * extent(1))).first()[0] or 0
+    return flat.where(F.size("size") > 0).agg(F.max(extent(0) * extent(1))).first()[0] or 0
 
 
 def bucket_pieces(df: DataFrame, keys: list[str], bucket: float, planar: bool = False,

@@ -11,6 +11,7 @@ from hydrolens.functions import scalars as S
 from hydrolens.operators import aggregates, joins, polygons, rain as R, raster, spatial, validate
 from hydrolens.operators.ranking import running_totals, with_percentile
 from hydrolens.operators.relational import by_label_source
+from hydrolens.session import materialize
 
 _CELL_NUMBERS = [
     "elevation_mean_m", "elevation_min_m", "elevation_max_m", "elevation_percentile", "distance_to_waterway_m", "local_relief_m",
@@ -330,13 +331,11 @@ def import_extents(features: DataFrame, boundary: DataFrame | None, group_by: st
     """
     usable, rejected = validate.validate(features, validate.group_rules("properties", group_by))
     grouped = usable.withColumn("group_value", F.try_element_at("properties", F.lit(group_by)))
-    parts = polygons.polygonal_parts(grouped.select("group_value", "geometry"))
+    parts = materialize(polygons.polygonal_parts(grouped.select("group_value", "geometry")))
     if boundary is None:
         pieces = polygons.dissolve(parts, ["group_value"], bucket_deg)
     else:
         pieces = polygons.clip_to_boundary(parts, boundary, ["group_value"], bucket_deg)
-    from hydrolens.session import materialize
-
     pieces = materialize(pieces)
     xs, ys = spatial._axis("xy", 0), spatial._axis("xy", 1)
     measured = pieces.groupBy("group_value").agg(
