@@ -39,6 +39,12 @@ def _flat(rings: Column) -> tuple[Column, Column]:
     return xy, F.transform(rings, lambda r: F.size(r))
 
 
+def _exploded(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Rows of an array that a UDF made. The outer form keeps the optimizer from copying the call into an
+    inferred filter on the array's size."""
+    return df.select(*keys, F.explode_outer(column).alias("p")).where(F.col("p").isNotNull())
+
+
 def flat_polygons(df: DataFrame, geom: str = "geometry") -> DataFrame:
     """Replace a geometry column by its flat form."""
     xy, size = _flat(F.col(geom)["rings"])
@@ -396,7 +402,7 @@ def _box(box) -> np.ndarray:
 def _cut(df: DataFrame, keys: list[str], size: float, origin: tuple[float, float], planar: bool) -> DataFrame:
     """(keys, bx, by, xy, size, filled): every flat polygon cut to each grid bucket it meets."""
     cut = df.withColumn("__p", _pieces_udf(size, origin, planar)("xy", "size"))
-    return cut.select(*keys, F.explode("__p").alias("p")).select(*keys, "p.bx", "p.by", "p.xy", "p.size", "p.filled")
+    return _exploded(cut, keys, "__p").select(*keys, "p.bx", "p.by", "p.xy", "p.size", "p.filled")
 
 
 def _largest_span(flat: DataFrame, bucket: float) -> float:
@@ -446,8 +452,8 @@ def _united(df: DataFrame, group: list[str], planar: bool) -> DataFrame:
     gathered = df.groupBy(*group).agg(F.collect_list(F.struct("xy", "size")).alias("__polygons"))
     p = F.col("__polygons")
     convex = _unite_udf(planar)(F.flatten(p["xy"]), F.flatten(p["size"]), F.transform(p, lambda s: F.size(s["size"])))
-    return gathered.select(*group, convex.alias("__c")).select(*group, F.explode("__c").alias("c")).select(
-        *group, F.col("c.xy").alias("xy"), F.col("c.area").alias("area_m2")
+    return _exploded(gathered.select(*group, convex.alias("__c")), group, "__c").select(
+        *group, F.col("p.xy").alias("xy"), F.col("p.area").alias("area_m2")
     )
 
 
@@ -525,7 +531,7 @@ def polygonal_parts(df: DataFrame, geom: str = "geometry") -> DataFrame:
     others = [c for c in df.columns if c != geom]
     xy, size = _flat(g["rings"])
     found = df.withColumn("__p", _parts(g["type"], xy, size, g["part"]))
-    return found.select(*others, F.explode("__p").alias("p")).select(*others, "p.xy", "p.size")
+    return _exploded(found, others, "__p").select(*others, "p.xy", "p.size")
 
 
 # --- general clipping to a boundary --------------------------------------------------------
