@@ -291,18 +291,28 @@ def square_grid(boundary: DataFrame, size_m: int = 500, zone: int = 46) -> DataF
     projected = boundary.select(F.lit(1).alias("__b"), geo.map_vertices("geometry", lambda x, y: geo.to_utm(x, y, zone)).alias("geometry"))
     pieces = polygons.dissolve(projected, ["__b"], float(size_m), planar=True)
     cells = pieces.groupBy("bx", "by").agg(F.sum("area_m2").alias("__m2"))
-    corners = F.array(
-        *[geo.from_utm((F.col("bx") + i) * float(size_m), (F.col("by") + j) * float(size_m), zone) for i in (0, 1) for j in (0, 1)]
+    size = float(size_m)
+    # every projected point is a column of its own, read several times but computed once
+    names = [f"__p{i}{j}" for i in (0, 1) for j in (0, 1)]
+    placed = cells.withColumns(
+        {
+            **{f"__p{i}{j}": geo.from_utm((F.col("bx") + i) * size, (F.col("by") + j) * size, zone) for i in (0, 1) for j in (0, 1)},
+            "__centre": geo.from_utm((F.col("bx") + 0.5) * size, (F.col("by") + 0.5) * size, zone),
+        }
     )
-    xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
-    centre = geo.from_utm((F.col("bx") + 0.5) * float(size_m), (F.col("by") + 0.5) * float(size_m), zone)
-    return cells.select(
+
+    def edge(pick, axis: str) -> Column:
+        return pick(*[F.col(f"{n}.{axis}") for n in names])
+
+    return placed.select(
         F.col("bx").alias("grid_i"),
         F.col("by").alias("grid_j"),
-        (F.col("__m2") / float(size_m) ** 2).alias("coverage_fraction"),
-        F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax")).alias("bbox"),
-        centre["x"].alias("x"),
-        centre["y"].alias("y"),
+        (F.col("__m2") / size**2).alias("coverage_fraction"),
+        F.struct(
+            edge(F.least, "x").alias("xmin"), edge(F.least, "y").alias("ymin"), edge(F.greatest, "x").alias("xmax"), edge(F.greatest, "y").alias("ymax")
+        ).alias("bbox"),
+        F.col("__centre.x").alias("x"),
+        F.col("__centre.y").alias("y"),
     )
 
 
