@@ -25,3 +25,31 @@ def register(name: str, sql: str | None = None):
 def op2(spark, sf_dir):
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_example")
+
+
+@register("op8_bpe_round_trip")
+def op8(spark, sf_dir):
+    import public_tokenizers
+
+    from .tokens import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@register("op9_packing")
+def op9(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op5_toxicity")
+def op5(spark, sf_dir):
+    from .toxicity import held_out, score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(docs, labels.where(~held_out("doc_id")))
+    scored = score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
