@@ -53,3 +53,18 @@ def op5(spark, sf_dir):
     model = train(docs, labels.where(~held_out("doc_id")))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@register("op10_html_text")
+def op10(spark, sf_dir):
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@register("op3_substring_dedup")
+def op3(spark, sf_dir):
+    from .substrings import dedup_substrings
+
+    kept = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

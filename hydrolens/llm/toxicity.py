@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from .common import packed, text_of, unpacked
 
 #: Labelled rows of each class that the model is fitted on.
-SAMPLE = 3000
-BITS, DIM, EPOCHS, RATE, DECAY = 17, 8, 120, 0.05, 2e-5
-GRAMS = (3, 6)
+SAMPLE = 2000
+BITS, DIM, EPOCHS, RARE, SCALE = 16, 3, 60, 8, 20.0
+#: Learning rates of embeddings, softmax weights and intercept.
+RATES = (2.0, 0.01, 0.1)
+GRAMS = (3, 5)
 EDGES = ".,;:!?\"'()[]{}<>*_-…»«“”„"
 MEMO = 1 << 18
 
@@ -54,43 +56,48 @@ def _sums(values: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[int]) -> np.ndarray:
-    """Weights per bucket and, last, the intercept, from full-batch Adam on embeddings and softmax together."""
+    """Weights per bucket and, last, the intercept, from full-batch descent with momentum on embeddings and softmax together."""
     number, doc, word, share = {}, [], [], []
     for i, text in enumerate(texts):
         counts: dict[str, int] = {}
         for w in text.split():
             counts[w] = counts.get(w, 0) + 1
+        total = max(sum(counts.values()), 1)
         for w, n in counts.items():
             doc.append(i)
             word.append(number.setdefault(w, len(number)))
-            share.append(n / sum(counts.values()))
-    doc, word, share = np.array(doc, dtype=np.int64), np.array(word, dtype=np.int64), np.array(share)[:, None]
+            share.append(n / total)
+    doc, word, share = np.array(doc, dtype=np.int64), np.array(word, dtype=np.int64), np.array(share)
     grams = [buckets(w) for w in number]
-    used, gram = np.unique(np.array([b for g in grams for b in g], dtype=np.int64), return_inverse=True)
     of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    part = np.repeat([1 / len(g) for g in grams], [len(g) for g in grams])[:, None]
-    rng = np.random.default_rng(7)
+    part = np.repeat([1 / len(g) for g in grams], [len(g) for g in grams])
+    gram = np.array([b for g in grams for b in g], dtype=np.int64)
+    # n-grams of fewer than RARE (text, word) pairs keep the weight zero: they would only fit noise.
+    seen = np.bincount(word, minlength=len(grams))
+    keep = np.bincount(gram, seen[of], 1 << BITS)[gram] >= RARE
+    used, gram = np.unique(gram[keep], return_inverse=True)
+    of, part = of[keep], part[keep]
     y = np.array(labels, dtype=float)
     gain = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))[:, None]
     target = np.stack([1 - y, y], axis=1)
-    e, w, c = rng.normal(0, 0.05, (len(used), DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, c)]
-    for step in range(1, EPOCHS + 1):
-        words = _sums(e[gram] * part, of, len(grams))
-        means = _sums(words[word] * share, doc, len(y)) * 30
-        z = means @ w + c
+    rng = np.random.default_rng(7)
+    e, w, c = rng.normal(0, 0.01, (len(used), DIM)), rng.normal(0, 1, (DIM, 2)), np.zeros(2)
+    speed = [np.zeros_like(p) for p in (e, w, c)]
+    for _ in range(EPOCHS):
+        words = _sums(e[gram] * part[:, None], of, len(grams))
+        means = _sums(words[word] * share[:, None], doc, len(y))
+        z = means @ w * SCALE + c
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         d = (p - target) * gain
-        up = (d @ w.T) * 30
-        back = _sums(up[doc] * share, word, len(grams))
-        slopes = [_sums(back[of] * part, gram, len(used)) + DECAY * e, means.T @ d + DECAY * w, d.sum(axis=0)]
-        for q, g, s in zip((e, w, c), slopes, state):
-            s[0] += 0.1 * (g - s[0])
-            s[1] += 0.001 * (g * g - s[1])
-            q -= RATE * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.999**step)) + 1e-9)
+        back = _sums((d @ w.T * SCALE)[doc] * share[:, None], word, len(grams))
+        slopes = [_sums(back[of] * part[:, None], gram, len(used)), means.T @ d * SCALE, d.sum(axis=0)]
+        for q, g, v, rate in zip((e, w, c), slopes, speed, RATES):
+            v *= 0.9
+            v -= rate * g
+            q += v
     weights = np.zeros((1 << BITS) + 1)
-    weights[used] = (e @ (w[:, 1] - w[:, 0])) * 30
+    weights[used] = e @ (w[:, 1] - w[:, 0]) * SCALE
     weights[-1] = c[1] - c[0]
     return weights
 
