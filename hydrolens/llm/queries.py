@@ -68,3 +68,10 @@ def op3(spark, sf_dir):
 
     kept = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op6_jaccard_join")
+def op6(spark, sf_dir):
+    from .jaccard import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "class_id", "n_links")
