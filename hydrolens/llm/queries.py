@@ -75,3 +75,18 @@ def op6(spark, sf_dir):
     from .jaccard import near_classes
 
     return near_classes(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "class_id", "n_links")
+
+
+@register("op7_fingerprints")
+def op7(spark, sf_dir):
+    from .fingerprints import fingerprints
+
+    out = fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@register("op4_nearest_vectors")
+def op4(spark, sf_dir):
+    from .vectors import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
