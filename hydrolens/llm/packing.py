@@ -25,16 +25,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import packed, stored, text_of
+from .tokens import byte_letters
 
 LENGTH, END = 4096, 2
 #: White space on which the vocabulary's rules and str.split() may disagree.
-ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Latin letters that lower case and composition leave one by one, and a stop.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0240]+)([,.]?)")
 #: Words kept in a worker's memo.
-MEMO = 1 << 18
+MEMO = 200_000
 
 
 class WordIds:
-    """Ids of a text from the public tokenizer, word by word: no token of a word-end vocabulary crosses white space."""
+    """Ids of a text from the public tokenizer, word by word: no token of a word-end vocabulary crosses white space.
+
+    Words of Latin letters, with at most a full stop or comma after them, go straight to the tokenizer's merge model; all
+    others take its whole path. The first ``MEMO`` different words of a worker are remembered.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,18 +50,34 @@ class WordIds:
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
+        self.stops = {c: tuple(self._whole(c)) for c in ("", ",", ".")}
+        self.letters = byte_letters()
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        plain = PLAIN.fullmatch(word)
+        if plain is None:
+            return tuple(self._whole(word))
+        low = plain[1].lower()
+        if not low.isascii():
+            low = "".join([self.letters[b] for b in low.encode()])
+        return (*[t.id for t in self.merge(low)], *self.stops[plain[2]])
 
     def __call__(self, text: str, end: int) -> np.ndarray:
         if ODD_SPACE.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array([*ids, end], dtype=np.int32)
-        words = text.split()
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list(set(words).difference(self.memo))
-        for word, known in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.memo[word] = known.ids
-        return np.fromiter(chain(chain.from_iterable(map(self.memo.__getitem__, words)), (end,)), dtype=np.int32)
+            return np.array([*self._whole(text), end], dtype=np.int32)
+        words, memo = text.split(), self.memo
+        new = set(words).difference(memo)
+        for word in new:
+            memo[word] = self._word(word)
+        ids = np.fromiter(chain(chain.from_iterable(map(memo.__getitem__, words)), (end,)), dtype=np.int32)
+        if len(memo) > MEMO:
+            for word in new:
+                del memo[word]
+        return ids
 
 
 @lru_cache(2)
