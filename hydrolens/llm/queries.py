@@ -90,3 +90,11 @@ def op4(spark, sf_dir):
     from .vectors import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@register("op1_license_scan")
+def op1(spark, sf_dir):
+    from .licenses import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "families", F.size("licenses").cast("long").alias("n_lines"), "n_unknown")

@@ -119,7 +119,7 @@ def find_secrets(docs: DataFrame, text: str = "text", repository: str = "doc_id"
     spans = F.filter(F.coalesce(F.col("__spans"), empty), lambda s: (s["rank"] < len(BASE_KINDS)) | s["live"])
     base = F.filter(F.col("secret_spans"), lambda s: s["rank"] < len(BASE_KINDS))
     out = scanned.join(judged, "__id", "left").withColumn("secret_spans", spans)
-    counted = {f"n_{k}": F.size(F.filter(F.col("secret_spans"), lambda s, i=i: s["rank"] == i)).cast("long") for i, k in enumerate(BASE_KINDS)}
+    counted = {f"n_{k}": F.size(F.filter(F.col("secret_spans"), (lambda i: lambda s: s["rank"] == i)(i))).cast("long") for i, k in enumerate(BASE_KINDS)}
     out = out.withColumns(counted | {
         "base_spans": _joined(base), "spans": _joined(F.col("secret_spans")),
         "n_live": F.size(F.filter(F.col("secret_spans"), lambda s: s["live"])).cast("long"),
