@@ -13,6 +13,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,9 @@ CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: A contraction is at most this long, so a cut further than this from the end of a piece is final.
 LOOK = 3
 #: Characters read at a time, and entries and length of the memo of short units.
-PIECE, MEMO, SHORT = 1 << 16, 1 << 17, 48
+PIECE, MEMO, SHORT = 1 << 16, 200_000, 48
+#: A word of Latin letters and a stop: two cuts of ``CUT``, found without it.
+PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0240]+)([,.]?)")
 
 
 def byte_letters() -> list[str]:
@@ -50,6 +53,8 @@ class Vocabulary:
         self.first = [vocab[c] for c in letters]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.rank = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.made = [made for _, made in self.merges.values()]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of.update({i: t.encode() for t, i in self.added.items()})
         self.reach = self._reach()
@@ -74,12 +79,16 @@ class Vocabulary:
         ids = [self.first[b] for b in data]
         if len(ids) > 64:
             return self._merge_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best = min(((m[0], i, m[1]) for i in range(len(ids) - 1) if (m := merges.get((ids[i], ids[i + 1])))), default=None)
-            if best is None:
-                break
-            ids[best[1]:best[1] + 2] = [best[2]]
+        rank, made, none = self.rank, self.made, len(self.made)
+        ranks = [rank.get(p, none) for p in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            ids[i:i + 2] = [made[low]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank.get((ids[i], ids[i + 1]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -142,7 +151,7 @@ class Encoder:
 
     def _ids(self, text: str, out: list[int]) -> None:
         """Whole units: from one blank that follows a letter to the next, the cuts do not depend on what stands around them."""
-        memo, held = self.memo, []
+        units, held = self.memo.setdefault(None, {}), []
         for k, part in enumerate(text.split(" ")):
             unit = " " + part if k else part
             if not part or part[-1].isspace() or held:
@@ -150,11 +159,15 @@ class Encoder:
                 if not part or part[-1].isspace():
                     continue
                 unit, held = "".join(held), []
-            ids = memo.get((unit,))
+            ids = units.get(unit)
             if ids is None:
-                ids = [i for m in self.cut.findall(unit) for i in self._unit(m)] if len(unit) <= 4 * self.v.reach else self._stream(unit)
-                if len(unit) <= SHORT and len(memo) < MEMO:
-                    memo[(unit,)] = ids
+                plain = PLAIN.fullmatch(unit)
+                if plain:
+                    ids = self._unit(plain[1]) + self._unit(plain[2]) if plain[2] else self._unit(plain[1])
+                else:
+                    ids = [i for m in self.cut.findall(unit) for i in self._unit(m)] if len(unit) <= 4 * self.v.reach else self._stream(unit)
+                if len(unit) <= SHORT and len(units) < MEMO:
+                    units[unit] = ids
             out.extend(ids)
         if held:
             unit = "".join(held)
