@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, packed, scan_array, text_of, unpacked
+from .common import let, packed, scan_array, stored, text_of, unpacked
 
 UNIT, K = 12, 3
 #: 2**6 bins in pairs; bits of a hash and of a place in a packed value.
@@ -97,9 +97,9 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     row of each range also stands at the end of the range before it, so no task sees the whole order."""
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col(key).alias("k")).where("k is not null").repartitionByRange(ranges, "k").select("k", F.spark_partition_id().alias("p"))
-    # One key for each range.
-    bounds = sorted(r[0] for r in ids.groupBy("p").agg(F.min("k")).collect())
+    keys = docs.select(F.col(key).alias("k")).where("k is not null").repartitionByRange(ranges, "k").withColumn("p", F.spark_partition_id())
+    # One key for each range; the ranges are stored first, for a plan that only groups them would not make them.
+    bounds = sorted({r[0] for r in stored(keys, "key-ranges").groupBy("p").agg(F.min("k")).collect()})
     edge = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast(f"array<{docs.schema[key].dataType.simpleString()}>")
     own = F.when(F.col("__key").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(edge, lambda b: b <= F.col("__key"))))
     before = F.when(F.col("__key") == bounds[0], F.lit(len(bounds))).otherwise(F.col("__range") - 1) if bounds else F.lit(None)
