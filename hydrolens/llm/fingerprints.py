@@ -99,7 +99,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = docs.select(F.col(key).alias("k")).where("k is not null").repartitionByRange(ranges, "k").withColumn("p", F.spark_partition_id())
     # One key for each range; the ranges are stored first, for a plan that only groups them would not make them.
-    bounds = sorted({r[0] for r in stored(keys, "key-ranges").groupBy("p").agg(F.min("k")).collect()})
+    bounds = sorted({r["low"] for r in stored(keys, "key-ranges").groupBy("p").agg(F.min("k").alias("low")).collect()})
     edge = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast(f"array<{docs.schema[key].dataType.simpleString()}>")
     own = F.when(F.col("__key").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(edge, lambda b: b <= F.col("__key"))))
     before = F.when(F.col("__key") == bounds[0], F.lit(len(bounds))).otherwise(F.col("__range") - 1) if bounds else F.lit(None)
