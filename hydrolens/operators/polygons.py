@@ -428,7 +428,7 @@ def bucket_pieces(df: DataFrame, keys: list[str], bucket: float, planar: bool =
         coarse = _cut(flat, keys, bucket * fanout, origin, planar)
         flat = coarse.repartition(*keys, "bx", "by").select(*keys, "xy", "size")
     fine = _cut(flat, keys, bucket, origin, planar)
-    return fine.withColumn("digest", F.xxhash64("xy", "size")).dropDuplicates([*keys, "bx", "by", "digest"])
+    return fine.dropDuplicates([*keys, "bx", "by", "xy", "size"])
 
 
 def _unite_udf(planar: bool):

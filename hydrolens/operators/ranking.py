@@ -39,12 +39,6 @@ def running_totals(
     ranged = materialize(
         df.repartitionByRange(*[F.col(k) for k in keys], *sorted_by).withColumn(_RANGE, F.spark_partition_id())
     )
-    if ranged.rdd.getNumPartitions() == 1:
-        # adaptive coalescing found that everything fits one range, so a plain window is bounded
-        upto = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*sorted_by).rowsBetween(Window.unboundedPreceding, 0)
-        return ranged.select(
-            *df.columns, F.count(F.lit(1)).over(upto).alias(rank), *[F.sum(c).over(upto).alias(f"{c}_running") for c in sums]
-        )
     # one row per (range, key): at most the number of ranges plus the number of keys
     totals = ranged.groupBy(_RANGE, *keys).agg(
         F.count(F.lit(1)).alias("__rows"), *[F.sum(c).alias(f"__sum_{c}") for c in sums]

@@ -205,7 +205,8 @@ def select_profiles(df: DataFrame, keys: Sequence[str] = (), **options) -> DataF
 
 def reliability_curve(df: DataFrame, bins: int = 10, keys: Sequence[str] = (), score: str = "probability", label: str = "label") -> DataFrame:
     """Per equal-width bin (the last one closed): rows, mean score, observed rate and gap."""
-    index = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    edges = F.array(*[F.lit(i * (1.0 / bins)) for i in range(1, bins)])
+    index = F.size(F.filter(edges, lambda edge: edge <= F.col(score)))
     grouped = df.where(F.col(score).between(0, 1)).groupBy(*keys, index.alias("bin")).agg(
         F.count(F.lit(1)).alias("count"), F.avg(score).alias("mean_probability"), F.avg(label).alias("observed_rate")
     )

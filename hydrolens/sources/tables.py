@@ -138,6 +138,7 @@ LAYER_SCHEMA = (
 
 
 def register_layers(spark: SparkSession, layers: DataFrame, boundary: DataFrame, path: str) -> None:
-    """IO15: register catalog rows under their key, each with the boundary as coverage."""
-    one = boundary.select(F.col("geometry").alias("coverage")).limit(1)
+    """IO15: register catalog rows under their key, each with the boundary as coverage. A boundary of several rows is an error."""
+    several = F.raise_error(F.lit("the boundary must be one row"))
+    one = boundary.agg(F.when(F.count(F.lit(1)) == 1, F.first("geometry")).otherwise(several.cast(boundary.schema["geometry"].dataType)).alias("coverage"))
     upsert(spark, path, layers.crossJoin(F.broadcast(one)), ["layer_key"])

@@ -154,15 +154,15 @@ def p16(v):
 # --- order, top-k -------------------------------------------------------------------------
 
 
-@query("t1_order_screening", "v_scores", sql="SELECT row_key, probability * 100e0 AS screening_score FROM v_scores ORDER BY probability DESC, CAST(row_key AS VARCHAR) LIMIT 100")
+@query("t1_order_screening", "v_scores", sql="SELECT row_key, probability * 100e0 AS screening_score FROM v_scores ORDER BY probability DESC, CAST(row_key AS VARCHAR)")
 def t1(v):
     s = v.v_scores.select("row_key", (F.col("probability") * 100.0).alias("screening_score"))
-    return P.order_screening(s, "row_key").limit(100)
+    return P.order_screening(s, "row_key")
 
 
-@query("t2_order_probability", "v_scores", sql="SELECT row_key, probability FROM v_scores ORDER BY probability DESC, row_key LIMIT 100")
+@query("t2_order_probability", "v_scores", sql="SELECT row_key, probability FROM v_scores ORDER BY probability DESC, row_key")
 def t2(v):
-    return P.order_probability(v.v_scores.select("row_key", "probability"), "row_key").limit(100)
+    return P.order_probability(v.v_scores.select("row_key", "probability"), "row_key")
 
 
 @query("t3_latest", "v_runs", sql="SELECT run_id, run_version FROM v_runs WHERE status = 'completed' ORDER BY created_at DESC, run_id DESC LIMIT 1")

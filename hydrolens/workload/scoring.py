@@ -105,7 +105,8 @@ def m13(v):
     return M.select_profile(v.v_scores, "balanced", ["event_id"]).select("event_id", "mode", "threshold", "water_temper_beta", "precision", "recall", "f1")
 
 
-CURVE = """(SELECT event_id, LEAST(CAST(FLOOR(probability * 10) AS INT), 9) AS bin, COUNT(*) AS n, AVG(probability) AS p, AVG(label) AS o FROM v_scores GROUP BY 1, 2)"""
+EDGES = " + ".join(f"CAST(probability >= {i}e0 * 0.1e0 AS INT)" for i in range(1, 10))
+CURVE = f"""(SELECT event_id, {EDGES} AS bin, COUNT(*) AS n, AVG(probability) AS p, AVG(label) AS o FROM v_scores GROUP BY 1, 2)"""
 
 
 @query("m14_calibration", "v_scores", sql=f"""
