@@ -9,10 +9,13 @@ from hydrolens.sources.readings import to_observation
 from hydrolens.sources.tables import upserted
 from hydrolens.workload.registry import query, r6, rounded
 
-# one pattern for the land-cover map that both engines can build from the share columns
-SHARES = F.create_map(
-    F.lit(40), F.col("lc_cropland"), F.lit(50), F.col("lc_built"), F.lit(80), F.col("lc_water"), F.lit(90), F.col("lc_wetland")
-)
+
+
+def land_cover_shares():
+    """One pattern for the land-cover map that both engines can build from the share columns."""
+    return F.create_map(
+        F.lit(40), F.col("lc_cropland"), F.lit(50), F.col("lc_built"), F.lit(80), F.col("lc_water"), F.lit(90), F.col("lc_wetland")
+    )
 
 
 def frac(x: str) -> str:
@@ -79,7 +82,7 @@ def f6(v):
 SELECT cell_id, LEAST(1e0, GREATEST(0e0, CASE WHEN lc_water + lc_wetland > 1 THEN (lc_water + lc_wetland) / 100e0 ELSE lc_water + lc_wetland END)) AS water,
   LEAST(1e0, GREATEST(0e0, CASE WHEN lc_built > 1 THEN lc_built / 100e0 ELSE lc_built END)) AS built FROM v_cells""")
 def f7(v):
-    return v.v_cells.select("cell_id", S.surface_water(SHARES).alias("water"), S.built_up(SHARES).alias("built"))
+    return v.v_cells.select("cell_id", S.surface_water(land_cover_shares()).alias("water"), S.built_up(land_cover_shares()).alias("built"))
 
 
 @query("f8_temper", "v_scores", sql="""
@@ -252,7 +255,7 @@ def pct(x: str) -> str:
 @query("f27_class_columns", "v_cells", sql=f"""
 SELECT cell_id, 0e0 AS landcover_tree_pct, {pct('lc_cropland')} AS landcover_cropland_pct, {pct('lc_water')} AS landcover_water_pct FROM v_cells""")
 def f27(v):
-    c = S.class_columns(SHARES)
+    c = S.class_columns(land_cover_shares())
     return v.v_cells.select("cell_id", *[c[n].alias(n) for n in ("landcover_tree_pct", "landcover_cropland_pct", "landcover_water_pct")])
 
 
