@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import packed, text_of, unpacked
 
 #: Labelled rows of each class that the model is fitted on.
-SAMPLE = 3000
+SAMPLE = 2000
 BITS, DIM, EPOCHS, RARE, SCALE = 16, 3, 40, 5, 20.0
 #: Slope of the reported score around its cut.
 STEEP = 4.0
