@@ -13,6 +13,7 @@ score is the share of the class there is, or 0 without labels; an empty table gi
 """
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,12 +74,16 @@ def fit(texts: list[str], labels: list[int]) -> np.ndarray:
             word.append(number.setdefault(w, len(number)))
             share.append(n / total)
     doc, word, share = np.array(doc, dtype=np.int64), np.array(word, dtype=np.int64), np.array(share)
-    grams = [buckets(w) for w in number]
-    of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    part = np.repeat([1 / len(g) for g in grams], [len(g) for g in grams])
-    gram = np.array([b for g in grams for b in g], dtype=np.int64)
+    flat, sizes = array("i"), []
+    for w in number:
+        own = buckets(w)
+        flat.extend(own)
+        sizes.append(len(own))
+    gram = np.array(flat, dtype=np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    part = np.repeat(1 / np.maximum(np.array(sizes, dtype=float), 1), sizes)
     # n-grams of fewer than RARE (text, word) pairs keep the weight zero: they would only fit noise.
-    seen = np.bincount(word, minlength=len(grams))
+    seen = np.bincount(word, minlength=len(sizes))
     keep = np.bincount(gram, seen[of], 1 << BITS)[gram] >= RARE
     used, gram = np.unique(gram[keep], return_inverse=True)
     of, part = of[keep], part[keep]
@@ -87,7 +92,7 @@ def fit(texts: list[str], labels: list[int]) -> np.ndarray:
     target = np.stack([1 - y, y], axis=1)
     # The first embedding axis starts at the log odds of n-grams whose class share is no accident; the rest starts near zero.
     # Counted over texts: inside a text the n-grams of a style come in clusters.
-    first = np.searchsorted(of, np.arange(len(grams) + 1))
+    first = np.searchsorted(of, np.arange(len(sizes) + 1))
     own = np.searchsorted(doc, np.arange(len(y) + 1))
     seen_toxic, seen_all = np.zeros(len(used)), np.zeros(len(used))
     for i in range(len(y)):
@@ -103,11 +108,11 @@ def fit(texts: list[str], labels: list[int]) -> np.ndarray:
     e[:, 0] += odds
     w[0] += (-1, 1)
     # Each n-gram steps in inverse proportion to its second moment, so that rare and common ones are learnt alike.
-    moment = np.bincount(gram, (np.bincount(word, share**2, len(grams))[of] * part**2), len(used)) / len(y)
+    moment = np.bincount(gram, (np.bincount(word, share**2, len(sizes))[of] * part**2), len(used)) / len(y)
     step = (1 / (moment + np.quantile(moment, 0.9)))[:, None] / SCALE**2
     rate, before, kept, slopes = RATE, np.inf, None, None
     for _ in range(EPOCHS):
-        words = _sums(e[gram] * part[:, None], of, len(grams))
+        words = _sums(e[gram] * part[:, None], of, len(sizes))
         means = _sums(words[word] * share[:, None], doc, len(y)) * SCALE
         z = means @ w + c
         p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -119,7 +124,7 @@ def fit(texts: list[str], labels: list[int]) -> np.ndarray:
         else:
             before, kept = loss, (e, w, c)
             d = (p - target) * gain
-            back = _sums((d @ w.T * SCALE)[doc] * share[:, None], word, len(grams))
+            back = _sums((d @ w.T * SCALE)[doc] * share[:, None], word, len(sizes))
             slopes = (_sums(back[of] * part[:, None], gram, len(used)) * step, means.T @ d, d.sum(axis=0))
             rate *= 1.3
         e, w, c = e - rate * slopes[0], w - 300 * rate * slopes[1], c - 1000 * rate * slopes[2]
