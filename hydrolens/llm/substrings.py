@@ -97,18 +97,19 @@ def repeats(docs: DataFrame, key: str, text: str, window: int, seed: int) -> Dat
     def spans(frames):
         hash_words = WordHash()
         for frame in frames:
-            parts = []
-            for i, (id_, t, h) in enumerate(zip(frame["id"], frame["text"], frame["h"])):
+            ids, parts = [], []
+            for id_, t, h in zip(frame["id"], frame["text"], frame["h"]):
                 words = words_of(t)
                 if len(words) < window:
                     continue
                 hashes = hash_words(words)
                 _, grams, first, last = anchors(hashes, window, seed)
                 a, b = (ranges(prefix_hashes(hashes, lane), first, last + window, lane) for lane in (0, 1))
-                parts.append(pd.DataFrame({"id": id_, "h": h, "seed": grams.view("i8"), "a": a.view("i8"), "b": b.view("i8"),
-                                           "first": first.astype("i4"), "last": last.astype("i4"), "n": np.int32(1)}))
+                ids += [id_] * len(first)
+                parts.append((np.full(len(first), h), grams.view("i8"), a.view("i8"), b.view("i8"), first.astype("i4"), last.astype("i4")))
             if parts:
-                yield pd.concat(parts)
+                columns = dict(zip(("h", "seed", "a", "b", "first", "last"), map(np.concatenate, zip(*parts))))
+                yield pd.DataFrame({"id": ids, **columns, "n": np.ones(len(ids), dtype="i4")})
 
     spanned = stored(base.select("id", "text", "h").mapInPandas(spans, anchor_type), "substring-spans")
     # A span and its number of rows; the seed is part of the key so that counts of seeds need no second pass.
@@ -129,7 +130,7 @@ def repeats(docs: DataFrame, key: str, text: str, window: int, seed: int) -> Dat
     def windows(frames):
         hash_words = WordHash()
         for frame in frames:
-            parts = []
+            ids, parts = [], []
             for id_, t, h, cuts in zip(frame["id"], frame["text"], frame["h"], frame["cuts"]):
                 hashes = hash_words(words_of(t))
                 first, last = (np.array([c[k] for c in cuts]) for k in ("first", "last"))
@@ -139,9 +140,10 @@ def repeats(docs: DataFrame, key: str, text: str, window: int, seed: int) -> Dat
                 a, b = (ranges(prefix_hashes(hashes, lane), start, start + window, lane) for lane in (0, 1))
                 seeds_ = np.array([c["seed"] for c in cuts])[which]
                 lone = np.array([c["count"] for c in cuts])[which] == 1
-                parts.append(pd.DataFrame({"id": id_, "h": h, "seed": seeds_, "a": a.view("i8"), "b": b.view("i8"), "start": start.astype("i4"), "lone": lone}))
+                ids += [id_] * len(start)
+                parts.append((np.full(len(start), h), seeds_, a.view("i8"), b.view("i8"), start.astype("i4"), lone))
             if parts:
-                yield pd.concat(parts)
+                yield pd.DataFrame({"id": ids, **dict(zip(("h", "seed", "a", "b", "start", "lone"), map(np.concatenate, zip(*parts))))})
 
     cut_windows = stored(text_and_cuts.mapInPandas(windows, "id string, h long, seed long, a long, b long, start int, lone boolean"), "substring-windows")
     twice = stored(cut_windows.groupBy("seed", "a", "b").agg(F.count(F.lit(1)).alias("count")).where("count > 1").select("seed", "a", "b"), "substring-twice")
