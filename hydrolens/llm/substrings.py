@@ -112,11 +112,13 @@ def repeats(docs: DataFrame, key: str, text: str, window: int, seed: int) -> Dat
                 yield pd.DataFrame({"id": ids, **columns, "n": np.ones(len(ids), dtype="i4")})
 
     spanned = stored(base.select("id", "text", "h").mapInPandas(spans, anchor_type), "substring-spans")
-    # A span and its number of rows; the seed is part of the key so that counts of seeds need no second pass.
-    counts = stored(spanned.groupBy("seed", "a", "b").agg(F.count("n").alias("count")), "substring-counts")
-    seeds = counts.groupBy("seed").agg(F.sum("count").alias("seed_count"), F.count("count").alias("kinds")).where("seed_count > 1")
-    shared = stored(counts.join(seeds, "seed").select("seed", "a", "b", "count", "kinds"), "substring-shared")
-    hit = stored(spanned.drop("n").join(shared, ["seed", "a", "b"]), "substring-hits")
+    # Seeds that occur once are most of all; only the spans of the others are counted.
+    seeds = stored(spanned.groupBy("seed").agg(F.count("n").alias("rows")).where("rows > 1").select("seed"), "substring-seeds")
+    near = stored(spanned.drop("n").join(seeds, "seed"), "substring-near")
+    counts = stored(near.groupBy("seed", "a", "b").agg(F.count("h").alias("count")), "substring-counts")
+    kinds = stored(counts.groupBy("seed").agg(F.count("count").alias("kinds")), "substring-kinds")
+    shared = stored(counts.join(kinds, "seed").select("seed", "a", "b", "count", "kinds"), "substring-shared")
+    hit = stored(near.join(shared, ["seed", "a", "b"]), "substring-hits")
     whole = hit.where("count > 1").select("id", "h", "first", "last")
 
     # Spans to be cut: those of seeds with several kinds of spans, one representative row of each kind.
