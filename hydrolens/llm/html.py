@@ -9,6 +9,7 @@ pages are read as far as they go; repeated rows are each extracted; nothing is c
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -43,6 +44,18 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("root", None)
         self.skip: list[str] = []
+        self.open: Counter[str] = Counter()
+
+    def parse_comment(self, i, report=1):
+        """A comment without an end reaches to the end of the page, as in browsers; the whole page is fed at once."""
+        if self.rawdata.startswith(("<!-->", "<!--->"), i):
+            return self.rawdata.index(">", i) + 1
+        at = self.rawdata.find("-->", i + 4)
+        return len(self.rawdata) if at < 0 else at + 3
+
+    def parse_marked_section(self, i, report=1):
+        """Marked sections outside of XML are comments up to the next ``>``."""
+        return self.parse_bogus_comment(i)
 
     def handle_starttag(self, tag, attrs):
         if self.skip:
@@ -58,12 +71,13 @@ class Tree(HTMLParser):
             return
         values = dict(attrs)
         mark = f"{values.get('class') or ''} {values.get('id') or ''} {values.get('role') or ''}"
-        header = tag == "header" and not self._inside("article")
+        header = tag == "header" and not self.open["article"]
         if tag in DROPPED or header or "hidden" in values or values.get("aria-hidden") == "true" or tag not in ("html", "body", "article", "main") and FURNITURE.search(mark):
             self.skip = [tag]
             return
         node = Node(tag, self.at)
         self.at.children.append(node)
+        self.open[tag] += 1
         self.at = node
 
     def handle_startendtag(self, tag, attrs):
@@ -86,19 +100,17 @@ class Tree(HTMLParser):
         if not self.skip:
             self.at.children.append(data)
 
-    def _inside(self, tag):
-        node = self.at
-        while node and node.tag != tag:
-            node = node.parent
-        return node is not None
-
     def _close(self, tag, stop):
         """Close the nearest open ``tag``, unless an element of ``stop`` stands in between."""
+        if not self.open[tag]:
+            return
         node = self.at
         while node.parent and node.tag != tag and node.tag not in stop:
             node = node.parent
         if node.parent and node.tag == tag:
-            self.at = node.parent
+            while self.at is not node.parent:
+                self.open[self.at.tag] -= 1
+                self.at = self.at.parent
 
 
 def order(root: Node) -> list[Node]:

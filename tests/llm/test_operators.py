@@ -266,3 +266,12 @@ def test_pipeline(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
     assert 0 < docs.count() < 200
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
+def test_html_odd_markup():
+    from hydrolens.llm.html import main_text
+
+    assert main_text("<![foo[ x ]]><p>a</p>") == "a"
+    assert main_text("<p>q<!-- c --> r</p><!-- <p>never closed</p>") == "q r"
+    assert main_text("<!-->x<p>b</p>") == "x\n\nb"
+    assert main_text("<!--" * 50_000) == "" and main_text("<div>" * 5_000 + "x" + "</section>" * 50_000) == "x"
