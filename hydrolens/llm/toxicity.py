@@ -8,7 +8,7 @@ Training uses a bounded sample of the labelled rows, ``SAMPLE`` of each class, i
 the sample calibrates the cut, weighted by the class shares of all labelled rows. Every text is scored whole.
 
 Defined cases: null or empty text has the score of no words (the intercept); rows with a null key or label teach nothing;
-conflicting labels of one key count as toxic; repeated rows are each scored; without labels of both classes the
+conflicting labels of one key count as toxic; of repeated keys one text teaches, and each row is scored; without labels of both classes the
 score is the share of the class there is, or 0 without labels; an empty table gives an empty table.
 """
 
@@ -174,7 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model(np.zeros(1 << BITS), -40.0 if not toxic else 40.0)
     chosen = [known.where(F.col("__label") == v).orderBy(F.xxhash64("__key"), "__key").limit(sample) for v in (0, 1)]
     # At most 2 * sample keys, so the broadcast is bounded.
+    # One text of each key, found where the texts are read: the task that fits gets at most 2 * sample rows, however often a key is repeated.
     rows = docs.select(F.col(key).alias("__key"), text_of(text).alias("__text")).join(F.broadcast(chosen[0].union(chosen[1])), "__key")
+    rows = rows.groupBy("__key").agg(F.min("__text").alias("__text"), F.first("__label").alias("__label"))
 
     share = toxic / (toxic + clean)
 
@@ -183,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         all_rows = all_rows.sort_values(["__label", "__key", "__text"])
         yield pd.DataFrame({"w": [calibrated(all_rows["__text"].tolist(), all_rows["__label"].tolist(), share).astype("<f8").tobytes()], "n": [len(all_rows)]})
 
-    got = rows.select("__key", "__text", "__label").coalesce(1).mapInPandas(one, "w binary, n long").collect()
+    got = rows.select("__key", "__text", "__label").repartition(1).mapInPandas(one, "w binary, n long").collect()
     weights = np.frombuffer(got[0]["w"], dtype="<f8")
     return Model(weights[:-1].astype(np.float32), float(weights[-1]))
 
