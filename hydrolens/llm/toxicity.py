@@ -4,8 +4,9 @@ A word is the mean of the embeddings of its character n-grams (with the marks <
 words, and a two-class linear softmax reads that mean. Embeddings and softmax are trained together, so a misspelling that was
 never seen shares the vectors of its n-grams. The trained model is linear in the n-grams, so scoring needs one number per bucket.
 
-Training uses a bounded sample of the labelled rows, ``SAMPLE`` of each class, in one task; a fifth of
+Training uses a bounded sample of the distinct labelled texts, ``SAMPLE`` of each class, in one task; a fifth of
 the sample calibrates the cut, weighted by the class shares of all labelled rows. Every text is scored whole.
+Copies of a whole text with the same label teach once; texts that only share an opening all teach.
 
 Defined cases: null or empty text has the score of no words (the intercept); rows with a null key or label teach nothing;
 conflicting labels of one key count as toxic; of repeated keys one text teaches, and each row is scored; without labels of both classes the
@@ -22,9 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, text_of, unpacked
+from .common import packed, stored, text_of, unpacked
 
-#: Labelled rows of each class that the model is fitted on.
+#: Distinct labelled texts of each class that the model is fitted on.
 SAMPLE = 2000
 BITS, DIM, EPOCHS, RARE, SCALE = 16, 3, 40, 5, 20.0
 #: Slope of the reported score around its cut.
@@ -61,9 +62,6 @@ def _sums(values: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
 def fit(texts: list[str], labels: list[int]) -> np.ndarray:
     """Weights per bucket and, last, the intercept, from full-batch descent on embeddings and softmax together."""
     number, doc, word, share = {}, [], [], []
-    # Near copies would make their words look meaningful: one text of each opening teaches.
-    openings = {tuple(t.split(None, 8)[:8]): i for i, t in enumerate(texts)}
-    texts, labels = [texts[i] for i in sorted(openings.values())], [labels[i] for i in sorted(openings.values())]
     for i, text in enumerate(texts):
         counts: dict[str, int] = {}
         for w in text.split():
@@ -166,17 +164,20 @@ def calibrated(texts: list[str], labels: list[int], toxic_share: float) -> np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows of each class, chosen by the hash of their key."""
+    """Fit on at most ``sample`` distinct labelled texts of each class, chosen by the hash of the text."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("__label"))
     shares = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
     toxic, clean = shares.get(1, 0), shares.get(0, 0)
     if not toxic or not clean:
         return Model(np.zeros(1 << BITS), -40.0 if not toxic else 40.0)
-    chosen = [known.where(F.col("__label") == v).orderBy(F.xxhash64("__key"), "__key").limit(sample) for v in (0, 1)]
-    # At most 2 * sample keys, so the broadcast is bounded.
-    # One text of each key, found where the texts are read: the task that fits gets at most 2 * sample rows, however often a key is repeated.
+    # One text of each key, then one key of each text and label: only keys and hashes are shuffled, however often either is repeated.
+    hashed = docs.select(F.col(key).alias("__key"), F.sha2(text_of(text), 256).alias("__hash")).join(known, "__key")
+    distinct = stored(hashed.groupBy("__key").agg(F.min("__hash").alias("__hash"), F.first("__label").alias("__label"))
+                      .groupBy("__label", "__hash").agg(F.min("__key").alias("__key")), "toxicity-texts")
+    chosen = [distinct.where(F.col("__label") == v).orderBy("__hash").limit(sample) for v in (0, 1)]
+    # At most 2 * sample keys, so the broadcast is bounded; the task that fits gets one text of each.
     rows = docs.select(F.col(key).alias("__key"), text_of(text).alias("__text")).join(F.broadcast(chosen[0].union(chosen[1])), "__key")
-    rows = rows.groupBy("__key").agg(F.min("__text").alias("__text"), F.first("__label").alias("__label"))
+    rows = rows.where(F.sha2("__text", 256) == F.col("__hash")).groupBy("__key", "__label").agg(F.min("__text").alias("__text"))
 
     share = toxic / (toxic + clean)
 
