@@ -1,11 +1,12 @@
 """Secret scan by corpus-wide ownership frequency.
 
 Candidates are found in every text with regular expressions. Their values are hashed and counted over distinct
-repositories (documents) and distinct owners (sources). A value that many owners hold is a copied example; a value that
-few owners hold looks live. Only built-in DataFrame functions are used.
+repositories (documents) and distinct owners (sources). A value that many owners or many repositories hold is a copied
+example; a value that few repositories of few owners hold looks live. Only built-in DataFrame functions are used.
 
-Base kinds are always reported. The kinds the method adds (``pem`` headers, ``mixed`` high-variety strings) are reported
-only when their value is owner specific, because a string that many owners share is an identifier and not a credential.
+Base kinds are always reported. The kinds the method adds (``pem`` blocks, ``mixed`` high-variety strings) are reported
+only when their value looks live, because a string that is widely shared is an identifier and not a credential. A ``pem``
+value is the header with its body, to the footer or, in a block that is cut, to the last line of key material.
 
 Defined cases: null text counts as empty, null owners as one more owner, repeated rows are each scanned (and count once
 as a repository), an empty table gives an empty table. Input columns may have any name; results replace equal names.
@@ -22,7 +23,8 @@ from .common import let, packed, scan_array, stored, text_of, unpacked
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+# Header, then all up to the next run of five hyphens if that is a footer; without one, the key material that follows.
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=]{20,}+)*+)"
 MIXED = r"[A-Za-z0-9+/_=-]{20,}"
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -44,6 +46,8 @@ SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 #: A value held by more owners than this is a copied example.
 MAX_OWNERS = 2
+#: So is a value held by more repositories than this, however few their owners.
+MAX_REPOSITORIES = 10
 
 
 def _kept(kind: str, value: Column) -> Column:
@@ -74,12 +78,12 @@ def spans_of_kind(text: Column, kind: str) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text, by start and then kind; strings of the kind ``mixed`` that touch a base span are left out."""
+    """All candidate spans of a text, by start and then kind; strings of the kind ``mixed`` that touch a base span or lie in a ``pem`` block are left out."""
     base = F.flatten(F.array(*[spans_of_kind(text, k) for k in BASE_KINDS]))
-    more = spans_of_kind(text, "mixed")
-    free = let(F.struct(base.alias("base"), more.alias("more")), lambda x: F.concat(
-        x["base"], F.filter(x["more"], lambda m: ~F.exists(x["base"], lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))))
-    return F.array_sort(F.concat(free, spans_of_kind(text, "pem")))
+    more, pem = spans_of_kind(text, "mixed"), spans_of_kind(text, "pem")
+    return let(F.struct(base.alias("base"), more.alias("more"), pem.alias("pem")), lambda x: F.array_sort(F.concat(
+        x["base"], x["pem"], F.filter(x["more"], lambda m: ~F.exists(x["base"], lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+                                      & ~F.exists(x["pem"], lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"]))))))
 
 
 def _joined(spans: Column) -> Column:
@@ -87,11 +91,12 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
 
-def find_secrets(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", carry: list[str] | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", carry: list[str] | None = None, max_owners: int = MAX_OWNERS,
+                 max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row per input row: the carried input columns, counts of base kinds, the spans, and the ownership verdicts.
 
     ``secret_spans`` is an array of (start, rank, end, value, owners, repositories, live), base spans first to last and the
-    owner-specific spans of the added kinds. ``carry`` names the input columns to keep (all by default).
+    live spans of the added kinds. ``carry`` names the input columns to keep (all by default).
     """
     rows = docs if carry is None else docs.select(*carry)
     scanned = stored(
@@ -103,7 +108,8 @@ def find_secrets(docs: DataFrame, text: str = "text", repository: str = "doc_id"
     )
     held = scanned.where(F.size("__found") > 0).select(
         "__id", "__repository", "__owner", F.explode("__found").alias("__span")
-    ).withColumn("__hash", F.sha2(F.col("__span")["value"], 256))
+    ).withColumn("__hash", F.sha2(F.when(F.col("__span")["rank"] == KINDS.index("pem"), F.regexp_replace(F.col("__span")["value"], r"\s+", ""))
+                                  .otherwise(F.col("__span")["value"]), 256))  # line breaks and indents are no part of a key
     counts = stored(
         held.groupBy("__hash", "__owner", "__repository").agg(F.lit(1).alias("one"))
         .groupBy("__hash", "__owner").agg(F.count("one").alias("n"))
@@ -113,7 +119,7 @@ def find_secrets(docs: DataFrame, text: str = "text", repository: str = "doc_id"
     judged = held.join(counts, "__hash").select("__id", F.struct(
         F.col("__span")["start"].alias("start"), F.col("__span")["rank"].alias("rank"), F.col("__span")["end"].alias("end"),
         F.col("__span")["value"].alias("value"), F.col("__owners").alias("owners"), F.col("__repositories").alias("repositories"),
-        (F.col("__owners") <= max_owners).alias("live"),
+        ((F.col("__owners") <= max_owners) & (F.col("__repositories") <= max_repositories)).alias("live"),
     ).alias("s")).groupBy("__id").agg(F.array_sort(F.collect_list("s")).alias("__spans"))
     empty = F.array().cast(judged.schema["__spans"].dataType)
     spans = F.filter(F.coalesce(F.col("__spans"), empty), lambda s: (s["rank"] < len(BASE_KINDS)) | s["live"])
