@@ -32,8 +32,8 @@ from .jaccard import components
 from .substrings import mixed
 
 SIMILARITY, RECALL, PROBES = 0.93, 0.9995, 8
-#: Vectors of a block, and rows compared with a block at a time.
-BLOCK, STRIP = 2048, 256
+#: Vectors of a block, rows compared with a block at a time, and rows of groups that are compared many at once.
+BLOCK, STRIP, FEW = 2048, 256, 24
 _SEED = 17
 
 
@@ -130,32 +130,58 @@ def visits(classes: DataFrame, plans: dict[int, tuple[int, int]], probes: int) -
     return stored(salted.mapInPandas(run, "class string, weight long, v array<double>, own array<long>, all array<long>"), "polytope-visits")
 
 
+def bucket_pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, allowed, similarity: float):
+    """Pairs (i, j), i < j, of rows of one group whose vectors are near; ``allowed`` tells which pairs count at all."""
+    size = ends - starts
+    for n in np.unique(size[(size > 1) & (size <= FEW)]).tolist():
+        # Small groups of one size together: every pair of rows.
+        a, b = np.triu_indices(n, 1)
+        first = starts[size == n]
+        step = max(1, (1 << 15) // len(a))
+        for at in range(0, len(first), step):
+            i, j = ((first[at:at + step, None] + k).ravel() for k in (a, b))
+            fine = allowed(i, j)
+            i, j = i[fine], j[fine]
+            near = np.einsum("ij,ij->i", x[i], x[j]) >= similarity
+            yield i[near], j[near]
+    for lo, hi in zip(starts[size > FEW].tolist(), ends[size > FEW].tolist()):
+        for at in range(lo, hi, STRIP):
+            i, j = np.nonzero(x[at:min(at + STRIP, hi)] @ x[at:hi].T >= similarity)
+            i, j = (i + at)[i < j], (j + at)[i < j]
+            fine = allowed(i, j)
+            yield i[fine], j[fine]
+
+
 def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Links inside one pair of blocks: per class the weight of its partners and the root of its tree."""
-    bucket, apart = int(frame["bucket"].iloc[0]), frame["lo"].iloc[0] != frame["hi"].iloc[0]
-    x, names = unit(frame["v"]), frame["class"].to_numpy()
-    weight, block, own = frame["weight"].to_numpy(), frame["block"].to_numpy(), frame["mine"].to_numpy()
-    mains, every = np.stack(frame["own"].to_numpy()), np.stack(frame["all"].to_numpy())
-    tables = mains.shape[1]
-    every = every.reshape(len(frame), tables, -1)
-    links, linked_to = np.zeros(len(frame), dtype=np.int64), []
-    for at in range(0, len(frame), STRIP):
-        rows = np.arange(at, min(at + STRIP, len(frame)))
-        good = (x[rows] @ x.T >= similarity) & (own[rows, None] | own) & (np.arange(len(frame)) > rows[:, None])
-        if apart:
-            good &= block[rows, None] != block
-        i, j = np.nonzero(good)
-        i = rows[i]
-        first = np.ones(len(i), dtype=bool)
-        # A pair counts here unless it meets in a bucket before this one.
-        for t in range((bucket >> 55) + 1):
-            for a, b in ((i, j), (j, i)):
-                met = mains[a, t]
-                first &= ~((every[b, t] == met[:, None]).any(1) & (met < bucket))
-        links += np.bincount(i[first], weight[j[first]], len(frame)).astype(np.int64) + np.bincount(j[first], weight[i[first]], len(frame)).astype(np.int64)
-        linked_to.append(np.stack([i, j]))
-    i, j = np.concatenate(linked_to, axis=1)
-    root = np.arange(len(frame))
+    """Links inside pairs of blocks, each whole in the frame: per class the weight of its partners and the root of its tree."""
+    key = frame[["bucket", "lo", "hi"]].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+    bucket, apart = key[:, 0], key[:, 1] != key[:, 2]
+    weight, block, own, names = (frame[c].to_numpy() for c in ("weight", "block", "mine", "class"))
+    links, root = np.zeros(len(frame), dtype=np.int64), np.arange(len(frame))
+
+    def allowed(i, j):
+        return (own[i] | own[j]) & ~(apart[i] & (block[i] == block[j]))
+
+    found = bucket_pairs(unit(frame["v"]), starts, np.append(starts[1:], len(frame)), allowed, similarity)
+    found = [(i, j) for i, j in found if len(i)]
+    if not found:
+        return pd.DataFrame(columns=["class", "links", "root"])
+    i, j = (np.concatenate(k) for k in zip(*found))
+    # A pair counts here unless it meets in a bucket before this one.
+    held, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    mains = np.stack(frame["own"].iloc[held].to_numpy())
+    every = np.stack(frame["all"].iloc[held].to_numpy()).reshape(len(held), mains.shape[1], -1)
+    a, b = np.split(at.ravel(), 2)
+    first = np.ones(len(i), dtype=bool)
+    for part in range(0, len(i), 1 << 16):
+        some = slice(part, part + (1 << 16))
+        for t in range(mains.shape[1]):
+            for u, v in ((a[some], b[some]), (b[some], a[some])):
+                met = mains[u, t]
+                first[some] &= ~((every[v, t] == met[:, None]).any(1) & (met < bucket[i[some]]))
+    np.add.at(links, i[first], weight[j[first]])
+    np.add.at(links, j[first], weight[i[first]])
     while True:
         low = np.minimum(root[i], root[j])
         new = root.copy()
@@ -165,7 +191,6 @@ def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
         if (new == root).all():
             break
         root = new
-    held = np.unique(np.concatenate([i, j]))
     return pd.DataFrame({"class": names[held], "links": links[held], "root": names[root[held]]})
 
 
@@ -185,20 +210,17 @@ def class_links(visited: DataFrame, similarity: float) -> DataFrame:
     work = pairs.join(visited, "class").repartition(*at).sortWithinPartitions(*at)
 
     def run(frames):
-        waiting: list[pd.DataFrame] = []
-
-        def close():
-            done = pd.concat(waiting, ignore_index=True) if waiting else ()
-            if len(done) > 1 and len(out := verified(done, similarity)):
-                yield out
-
+        rest = None
         for frame in frames:
-            for key, part in frame.groupby(at, sort=False):
-                if waiting and tuple(waiting[0][at].iloc[0]) != key:
-                    yield from close()
-                    waiting.clear()
-                waiting.append(part)
-        yield from close()
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            # The last group may go on in the next frame.
+            key = frame[at].to_numpy()
+            cut = int(np.flatnonzero((key != key[-1]).any(1)).max(initial=-1)) + 1 if len(key) else 0
+            rest = frame.iloc[cut:]
+            if cut and len(out := verified(frame.iloc[:cut], similarity)):
+                yield out
+        if rest is not None and len(rest) and len(out := verified(rest, similarity)):
+            yield out
 
     return stored(work.mapInPandas(run, "class string, links long, root string"), "polytope-links")
 

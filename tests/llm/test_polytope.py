@@ -58,6 +58,7 @@ def test_planted_groups(spark, monkeypatch):
     """Near copies at all distances, in buckets of several blocks; every link is found at recall 0.9995."""
     monkeypatch.setattr(polytope, "BLOCK", 16)
     monkeypatch.setattr(polytope, "STRIP", 7)
+    monkeypatch.setattr(polytope, "FEW", 9)
     rng = np.random.default_rng(4)
     rows = planted(rng)
     found = brute(rows, 0.93)
