@@ -13,9 +13,6 @@ conflicting labels of one key count as toxic; of repeated keys one text teaches,
 score is the share of the class there is, or 0 without labels; an empty table gives an empty table.
 """
 
-import zlib
-from array import array
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import packed, stored, text_of, unpacked
+from .substrings import mixed
 
 #: Distinct labelled texts of each class that the model is fitted on.
 SAMPLE = 2000
@@ -34,7 +32,9 @@ STEEP = 4.0
 RATE, STOP, SURE = 0.001, 0.02, 3.0
 GRAMS = (3, 5)
 EDGES = ".,;:!?\"'()[]{}<>*_-…»«“”„"
-MEMO = 1 << 18
+#: Words of texts that are looked up together.
+TOGETHER = 1 << 19
+_LETTER = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -47,12 +47,25 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def buckets(word: str) -> list[int]:
-    """Buckets of the n-grams of a word and of the word itself."""
-    w, mask = f"<{word.strip(EDGES).lower()}>", (1 << BITS) - 1
-    low, high = GRAMS
-    grams = [w[i:i + n] for n in range(low, high + 1) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & mask for g in [w, *grams]]
+def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of each word and of the word itself, and the number of the word that each belongs to."""
+    marked = [f"<{w.strip(EDGES).lower()}>" for w in words]
+    size = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    ends = np.cumsum(size)
+    # Roots of the characters; those of n + 1 follow from those of n.
+    codes = mixed(np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + _LETTER)
+    word = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(codes)) - np.repeat(ends - size, size)
+    odd = np.cumprod(np.full(int(size.max(initial=1)), _LETTER, dtype=np.uint64))
+    grams, of = [mixed(np.add.reduceat(codes * odd[place], ends - size))] if len(words) else [codes], [np.arange(len(words))]
+    rolled = codes
+    for n in range(2, GRAMS[1] + 1):
+        rolled = mixed(rolled[:len(codes) - n + 1] * _LETTER + codes[n - 1:]) if len(codes) >= n else rolled[:0]
+        if n >= GRAMS[0]:
+            whole = np.flatnonzero(place[:len(rolled)] + n <= size[word[:len(rolled)]])
+            grams.append(rolled[whole] + np.uint64(n))
+            of.append(word[whole])
+    return (np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(of)
 
 
 def _sums(values: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
@@ -72,14 +85,11 @@ def fit(texts: list[str], labels: list[int]) -> np.ndarray:
             word.append(number.setdefault(w, len(number)))
             share.append(n / total)
     doc, word, share = np.array(doc, dtype=np.int64), np.array(word, dtype=np.int64), np.array(share)
-    flat, sizes = array("i"), []
-    for w in number:
-        own = buckets(w)
-        flat.extend(own)
-        sizes.append(len(own))
-    gram = np.array(flat, dtype=np.int64)
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    part = np.repeat(1 / np.maximum(np.array(sizes, dtype=float), 1), sizes)
+    gram, of = buckets(list(number))
+    by = np.argsort(of, kind="stable")
+    gram, of = gram[by], of[by]
+    sizes = np.bincount(of, minlength=len(number))
+    part = np.repeat(1 / np.maximum(sizes, 1), sizes)
     # n-grams of fewer than RARE (text, word) pairs keep the weight zero: they would only fit noise.
     seen = np.bincount(word, minlength=len(sizes))
     keep = np.bincount(gram, seen[of], 1 << BITS)[gram] >= RARE
@@ -135,20 +145,30 @@ def fit(texts: list[str], labels: list[int]) -> np.ndarray:
     return weights
 
 
-def total(text: str, weights: np.ndarray, memo: dict[str, float]) -> float:
-    """Mean weight of the words of a text; a word counts as the mean of its n-grams."""
-    words = text.split()
-    for w in set(words).difference(memo):
-        memo[w] = float(weights[buckets(w)].mean())
-    return sum(map(memo.__getitem__, words)) / max(len(words), 1)
+def totals(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """Mean weight of the words of each text; a word counts as the mean of its n-grams. Distinct words are looked up once for many texts."""
+    out, at = np.zeros(len(texts)), 0
+    while at < len(texts):
+        words, sizes = [], []
+        while at + len(sizes) < len(texts) and (not sizes or len(words) < TOGETHER):
+            own = texts[at + len(sizes)].split()
+            words += own
+            sizes.append(len(own))
+        if words:
+            of, distinct = pd.factorize(np.array(words, dtype=object))
+            gram, owner = buckets(distinct.tolist())
+            value = np.bincount(owner, weights[gram], len(distinct)) / np.bincount(owner, minlength=len(distinct))
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            out[at:at + len(sizes)] = np.bincount(text, value[of], len(sizes)) / np.maximum(sizes, 1)
+        at += len(sizes)
+    return out
 
 
 def calibrated(texts: list[str], labels: list[int], toxic_share: float) -> np.ndarray:
     """``fit`` on four fifths of the texts; on the rest, the cut with the least expected error at the true share of toxic rows becomes score 0.5."""
     own = [i for i in range(len(texts)) if i % 5]
     weights = fit([texts[i] for i in own], [labels[i] for i in own])
-    memo: dict[str, float] = {}
-    z = np.array([total(texts[i], weights, memo) for i in range(0, len(texts), 5)])
+    z = totals(texts[::5], weights)
     y = np.array([labels[i] for i in range(0, len(texts), 5)])
     if len(z) == 0 or y.min() == y.max():
         weights[-1] += np.log(toxic_share / (1 - toxic_share))
@@ -196,16 +216,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     weights, intercept = model.weights, model.intercept
 
     @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, float] = {}
-        for texts in batches:
-            out = np.zeros(len(texts))
-            for i, t in enumerate(texts):
-                if len(memo) > MEMO:
-                    memo.clear()
-                z = STEEP * (total(t, weights, memo) + intercept)
-                out[i] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pd.Series(out)
+    def scores(texts: pd.Series) -> pd.Series:
+        z = STEEP * (totals(texts.tolist(), weights) + intercept)
+        return pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
     out = packed(docs, __text=text_of(text)).withColumn("score", scores("__text"))
     return unpacked(out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), "score", "predicted")
