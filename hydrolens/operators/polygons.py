@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from hydrolens.functions import geo
+from hydrolens.operators.sweep import near_edges
 from hydrolens.session import materialize
 
 # --- flat polygons ------------------------------------------------------------------------
@@ -145,15 +146,21 @@ def _ring_area(ring: np.ndarray, planar: bool) -> float:
 
 
 def _ring_crosses(ring: np.ndarray) -> bool:
+    """Do two edges that are not neighbours meet?"""
     s = _segments(ring)
     n = len(s)
     if n < 4:
         return False
-    if _edges_meet(s, s, proper=True).any():
-        return True
-    # touching of edges that are not neighbours also makes a ring invalid
-    i, j = np.nonzero(np.triu(_edges_meet(s, s, proper=False), 2))
-    return bool(np.any(~((i == 0) & (j == n - 1))))
+    for i, j in near_edges(s):
+        gap = j[None, :] - i[:, None]
+        apart = (gap >= 2) & (gap < n - 1)
+        if apart.any() and (apart & _edges_meet(s[i], s[j], proper=False)).any():
+            return True
+    return False
+
+
+def _any_meet(s: np.ndarray, t: np.ndarray) -> bool:
+    return any(_edges_meet(s[i], t[j], proper=False).any() for i, j in near_edges(s, t))
 
 
 @pandas_udf(T.BooleanType())
@@ -180,7 +187,7 @@ def _intersects(a: pd.Series, na: pd.Series, ka: pd.Series, b: pd.Series, nb: pd
             return True
         left, right = _split(xy_l, n_l), _split(xy_r, n_r)
         areal_l, areal_r = kind_l.endswith("Polygon"), kind_r.endswith("Polygon")
-        if _edges_meet(edges(left, areal_l), edges(right, areal_r), proper=False).any():
+        if _any_meet(edges(left, areal_l), edges(right, areal_r)):
             return True
         # no edges meet: one lies within the other, or they are apart
         if areal_r and any(_inside(*x[0], right) for x in left):
@@ -282,20 +289,16 @@ def simplify(df: DataFrame, tolerance: float, geom: str = "geometry") -> DataFra
 def _cuts(edges: np.ndarray) -> np.ndarray:
     """All x positions where the order of edges may change: end points and crossings."""
     xs = [edges[:, 0], edges[:, 2]]
-    for i in range(len(edges) - 1):
-        a, rest = edges[i], edges[i + 1 :]
-        r = a[2:] - a[:2]
-        s = rest[:, 2:] - rest[:, :2]
-        w = rest[:, :2] - a[:2]
-        den = r[0] * s[:, 1] - r[1] * s[:, 0]
-        apart = den == 0
-        if apart.all():
-            continue
+    for i, j in near_edges(edges):
+        a, c = edges[i][:, None, :], edges[j][None, :, :]
+        r, s, w = a[..., 2:] - a[..., :2], c[..., 2:] - c[..., :2], c[..., :2] - a[..., :2]
+        den = r[..., 0] * s[..., 1] - r[..., 1] * s[..., 0]
+        apart = (den == 0) | (j[None, :] <= i[:, None])
         safe = np.where(apart, 1.0, den)
-        t = (w[:, 0] * s[:, 1] - w[:, 1] * s[:, 0]) / safe
-        u = (w[:, 0] * r[1] - w[:, 1] * r[0]) / safe
+        t = (w[..., 0] * s[..., 1] - w[..., 1] * s[..., 0]) / safe
+        u = (w[..., 0] * r[..., 1] - w[..., 1] * r[..., 0]) / safe
         hit = ~apart & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        xs.append(a[0] + t[hit] * r[0])
+        xs.append((a[..., 0] + t * r[..., 0])[hit])
     return np.unique(np.concatenate(xs))
 
 
@@ -341,11 +344,19 @@ def union_trapezoids(polygons: list[list[np.ndarray]]) -> list[np.ndarray]:
     slope = (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
     result = []
     cuts = _cuts(e)
-    for x0, x1 in zip(cuts[:-1], cuts[1:]):
+    # The status of the sweep: edges that began and have not ended.
+    begin = np.argsort(e[:, 0], kind="stable")
+    until = np.searchsorted(e[begin, 0], cuts, side="right")
+    status = np.empty(0, dtype=np.int64)
+    at = 0
+    for k, (x0, x1) in enumerate(zip(cuts[:-1], cuts[1:])):
         mid = (x0 + x1) / 2
-        active = np.flatnonzero((e[:, 0] <= mid) & (e[:, 2] >= mid))
+        status = np.concatenate([status[e[status, 2] > x0], begin[at:until[k]]])
+        at = until[k]
+        active = status[(e[status, 0] <= mid) & (e[status, 2] >= mid)]
         if len(active) == 0:
             continue
+        active = np.sort(active)
         y_mid = e[active, 1] + (mid - e[active, 0]) * slope[active]
         inside: set[int] = set()
         start = None
