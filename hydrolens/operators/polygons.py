@@ -368,7 +368,8 @@ def union_trapezoids(polygons: list[list[np.ndarray]]) -> list[np.ndarray]:
             elif before and not inside:
                 low = [e[start, 1] + (x - e[start, 0]) * slope[start] for x in (x0, x1)]
                 high = [e[k, 1] + (x - e[k, 0]) * slope[k] for x in (x0, x1)]
-                if max(high[0] - low[0], high[1] - low[1]) > 0:
+                # Strips as thin as the rounding of their corners are no area.
+                if max(high[0] - low[0], high[1] - low[1]) > 8 * np.spacing(max(map(abs, (*low, *high)))) and x1 - x0 > 8 * np.spacing(max(abs(x0), abs(x1))):
                     result.append(np.array([(x0, low[0]), (x1, low[1]), (x1, high[1]), (x0, high[0]), (x0, low[0])]))
     return result
 
@@ -475,37 +476,42 @@ def _whole(df: DataFrame, group: list[str], size: float, origin: tuple[float, fl
     return df.select(*group, F.array(x0, y0, x1, y0, x1, y1, x0, y1, x0, y0).alias("xy"), area.alias("area_m2"))
 
 
-def dissolve(df: DataFrame, keys: list[str], bucket: float = 0.01, crowd: int = 500, planar: bool = False,
-             origin: tuple[float, float] = (0.0, 0.0), split: int = 16) -> DataFrame:
+def dissolve(df: DataFrame, keys: list[str], bucket: float = 0.01, crowd: int = 4000, planar: bool = False,
+             origin: tuple[float, float] = (0.0, 0.0), split: int = 4, levels: int = 12) -> DataFrame:
     """Union of polygons per key as disjoint convex pieces: (keys, bx, by, xy, area_m2), rings counter-clockwise.
 
     Work is split by grid bucket: every polygon is cut to the buckets it meets, exact copies are dropped, and a
     bucket that some piece fills is taken as a whole, without its other pieces. Buckets that still hold more
-    than ``crowd`` pieces are split into ``split`` x ``split`` smaller ones and treated the same way, so a
-    crowded place is shared by many tasks. ``planar`` measures in the units of the coordinates.
+    than ``crowd`` vertices are cut into ``split`` x ``split`` smaller ones, on a stored level of their own, until none does; so no task
+    gathers a crowded place, however many outlines meet there. Only outlines through one point can end at the last level. ``planar``
+    measures in the units of the coordinates.
     """
     group = [*keys, "bx", "by"]
     columns = [*group, "xy", "area_m2"]
-    # the pieces are read several times below, so they are cut once
-    rows = materialize(bucket_pieces(df, keys, bucket, planar, origin))
-    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.bool_or("filled").alias("__full"))
-    whole = _whole(counts.where("__full"), group, bucket, origin, planar, "bx", "by")
-    busy = counts.where(~F.col("__full"))
-    calm = _united(rows.join(busy.where(F.col("__n") <= crowd).select(*group), group), group, planar)
-    result = whole.select(*columns).unionByName(calm.select(*columns))
-    thick = busy.where(F.col("__n") > crowd).select(*group)
-    if not thick.limit(1).collect():
-        return result
-    # crowded buckets once more, on a finer grid inside the same bucket
-    crowded = rows.join(thick, group).select(*keys, F.col("bx").alias("__gx"), F.col("by").alias("__gy"), "xy", "size")
+    rows = bucket_pieces(df, keys, bucket, planar, origin).select(
+        *keys, F.col("bx").alias("__gx"), F.col("by").alias("__gy"), "bx", "by", "xy", "size", "filled")
     held = [*keys, "__gx", "__gy"]
     inner = [*held, "bx", "by"]
-    fine = materialize(_cut(crowded.repartition(*held, F.xxhash64("xy")), held, bucket / split, origin, planar).dropDuplicates([*inner, "xy", "size"]))
-    filled = fine.where("filled").select(*inner).distinct()
-    back = [*keys, F.col("__gx").alias("bx"), F.col("__gy").alias("by"), "xy", "area_m2"]
-    fine_whole = _whole(filled, inner, bucket / split, origin, planar, "bx", "by").select(*back)
-    fine_open = _united(fine.join(filled, inner, "left_anti"), inner, planar).select(*back)
-    return result.unionByName(fine_whole).unionByName(fine_open)
+    home = [*keys, F.col("__gx").alias("bx"), F.col("__gy").alias("by"), "xy", "area_m2"]
+    result, size = None, bucket
+    for level in range(levels):
+        # the pieces of a level are read several times, so they are cut once
+        rows = materialize(rows)
+        counts = rows.groupBy(*inner).agg(F.sum(F.size("xy") / 2).alias("__n"), F.bool_or("filled").alias("__full"))
+        last = level == levels - 1
+        whole = _whole(counts.where("__full"), inner, size, origin, planar, "bx", "by")
+        busy = counts.where(~F.col("__full")).select(*inner, (F.lit(not last) & (F.col("__n") > crowd)).alias("__crowded"))
+        told = rows.join(busy, inner)
+        calm = _united(told.where("not __crowded"), inner, planar)
+        part = whole.select(*home).unionByName(calm.select(*home))
+        result = part if result is None else result.unionByName(part)
+        crowded = told.where("__crowded").select(*held, "xy", "size")
+        # one row tells whether another level is needed
+        if last or not busy.where("__crowded").limit(1).count():
+            break
+        size /= split
+        rows = _cut(crowded.repartition(*held, F.xxhash64("xy")), held, size, origin, planar).dropDuplicates([*inner, "xy", "size"])
+    return result.select(*columns)
 
 
 def union_area(df: DataFrame, keys: list[str], bucket: float = 0.01) -> DataFrame:

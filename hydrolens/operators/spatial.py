@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hydrolens.functions import constants as K
 from hydrolens.functions import geo
-from hydrolens.operators import polygons
+from hydrolens.operators import outlines, polygons
 
 
 def bbox_of(*names: str) -> Column:
@@ -50,22 +50,40 @@ def bbox_join(left: DataFrame, right: DataFrame, left_box: str = "bbox", right_b
 
 
 def spatial_join(left: DataFrame, right: DataFrame, bucket_deg: float = 0.02, left_geometry: str = "geometry", right_geometry: str = "right_geometry") -> DataFrame:
-    """Pairs of rows whose geometries meet: boxes by bucket, then the exact test."""
-    a = left.withColumn("__lbox", F.col(left_geometry)["bbox"])
-    b = right.withColumn("__rbox", F.col(right_geometry)["bbox"])
-    pairs = bbox_join(a, b, "__lbox", "__rbox", bucket_deg).drop("__lbox", "__rbox")
-    return pairs.where(polygons.intersects(left_geometry, right_geometry))
+    """Pairs of rows whose geometries meet: boxes by bucket, then the exact test.
+
+    Geometries that are boxes are joined apart from the others, so that two boxes never reach Python.
+    """
+    a = left.withColumn("__lbox", F.col(left_geometry)["bbox"]).withColumn("__lplain", polygons.is_box(left_geometry))
+    b = right.withColumn("__rbox", F.col(right_geometry)["bbox"]).withColumn("__rplain", polygons.is_box(right_geometry))
+
+    def pairs(l: DataFrame, r: DataFrame) -> DataFrame:
+        return bbox_join(l, r, "__lbox", "__rbox", bucket_deg).drop("__lbox", "__rbox", "__lplain", "__rplain")
+
+    def told(df: DataFrame, flag: str, plain: bool) -> DataFrame:
+        return df.where(F.coalesce(F.col(flag), F.lit(False)) if plain else ~F.coalesce(F.col(flag), F.lit(False)))
+
+    boxes = pairs(told(a, "__lplain", True), told(b, "__rplain", True))
+    exact = pairs(told(a, "__lplain", True), told(b, "__rplain", False)).unionByName(pairs(told(a, "__lplain", False), b))
+    return boxes.unionByName(exact.where(polygons.intersects(left_geometry, right_geometry)))
 
 
 def left_spatial_join(cells: DataFrame, extents: DataFrame, prefix: str, key: str = "cell_id", bucket_deg: float = 0.02) -> DataFrame:
-    """Every cell with the box extents of one key prefix that meet it; cells without any are kept."""
+    """Every cell with the extents of one key prefix that meet it; cells without any are kept.
+
+    Extents with a ``geometry`` are met exactly, through their outlines; extents with a ``bbox`` alone are boxes.
+    """
+    if "geometry" in extents.columns:
+        return outlines.left_join(cells, extents.where(F.col("source_key").startswith(prefix)), "source_key", key)
     wanted = extents.where(F.col("source_key").startswith(prefix)).withColumnRenamed("bbox", "right_bbox")
     pairs = bbox_join(cells.select(key, "bbox"), wanted, "bbox", "right_bbox", bucket_deg).drop("bbox", "right_bbox")
     return cells.join(pairs, key, "left")
 
 
 def historical_count(cells: DataFrame, extents: DataFrame, prefix: str, key: str = "cell_id", bucket_deg: float = 0.02) -> DataFrame:
-    """Largest event count of the frequency extents that meet each cell, zero without any."""
+    """Largest event count of the frequency extents that meet each cell, zero without any. Geometries are met exactly."""
+    if "geometry" in extents.columns:
+        return outlines.largest_count(cells, extents.where(F.col("source_key").startswith(prefix)), key=key)
     wanted = extents.where(F.col("source_key").startswith(prefix)).select(F.col("bbox").alias("right_bbox"), "event_count")
     counts = (
         bbox_join(cells.select(key, "bbox"), wanted, "bbox", "right_bbox", bucket_deg)
@@ -112,16 +130,13 @@ def union_fraction(cells: DataFrame, extents: DataFrame, keys: Sequence[str] = (
 
     Extents are first dissolved into disjoint pieces, whose overlaps may then be added up.
     """
-    pieces = polygons.dissolve(extents, list(keys), bucket_deg)
-    x, y = _axis("xy", 0), _axis("xy", 1)
-    boxed = pieces.select(
-        *keys, "xy",
-        F.struct(F.array_min(x).alias("xmin"), F.array_min(y).alias("ymin"), F.array_max(x).alias("xmax"), F.array_max(y).alias("ymax")).alias("right_bbox"),
-    )
-    pairs = bbox_join(cells.select(key, "bbox"), boxed, "bbox", "right_bbox", bucket_deg)
-    b = F.col("bbox")
-    area = polygons._clip_area("xy", F.array(F.size("xy") / 2).cast("array<int>"), F.array(F.lit(False)), b["xmin"], b["ymin"], b["xmax"], b["ymax"])
-    overlaps = pairs.withColumn("overlap_m2", area).where(F.col("overlap_m2") > 0)
+    pieces = outlines.outline(extents, list(keys), bucket_deg)
+    return outline_fraction(cells, pieces, keys, key, bucket_deg)
+
+
+def outline_fraction(cells: DataFrame, pieces: DataFrame, keys: Sequence[str] = ("event_id",), key: str = "cell_id", bucket_deg: float = 0.02) -> DataFrame:
+    """As ``union_fraction`` for extents that are outlines already, as an import leaves them. ``bucket_deg`` is that of the outline."""
+    overlaps = outlines.overlaps(cells, pieces, list(keys), key, bucket_deg)
     return flooded_fraction(cells, overlaps, key, keys)
 
 

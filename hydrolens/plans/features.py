@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hydrolens.functions import constants as K
 from hydrolens.functions import geo
 from hydrolens.functions import scalars as S
-from hydrolens.operators import aggregates, joins, polygons, rain as R, raster, spatial, validate
+from hydrolens.operators import aggregates, joins, outlines, polygons, rain as R, raster, spatial, validate
 from hydrolens.operators.ranking import running_totals, with_percentile
 from hydrolens.operators.relational import by_label_source
 from hydrolens.session import materialize
@@ -220,7 +220,7 @@ def event_catalog(extents: DataFrame, cells: DataFrame, rain: DataFrame, source:
     """One row per event with area, rainfall, terrain means and flood frequency.
 
     Overlap means weight a cell once per (extent, frequency extent) it meets; ``distinct_cells`` counts it once.
-    ``union=False`` skips the dissolve when each source key is a single polygon or box.
+    ``union=False`` skips the dissolve when each source key is a single polygon or box. Extents with a geometry are met exactly.
     """
     named = by_label_source(extents, source, prefix).where(F.col("event_id").isNotNull() & F.col("observed_start_date").isNotNull())
     b = F.col("bbox")
@@ -235,11 +235,17 @@ def event_catalog(extents: DataFrame, cells: DataFrame, rain: DataFrame, source:
     )
     dates = aggregates.event_bounds(named).select("event_id", F.col("event_start_date").alias("start_date"), F.col("event_end_date").alias("end_date"))
     # the overlap reads every extent of the event, whatever its source
-    all_extents = extents.join(area.select("event_id"), "event_id", "left_semi").select("event_id", F.col("bbox").alias("right_bbox"))
-    met = spatial.bbox_join(cells.select(key, "bbox"), all_extents, "bbox", "right_bbox").select("event_id", key)
-    frequency = extents.where(F.col("source_key").startswith(f"{prefix}:gfd:frequency:")).select(F.col("bbox").alias("right_bbox"), "event_count")
+    all_extents = extents.join(area.select("event_id"), "event_id", "left_semi")
+    frequent = extents.where(F.col("source_key").startswith(f"{prefix}:gfd:frequency:"))
+    if "geometry" in extents.columns:
+        met = outlines.meeting(cells, outlines.outline(all_extents, ["event_id", "source_key"]), ["event_id", "source_key"], key).select("event_id", key)
+        frequency = outlines.meeting(cells, outlines.outline(frequent, ["source_key"]), ["source_key"], key).join(
+            frequent.groupBy("source_key").agg(F.max("event_count").alias("event_count")), "source_key")
+    else:
+        met = spatial.bbox_join(cells.select(key, "bbox"), all_extents.select("event_id", F.col("bbox").alias("right_bbox")), "bbox", "right_bbox").select("event_id", key)
+        frequency = spatial.bbox_join(cells.select(key, "bbox"), frequent.select(F.col("bbox").alias("right_bbox"), "event_count"), "bbox", "right_bbox")
     # cells carry how many frequency extents they meet, so the fan-out is a weight and not a row explosion
-    weights = spatial.bbox_join(cells.select(key, "bbox"), frequency, "bbox", "right_bbox").groupBy(key).agg(
+    weights = frequency.groupBy(key).agg(
         F.count(F.lit(1)).alias("__w"), F.max("event_count").alias("__f")
     )
     if distinct_cells:
@@ -327,7 +333,7 @@ def import_extents(features: DataFrame, boundary: DataFrame | None, group_by: st
 
     Returns (extents, pieces, skipped, rejected): one row per group with its area, box and counts; the disjoint
     pieces that make up each extent; groups that do not meet the boundary; features without a usable group value.
-    A dissolved outline is kept as its pieces, so no task has to hold a whole extent.
+    A dissolved extent is kept as its outline (see ``operators.outlines``), which the overlays take; so no task has to hold a whole extent.
     """
     usable, rejected = validate.validate(features, validate.group_rules("properties", group_by))
     grouped = usable.withColumn("group_value", F.try_element_at("properties", F.lit(group_by)))
@@ -336,11 +342,10 @@ def import_extents(features: DataFrame, boundary: DataFrame | None, group_by: st
         pieces = polygons.dissolve(parts, ["group_value"], bucket_deg)
     else:
         pieces = polygons.clip_to_boundary(parts, boundary, ["group_value"], bucket_deg)
-    pieces = materialize(pieces)
-    xs, ys = spatial._axis("xy", 0), spatial._axis("xy", 1)
+    pieces = materialize(outlines.boxed(pieces))
     measured = pieces.groupBy("group_value").agg(
         (F.sum("area_m2") / 1e6).alias("area_km2"),
-        F.struct(F.min(F.array_min(xs)).alias("xmin"), F.min(F.array_min(ys)).alias("ymin"), F.max(F.array_max(xs)).alias("xmax"), F.max(F.array_max(ys)).alias("ymax")).alias("bbox"),
+        F.struct(*[f(f"box.{c}").alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))]).alias("bbox"),
         F.count(F.lit(1)).alias("pieces"),
     )
     sources = parts.groupBy("group_value").agg(F.count(F.lit(1)).alias("source_feature_count"))
@@ -378,6 +383,7 @@ def _import_events(features, boundary, source: str, prefix: str, optional: list[
         "area_km2", "bbox", "source_feature_count", *optional, bad.alias("__bad"),
     )
     inconsistent = described.where("__bad").select(F.col("event_id").alias("group_value"), F.lit("missing or inconsistent event dates").alias("reason"))
+    pieces = pieces.withColumn("event_id", event)
     return described.where(~F.col("__bad")).drop("__bad"), pieces, skipped.unionByName(inconsistent), rejected
 
 

@@ -6,7 +6,7 @@ from hydrolens.functions import geo
 from hydrolens.functions import scalars as S
 from hydrolens.operators import aggregates as A
 from hydrolens.operators import joins as J
-from hydrolens.operators import raster
+from hydrolens.operators import outlines, raster
 from hydrolens.operators import ranking
 from hydrolens.operators import relational as P
 from hydrolens.operators import spatial
@@ -336,6 +336,35 @@ def j4(v):
     return j.groupBy("cell_id").agg(F.count("extent_id").alias("extents"), F.max("event_count").alias("event_count"))
 
 
+# the lower left half of each label box
+TRIANGLE = f"{MEET} AND (GREATEST(c.xmin, f.xmin) - f.xmin) / (f.xmax - f.xmin) + (GREATEST(c.ymin, f.ymin) - f.ymin) / (f.ymax - f.ymin) <= 1"
+
+
+def triangles(df):
+    def p(x, y):
+        return F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+
+    ring = F.array(p("xmin", "ymin"), p("xmax", "ymin"), p("xmin", "ymax"), p("xmin", "ymin"))
+    return df.withColumn("geometry", geo.geometry(F.lit("Polygon"), F.array(ring), F.array(F.lit(0)), F.array(F.lit(False))))
+
+
+@query("j4_left_outline_join", "v_cells", "v_labels", sql=f"""
+SELECT c.cell_id, COUNT(f.extent_id) AS extents, MAX(f.event_count) AS event_count FROM v_cells c
+LEFT JOIN v_labels f ON f.source_key LIKE 'demo:gfd:frequency:%' AND {TRIANGLE} GROUP BY c.cell_id""")
+def j4_outline(v):
+    e = triangles(v.v_labels).select("extent_id", "source_key", "event_count", "geometry")
+    j = spatial.left_spatial_join(spatial.with_box(v.v_cells).select("cell_id", "bbox"), e, "demo:gfd:frequency:")
+    return j.groupBy("cell_id").agg(F.count("extent_id").alias("extents"), F.max("event_count").alias("event_count"))
+
+
+@query("a10_event_cells", "v_cells", "v_labels", sql=f"""
+SELECT f.event_id, COUNT(DISTINCT c.cell_id) AS cells, CAST(SUM(DISTINCT c.cell_id) AS BIGINT) AS ids FROM v_cells c JOIN v_labels f ON {TRIANGLE} GROUP BY f.event_id""")
+def a10(v):
+    pieces = outlines.outline(triangles(v.v_labels), ["event_id"])
+    met = outlines.meeting(spatial.with_box(v.v_cells), pieces, ["event_id"])
+    return met.groupBy("event_id").agg(F.count("cell_id").alias("cells"), F.sum("cell_id").alias("ids"))
+
+
 @query("j5_spatial_join", "v_cells", "v_labels", sql=f"SELECT c.cell_id, f.extent_id FROM v_cells c JOIN v_labels f ON {MEET}")
 def j5(v):
     c = v.v_cells.select("cell_id", geo.box("xmin", "ymin", "xmax", "ymax").alias("geometry"))
@@ -509,6 +538,12 @@ def a12(v):
     return spatial.historical_count(spatial.with_box(v.v_cells), spatial.with_box(v.v_labels), "demo:gfd:frequency:")
 
 
+@query("a12_outline_count", "v_cells", "v_labels", sql=f"""
+SELECT c.cell_id, COALESCE(MAX(f.event_count), 0) AS historical_event_count FROM v_cells c LEFT JOIN v_labels f ON f.source_key LIKE 'demo:gfd:frequency:%' AND {TRIANGLE} GROUP BY c.cell_id""")
+def a12_outline(v):
+    return spatial.historical_count(spatial.with_box(v.v_cells), triangles(v.v_labels), "demo:gfd:frequency:")
+
+
 @query("a13_grid_summary", "v_cells", sql="""
 SELECT COUNT(*) AS cell_count, MIN(elevation_mean_m) AS min_elevation_mean_m, MAX(elevation_mean_m) AS max_elevation_mean_m, ROUND(AVG(elevation_mean_m), 6) AS mean_elevation_mean_m,
   MIN(hand_mean_m) AS min_hand_mean_m, MAX(hand_mean_m) AS max_hand_mean_m, ROUND(AVG(hand_mean_m), 6) AS mean_hand_mean_m FROM v_cells""")

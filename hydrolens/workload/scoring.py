@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hydrolens.functions import constants as K
+from hydrolens.functions import geo
 from hydrolens.functions import scalars as S
 from hydrolens.operators import aggregates as A
 from hydrolens.operators import rain as R
@@ -409,7 +410,8 @@ def d11(v):
 @query("d16_event_catalog", "v_cells", "v_labels", "v_history")
 def d16(v):
     cells = spatial.with_box(features.typed_catalog(v.v_cells))
-    c = features.event_catalog(spatial.with_box(v.v_labels), cells, rain_history(v)[0], union=False)
+    labels = spatial.with_box(v.v_labels).withColumn("geometry", geo.box("xmin", "ymin", "xmax", "ymax"))
+    c = features.event_catalog(labels, cells, rain_history(v)[0])
     return rounded(c.select("event_id", "start_date", "flood_area_km2", "mean_hand_m", "historical_flood_frequency", "max_flood_area_km2"), flood_area_km2=6, mean_hand_m=6, max_flood_area_km2=6)
 
 

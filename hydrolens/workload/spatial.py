@@ -6,6 +6,8 @@ from hydrolens.functions import geo
 from hydrolens.operators import aggregates as A
 from hydrolens.operators import polygons, raster, spatial
 from hydrolens.plans import features
+from hydrolens.session import scratch_path
+from hydrolens.sources import geojson
 from hydrolens.workload.registry import near, nudged, query, rounded
 from hydrolens.workload.relational import MEET
 
@@ -208,12 +210,107 @@ def g12_polygon(v):
     return rounded(spatial.flooded_fraction(cells, o), flooded_fraction=6)
 
 
-@query("g12_union_fraction", "v_cells", "v_labels")
+# elementary rectangles that some box of an event covers
+RECTANGLES = """xs AS (SELECT DISTINCT event_id, x FROM (SELECT event_id, xmin AS x FROM v_labels UNION ALL SELECT event_id, xmax FROM v_labels)),
+ys AS (SELECT DISTINCT event_id, y FROM (SELECT event_id, ymin AS y FROM v_labels UNION ALL SELECT event_id, ymax FROM v_labels)),
+xi AS (SELECT event_id, x AS x0, LEAD(x) OVER (PARTITION BY event_id ORDER BY x) AS x1 FROM xs),
+yi AS (SELECT event_id, y AS y0, LEAD(y) OVER (PARTITION BY event_id ORDER BY y) AS y1 FROM ys),
+covered AS (SELECT DISTINCT xi.event_id, x0, x1, y0, y1 FROM v_labels f JOIN xi ON f.event_id = xi.event_id AND x0 >= f.xmin AND x1 <= f.xmax JOIN yi ON f.event_id = yi.event_id AND y0 >= f.ymin AND y1 <= f.ymax)"""
+
+
+def fraction_sql(limits: str = "(-1e9, -1e9, 1e9, 1e9)") -> str:
+    """Share of each cell that each event covers inside a box, from the elementary rectangles."""
+    part = area_sql("GREATEST(c.xmin, f.x0)", "GREATEST(c.ymin, f.y0)", "LEAST(c.xmax, f.x1)", "LEAST(c.ymax, f.y1)")
+    a, b, c, d = limits.strip("()").split(", ")
+    return f"""WITH {RECTANGLES},
+f AS (SELECT event_id, GREATEST(x0, {a}) AS x0, GREATEST(y0, {b}) AS y0, LEAST(x1, {c}) AS x1, LEAST(y1, {d}) AS y1 FROM covered)
+SELECT f.event_id, c.cell_id, ROUND(LEAST(1e0, SUM({part}) / MAX({CELL})), 6) AS flooded_fraction
+FROM f JOIN v_cells c ON c.xmin < f.x1 AND c.xmax > f.x0 AND c.ymin < f.y1 AND c.ymax > f.y0 WHERE f.x0 < f.x1 AND f.y0 < f.y1 GROUP BY f.event_id, c.cell_id"""
+
+
+@query("g12_union_fraction", "v_cells", "v_labels", sql=fraction_sql())
 def g12_union(v):
     f = spatial.union_fraction(spatial.with_box(v.v_cells), boxes(v.v_labels))
     return rounded(f, flooded_fraction=6)
 
 
+# --- imports, from files to an overlay ------------------------------------------------------
+
+
+def feature_json(geom: str = "geometry", **properties):
+    """A GeoJSON feature of a polygon with one ring."""
+    ring = F.transform(F.col(geom)["rings"][0], lambda p: F.array(p["x"], p["y"]))
+    return F.to_json(F.struct(
+        F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
+        F.struct(*[c.cast("string").alias(n) for n, c in properties.items()]).alias("properties")))
+
+
+def written(df, name: str, **options) -> str:
+    """Write the one text column of ``df`` to a new folder below the shared checkpoint folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.options(**options).text(path)
+    return path
+
+
+def label_features(v):
+    event = {"event_id": F.col("event_id"), "event_start_date": F.col("observed_date"), "event_end_date": F.date_add("observed_date", 5), "extent_id": F.col("extent_id")}
+    return boxes(v.v_labels).select("extent_id", "event_id", feature_json(**event).alias("value"))
+
+
+@query("io1_read_features", "v_labels", sql=f"SELECT extent_id, ROUND({area_sql('xmin', 'ymin', 'xmax', 'ymax')}, 1) AS area_m2, CAST(observed_date AS VARCHAR) AS start_date FROM v_labels")
+def io1(v):
+    # collections of a hundred features, one file each
+    rows = label_features(v).withColumn("part", F.floor(F.col("extent_id") / 100))
+    documents = rows.groupBy("part").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
+    read = geojson.read_features(v.spark, written(documents.select("value"), "collections", maxRecordsPerFile=1))
+    return rounded(read.select(F.col("properties")["extent_id"].cast("bigint").alias("extent_id"), geo.area_m2("geometry").alias("area_m2"), F.col("properties")["event_start_date"].alias("start_date")), area_m2=1)
+
+
+def boundary_file(v, limits=None) -> str:
+    hull = area_of_cells(v) if limits is None else area_of_cells(v).select(geo.box(*[F.lit(float(h[:-2])) for h in limits]).alias("geometry"))
+    return written(hull.select(feature_json(pcode=F.lit("demo-1"), township=F.lit("Demo")).alias("value")), "boundary")
+
+
+@query("io2_read_boundary", "v_cells", sql="SELECT MIN(xmin) AS xmin, MIN(ymin) AS ymin, MAX(xmax) AS xmax, MAX(ymax) AS ymax, 'demo-1' AS pcode FROM v_cells")
+def io2(v):
+    b = geojson.read_boundary(v.spark, boundary_file(v))
+    return b.select("geometry.bbox.*", F.col("properties")["pcode"].alias("pcode"))
+
+
+@query("g18_boundary_feature", "v_cells", sql="SELECT 'Demo' AS name, 'township_boundary' AS asset_type, 'boundary:demo-1' AS source_key, MIN(xmin) AS xmin, MAX(ymax) AS ymax FROM v_cells")
+def g18(v):
+    b = geojson.boundary_feature(geojson.read_boundary(v.spark, boundary_file(v)), "none", "none")
+    return b.select("name", "asset_type", "source_key", "geometry.bbox.xmin", "geometry.bbox.ymax")
+
+
+UNION_COUNT_SQL = f"SELECT u.event_id AS group_value, 'demo:event_id=' || u.event_id AS source_key, u.union_area_m2, n.features FROM ({UNION_SQL}) u JOIN (SELECT event_id, COUNT(*) AS features FROM v_labels GROUP BY event_id) n ON u.event_id = n.event_id"
+
+
+@query("d6_import_extents", "v_labels", sql=UNION_COUNT_SQL)
+def d6(v):
+    lines = written(label_features(v).select("value"), "features")
+    extents, _, _, _ = features.import_extents(geojson.read_feature_lines(v.spark, lines), None, "event_id", "demo")
+    return rounded(extents.select("group_value", "source_key", (F.col("area_km2") * 1e6).alias("union_area_m2"), F.col("source_feature_count").alias("features")), union_area_m2=0)
+
+
+@query("d7_import_to_fraction", "v_cells", "v_labels", sql=fraction_sql(f"({', '.join(HALF)})"))
+def d7(v):
+    lines = written(label_features(v).select("value"), "features")
+    boundary = geojson.read_boundary(v.spark, boundary_file(v, HALF))
+    _, pieces, _, _ = features.import_gfd_events(geojson.read_feature_lines(v.spark, lines), boundary)
+    return rounded(spatial.outline_fraction(spatial.with_box(v.v_cells), pieces, ["event_id"], bucket_deg=0.01), flooded_fraction=6)
+
+
+@query("d8_import_sar", "v_labels", sql=f"""
+SELECT 'demo:sar:event:sar-' || u.event_id AS source_key, u.event_id AS reference_gfd_event_id, 'sar' AS label_source, u.union_area_m2, e.start_date
+FROM ({UNION_SQL}) u JOIN (SELECT event_id, MIN(observed_date) AS start_date FROM v_labels GROUP BY event_id) e ON u.event_id = e.event_id""")
+def d8(v):
+    event = {"event_id": F.concat(F.lit("sar-"), "event_id"), "event_start_date": F.col("observed_date"), "event_end_date": F.date_add("observed_date", 5)}
+    lines = written(boxes(v.v_labels).select(feature_json(**event).alias("value")), "sar-features")
+    extents, _, _, _ = features.import_sar_events(geojson.read_feature_lines(v.spark, lines), None)
+    return rounded(extents.select("source_key", "reference_gfd_event_id", "label_source", (F.col("area_km2") * 1e6).alias("union_area_m2"), F.col("observed_start_date").alias("start_date")), union_area_m2=0)
+
+
 @query("a11_cell_overlap", "v_cells", "v_labels", sql=f"""
 SELECT c.cell_id, ROUND(SUM(CASE WHEN {INNER} THEN {CLIP} ELSE 0e0 END), 1) AS flooded_area_m2, MAX(f.event_count) AS event_count_max,
   ROUND(SUM(CASE WHEN {INNER} THEN {CLIP} ELSE 0e0 END * f.event_count), 1) AS weighted_area_events FROM v_cells c JOIN v_labels f ON {MEET} GROUP BY c.cell_id""")
