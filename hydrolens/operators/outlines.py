@@ -36,9 +36,10 @@ def outline(extents: DataFrame, keys: Sequence[str], bucket_deg: float = BUCKET_
 
 
 def _is_box() -> Column:
+    """A ring of the four corners of its box, from the lower left one on."""
     b = F.col("box")
-    corners = F.forall(_axis(0), lambda x: x.isin(b["xmin"], b["xmax"])) & F.forall(_axis(1), lambda y: y.isin(b["ymin"], b["ymax"]))
-    return (F.size("xy") == 10) & corners
+    corners = [b[c] for c in ("xmin", "ymin", "xmax", "ymin", "xmax", "ymax", "xmin", "ymax", "xmin", "ymin")]
+    return F.col("xy") == F.array(*corners)
 
 
 def _no_line_parts(b: Column) -> Column:
