@@ -203,7 +203,10 @@ def is_box(geom) -> Column:
     b = g["bbox"]
     ring = F.get(g["rings"], F.lit(0))
     corners = F.forall(ring, lambda p: p["x"].isin(b["xmin"], b["xmax"]) & p["y"].isin(b["ymin"], b["ymax"]))
-    return (g["type"] == "Polygon") & (F.size(g["rings"]) == 1) & (F.size(ring) == 5) & corners
+    # four corners, each beside the next
+    sides = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.get(ring, i)["x"] == F.get(ring, i + 1)["x"]) != (F.get(ring, i)["y"] == F.get(ring, i + 1)["y"]))
+    distinct = F.size(F.array_distinct(F.slice(ring, 1, 4))) == 4
+    return (g["type"] == "Polygon") & (F.size(g["rings"]) == 1) & (F.size(ring) == 5) & corners & distinct & sides
 
 
 def intersects(a, b) -> Column:

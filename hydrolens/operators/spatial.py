@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from hydrolens.functions import constants as K
 from hydrolens.functions import geo
 from hydrolens.operators import outlines, polygons
+from hydrolens.session import materialize
 
 
 def bbox_of(*names: str) -> Column:
@@ -54,18 +55,19 @@ def spatial_join(left: DataFrame, right: DataFrame, bucket_deg: float = 0.02, le
 
     Geometries that are boxes are joined apart from the others, so that two boxes never reach Python.
     """
-    a = left.withColumn("__lbox", F.col(left_geometry)["bbox"]).withColumn("__lplain", polygons.is_box(left_geometry))
-    b = right.withColumn("__rbox", F.col(right_geometry)["bbox"]).withColumn("__rplain", polygons.is_box(right_geometry))
+    a = left.withColumn("__lbox", F.col(left_geometry)["bbox"]).withColumn("__lplain", F.coalesce(polygons.is_box(left_geometry), F.lit(False)))
+    b = right.withColumn("__rbox", F.col(right_geometry)["bbox"]).withColumn("__rplain", F.coalesce(polygons.is_box(right_geometry), F.lit(False)))
 
     def pairs(l: DataFrame, r: DataFrame) -> DataFrame:
-        return bbox_join(l, r, "__lbox", "__rbox", bucket_deg).drop("__lbox", "__rbox", "__lplain", "__rplain")
+        return bbox_join(l, r, "__lbox", "__rbox", bucket_deg)
 
-    def told(df: DataFrame, flag: str, plain: bool) -> DataFrame:
-        return df.where(F.coalesce(F.col(flag), F.lit(False)) if plain else ~F.coalesce(F.col(flag), F.lit(False)))
+    def done(df: DataFrame) -> DataFrame:
+        return df.drop("__lbox", "__rbox", "__lplain", "__rplain")
 
-    boxes = pairs(told(a, "__lplain", True), told(b, "__rplain", True))
-    exact = pairs(told(a, "__lplain", True), told(b, "__rplain", False)).unionByName(pairs(told(a, "__lplain", False), b))
-    return boxes.unionByName(exact.where(polygons.intersects(left_geometry, right_geometry)))
+    both = F.col("__lplain") & F.col("__rplain")
+    boxes = done(pairs(a.where("__lplain"), b.where("__rplain")))
+    # the condition becomes part of the join
+    return boxes.unionByName(done(pairs(a, b).where(~both).where(polygons.intersects(left_geometry, right_geometry))))
 
 
 def left_spatial_join(cells: DataFrame, extents: DataFrame, prefix: str, key: str = "cell_id", bucket_deg: float = 0.02) -> DataFrame:
@@ -148,68 +150,108 @@ def _axis(xy: str, offset: int) -> Column:
 # --- nearest ------------------------------------------------------------------------------
 
 
+#: A level at which all buckets are one or, on either side of zero, two; so every point finds something there.
+_TOP = 40
+
+
+def _passed(segments: DataFrame, base_deg: float) -> DataFrame:
+    """Segments with the buckets (bx, by) of their ``level`` that they pass: along a segment, not over its box."""
+    width = F.lit(base_deg) * F.pow(F.lit(2.0), F.col("level"))
+    slack = width * 1e-9
+
+    def bucket(v: Column) -> Column:
+        return F.floor(v / width).cast("bigint")
+
+    x0, x1 = F.least("x1", "x2"), F.greatest("x1", "x2")
+    columns = segments.withColumn("bx", F.explode(F.sequence(bucket(x0 - slack), bucket(x1 + slack))))
+    left, right = F.greatest(F.col("bx") * width, x0), F.least((F.col("bx") + 1) * width, x1)
+
+    def y_at(x: Column) -> Column:
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(x - F.col("x1"), F.col("x2") - F.col("x1"))))
+        return F.col("y1") + share * (F.col("y2") - F.col("y1"))
+
+    upright = F.col("x1") == F.col("x2")
+    a, b = F.when(upright, F.col("y1")).otherwise(y_at(left)), F.when(upright, F.col("y2")).otherwise(y_at(right))
+    # the line is straight, so its y lies between those at the sides of the column
+    return columns.withColumn("by", F.explode(F.sequence(bucket(F.least(a, b) - slack), bucket(F.greatest(a, b) + slack))))
+
+
 def nearest_segments(points: DataFrame, segments: DataFrame, kind: str = "asset_type", key: str = "cell_id",
-                     base_deg: float = 0.005, levels: int = 17) -> DataFrame:
-    """Nearest segment of every kind for each point: chosen in degrees, reported in metres as well.
+                     base_deg: float = 0.005, levels: int = 17, k: int = 1) -> DataFrame:
+    """The ``k`` nearest segments of every kind for each point, with their ``rank``: chosen in degrees, reported in metres as well.
 
-    A pyramid of grids finds, per occupied point bucket, the finest level at which some segment vertex lies
-    in the surrounding 3x3 buckets. That vertex bounds the distance by less than four bucket widths, so the
-    3x3 buckets two levels up hold the true nearest segment. Everything is an equi-join on bucket keys.
+    Two rounds of equi-joins on bucket keys. First a bound: a pyramid of grids gives, per occupied point bucket, the finest level at which
+    the surrounding 3x3 buckets hold enough segment ends; the nearest of them (for more than one, the far corner of the buckets)
+    bounds the distance. The last level holds everything, so no point is too far. Then the search: a point looks only into the few buckets,
+    of about the size of its bound, that its bound reaches, and only at segments whose boxes lie within it.
     """
-    p = points.select(
-        key, "x", "y",
-        F.floor(F.col("x") / base_deg).cast("bigint").alias("px"), F.floor(F.col("y") / base_deg).cast("bigint").alias("py"),
-    )
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    ends = ("x1", "y1", "x2", "y2")
+
+    def bucket(v: Column) -> Column:
+        return F.floor(v / base_deg).cast("bigint")
+
+    p = points.select(key, "x", "y", bucket(F.col("x")).alias("px"), bucket(F.col("y")).alias("py"))
+    level = F.explode(F.array(*[F.lit(i) for i in (*range(levels), _TOP)]))
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
 
     def up(c: str) -> Column:
         return F.expr(f"shiftright({c}, level)")
 
-    vertices = segments.select(
-        kind, F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("v")
-    ).select(
-        kind, F.floor(F.col("v.x") / base_deg).cast("bigint").alias("vx"), F.floor(F.col("v.y") / base_deg).cast("bigint").alias("vy")
-    ).distinct()
+    first = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
+    second = F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    # one end per segment where segments are counted
+    corners = segments.select(kind, F.explode(F.array(first, second) if k == 1 else F.array(first)).alias("v")).select(
+        kind, bucket(F.col("v.x")).alias("vx"), bucket(F.col("v.y")).alias("vy"), "v")
+    fine = corners.groupBy(kind, "vx", "vy").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
     occupied = (
-        vertices.withColumn("level", level).select(kind, "level", up("vx").alias("bx"), up("vy").alias("by")).distinct()
+        fine.withColumn("level", level).groupBy(kind, "level", up("vx").alias("bx"), up("vy").alias("by")).agg(F.min("v").alias("v"), F.sum("n").alias("n"))
         .withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        .select(kind, "level", (F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by")).distinct()
+        .select(kind, "level", (F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by"), "v", "n")
     )
     homes = p.select("px", "py").distinct()
-    found = (
-        homes.withColumn("level", level).select("px", "py", "level", up("px").alias("bx"), up("py").alias("by"))
-        .join(occupied, ["level", "bx", "by"]).groupBy("px", "py", kind).agg((F.min("level") + 2).alias("level"))
-    )
-    searched = (
-        found.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        .select("px", "py", kind, "level", (up("px") + F.col("dx")).alias("bx"), (up("py") + F.col("dy")).alias("by"))
-    )
-
-    used = found.select(kind, "level").distinct()
-    spread = (
-        segments.select(kind, "segment_id", "x1", "y1", "x2", "y2")
-        .join(used, kind)
-        .withColumn("lx", F.expr(f"shiftright(cast(floor(least(x1, x2) / {base_deg}D) as bigint), level)"))
-        .withColumn("hx", F.expr(f"shiftright(cast(floor(greatest(x1, x2) / {base_deg}D) as bigint), level)"))
-        .withColumn("ly", F.expr(f"shiftright(cast(floor(least(y1, y2) / {base_deg}D) as bigint), level)"))
-        .withColumn("hy", F.expr(f"shiftright(cast(floor(greatest(y1, y2) / {base_deg}D) as bigint), level)"))
-        .withColumn("bx", F.explode(F.sequence("lx", "hx"))).withColumn("by", F.explode(F.sequence("ly", "hy")))
-        .drop("lx", "hx", "ly", "hy")
-    )
-    candidates = searched.join(spread, [kind, "level", "bx", "by"]).select("px", "py", kind, "segment_id", "x1", "y1", "x2", "y2")
-    ends = ("x1", "y1", "x2", "y2")
-    best = F.min_by(
-        F.struct("segment_id", *ends, "x", "y"),
-        F.struct(geo.segment_distance_deg("x", "y", *ends), F.col("segment_id")),
-    )
-    return (
-        p.join(candidates, ["px", "py"]).groupBy(key, kind).agg(best.alias("b"))
-        .select(
-            key, kind, F.col("b.segment_id").alias("segment_id"),
-            geo.segment_distance_deg(*[F.col(f"b.{c}") for c in ("x", "y", *ends)]).alias("distance_deg"),
-            geo.segment_distance_m(*[F.col(f"b.{c}") for c in ("x", "y", *ends)]).alias("distance_m"),
-        )
+    wide = F.lit(base_deg) * F.pow(F.lit(2.0), F.col("level"))
+    hits = homes.withColumn("level", level).select("px", "py", "level", up("px").alias("bx"), up("py").alias("by")).join(occupied, ["level", "bx", "by"])
+    if k == 1:
+        # from the farthest corner of the home bucket; the least level first, then the least distance, as one number that sorts so
+        far = [F.greatest(F.abs(F.col(c) * base_deg - F.col(f"v.{a}")), F.abs((F.col(c) + 1) * base_deg - F.col(f"v.{a}"))) for c, a in (("px", "x"), ("py", "y"))]
+        least = hits.groupBy("px", "py", kind).agg(F.min(F.col("level") * 8 + F.hypot(*far) / wide).alias("m")).withColumn("level", F.floor(F.col("m") / 8).cast("int"))
+        bound = (F.col("m") - F.col("level") * 8 + 1e-12) * wide
+    else:
+        # the far corner of the 3x3 buckets; none where the last level has to do
+        counted = hits.groupBy("px", "py", kind, "level").agg(F.sum("n").alias("n")).where((F.col("n") >= k) | (F.col("level") == _TOP))
+        least = counted.groupBy("px", "py", kind).agg(F.min("level").alias("level"))
+        bound = F.when(F.col("level") < _TOP, 2 * math.sqrt(2) * wide).otherwise(wide)
+    # read twice below: for the levels in use and for the search
+    found = materialize(least.select("px", "py", kind, (bound * (1 + 1e-9)).alias("reach")))
+    bounded = p.join(found, ["px", "py"]).select(key, kind, "x", "y", "reach")
+    fitting = F.greatest(F.lit(0), F.least(F.lit(_TOP), F.ceil(F.log2(F.col("reach") / base_deg)).cast("int")))
+    sized = bounded.withColumn("level", fitting)
+    width = F.lit(base_deg) * F.pow(F.lit(2.0), F.col("level"))
+
+    def reached(c: str) -> Column:
+        # three buckets at most, since none is smaller than the bound
+        return F.explode(F.sequence(F.floor((F.col(c) - F.col("reach")) / width).cast("bigint"), F.floor((F.col(c) + F.col("reach")) / width).cast("bigint")))
+
+    searched = sized.withColumn("bx", reached("x")).withColumn("by", reached("y"))
+    used = found.groupBy(kind).agg(F.collect_set(fitting).alias("levels"))
+    placed = segments.select(kind, "segment_id", *ends).join(used, kind).withColumn("level", F.explode("levels")).drop("levels")
+    apart = [F.greatest(F.least(a, b) - F.col(c), F.col(c) - F.greatest(a, b), F.lit(0.0)) for a, b, c in (("x1", "x2", "x"), ("y1", "y2", "y"))]
+    candidates = searched.join(_passed(placed, base_deg), [kind, "level", "bx", "by"]).where(F.greatest(*apart) <= F.col("reach"))
+    score = F.struct(geo.segment_distance_deg("x", "y", *ends), F.col("segment_id"))
+    if k == 1:
+        best = candidates.groupBy(key, kind).agg(F.min_by(F.struct("segment_id", *ends, "x", "y"), score).alias("b")).withColumn("rank", F.lit(1))
+    else:
+        from pyspark.sql import Window
+
+        # a segment comes once for each bucket it shares with the search
+        within = candidates.where(geo.segment_distance_deg("x", "y", *ends) <= F.col("reach"))
+        once = within.select(key, kind, F.struct("segment_id", *ends, "x", "y").alias("b"), score.alias("__score")).dropDuplicates([key, kind, "b"])
+        best = once.withColumn("rank", F.row_number().over(Window.partitionBy(key, kind).orderBy("__score"))).where(F.col("rank") <= k)
+    return best.select(
+        key, kind, F.col("b.segment_id").alias("segment_id"),
+        geo.segment_distance_deg(*[F.col(f"b.{c}") for c in ("x", "y", *ends)]).alias("distance_deg"),
+        geo.segment_distance_m(*[F.col(f"b.{c}") for c in ("x", "y", *ends)]).alias("distance_m"),
+        *([] if k == 1 else ["rank"]),
     )
 
 

@@ -379,6 +379,15 @@ def g20(v):
     return rounded(n, distance_to_river_m=2, distance_to_canal_m=2, distance_to_waterway_m=2)
 
 
+@query("j8_three_nearest", "v_cells", "v_segments", sql=f"""
+WITH d AS (SELECT cell_id, asset_type, segment_id, {seg_sql('x', 'y', 'x1', 'y1', 'x2', 'y2')} AS deg, {METRES} AS m FROM {CENTRES} c, v_segments s),
+n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell_id, asset_type ORDER BY deg, segment_id) AS r FROM d)
+SELECT cell_id, asset_type, r AS rank, ROUND(deg, 9) AS distance_deg, ROUND(m, 2) AS distance_m FROM n WHERE r <= 3""")
+def j8(v):
+    n = spatial.nearest_segments(centres(v), v.v_segments, k=3)
+    return rounded(n.select("cell_id", "asset_type", F.col("rank").cast("bigint").alias("rank"), "distance_deg", "distance_m"), distance_deg=9, distance_m=2)
+
+
 CX, CY = utm_sql("x", "y")
 
 

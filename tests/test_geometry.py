@@ -145,3 +145,29 @@ def test_nearest_far_from_everything(spark):
     s = spark.createDataFrame([(7, "river_segment", 95.5, 16.5, 95.51, 16.5), (8, "river_segment", 10.0, 10.0, 10.01, 10.0)], "segment_id int, asset_type string, x1 double, y1 double, x2 double, y2 double")
     got = {r.cell_id: r.segment_id for r in spatial.nearest_segments(p, s).collect()}
     assert got == {1: 7, 2: 8}
+
+
+def test_nearest_against_all_pairs(spark):
+    """Clusters, long segments, points 50 degrees away, kinds with fewer segments than asked for."""
+    rng = random.Random(12)
+    segments = [(i, "a", x := rng.gauss(95, 0.1), y := rng.gauss(16, 0.1), x + rng.uniform(-0.02, 0.02), y + rng.uniform(-0.02, 0.02)) for i in range(150)]
+    segments += [(200, "a", 94.0, 15.0, 96.0, 17.5), (201, "b", 95.0, 15.0, 95.0, 17.0), (202, "b", 95.2, 16.0, 95.2, 16.0)]
+    points = [(i, rng.gauss(95, 0.2), rng.gauss(16, 0.2)) for i in range(150)] + [(500, 45.0, -30.0), (501, -120.0, 16.0), (502, 95.0, 16.0)]
+
+    def distance(px, py, s):
+        _, _, ax, ay, bx, by = s
+        n = (bx - ax) ** 2 + (by - ay) ** 2
+        t = min(1, max(0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / n)) if n else 0
+        return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
+
+    p = spark.createDataFrame(points, "cell_id int, x double, y double")
+    s = spark.createDataFrame(segments, "segment_id int, asset_type string, x1 double, y1 double, x2 double, y2 double")
+    for k in (1, 4):
+        got = {}
+        for r in spatial.nearest_segments(p, s, k=k).collect():
+            got.setdefault((r.cell_id, r.asset_type), []).append(r.distance_deg)
+        assert len(got) == 2 * len(points)
+        for (c, kind), found in got.items():
+            _, px, py = next(q for q in points if q[0] == c)
+            want = sorted(distance(px, py, q) for q in segments if q[1] == kind)[:k]
+            assert sorted(found) == pytest.approx(want, abs=1e-12)
