@@ -319,7 +319,22 @@ def class_color(code) -> Column:
 
 
 def canonical_timestamp(ts) -> Column:
-    return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    """The instant as UTC text with microseconds, whatever the time zone of the session."""
+    micros, day = F.unix_micros(_col(ts).cast("timestamp")), F.lit(86_400_000_000)
+    rest = F.pmod(micros, day)
+    date = F.date_from_unix_date(((micros - rest) / day).cast("int"))
+
+    def digits(unit: int, most: int | None, width: int) -> Column:
+        n = F.floor(rest / unit) if most is None else F.floor(rest / unit) % most
+        return F.lpad(n.cast("string"), width, "0")
+
+    clock = F.concat(digits(3_600_000_000, None, 2), F.lit(":"), digits(60_000_000, 60, 2), F.lit(":"), digits(1_000_000, 60, 2), F.lit("."), digits(1, 1_000_000, 6))
+    return F.concat(date.cast("string"), F.lit("T"), clock)
+
+
+def utc_day(ts) -> Column:
+    """The UTC date of an instant."""
+    return F.to_date(F.substring(canonical_timestamp(ts), 1, 10))
 
 
 def ingestion_key(station, ts, source) -> Column:

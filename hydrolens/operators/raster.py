@@ -168,10 +168,12 @@ def tile_map(pixels: DataFrame, keys: Sequence[str], values: Sequence[str], halo
     return copied.groupBy(*keys, "tile_row", "tile_col").applyInPandas(run, schema)
 
 
-def _stack(array: np.ndarray, radius: int) -> np.ndarray:
+def _stack(array: np.ndarray, radius: int, circle: bool = False) -> np.ndarray:
+    """The array moved to every place of a square, or of the circle in it."""
     padded = np.pad(array, radius, constant_values=np.nan)
     h, w = array.shape
-    return np.stack([padded[i : i + h, j : j + w] for i in range(2 * radius + 1) for j in range(2 * radius + 1)])
+    places = [(i, j) for i in range(2 * radius + 1) for j in range(2 * radius + 1) if not circle or (i - radius) ** 2 + (j - radius) ** 2 <= radius**2]
+    return np.stack([padded[i : i + h, j : j + w] for i, j in places])
 
 
 def focal_median(pixels: DataFrame, keys: Sequence[str] = (), value: str = "value", radius: int = 1, size: int = TILE) -> DataFrame:
@@ -188,8 +190,8 @@ def focal_median(pixels: DataFrame, keys: Sequence[str] = (), value: str = "valu
     return tile_map(pixels, keys, [value], radius, change, f"{value} double", size)
 
 
-def close_mask(pixels: DataFrame, keys: Sequence[str] = (), value: str = "flooded", radius: int = 1, size: int = TILE) -> DataFrame:
-    """Morphological closing of a 0/1 mask over the pixels of the table: focal maximum, then focal minimum."""
+def close_mask(pixels: DataFrame, keys: Sequence[str] = (), value: str = "flooded", radius: int = 1, size: int = TILE, circle: bool = True) -> DataFrame:
+    """Morphological closing of a 0/1 mask over the pixels of the table: focal maximum, then focal minimum, in a circle or a square."""
 
     def change(arrays):
         import warnings
@@ -198,8 +200,8 @@ def close_mask(pixels: DataFrame, keys: Sequence[str] = (), value: str = "floode
         known = ~np.isnan(a)
         with warnings.catch_warnings():
             warnings.simplefilter("ignore", RuntimeWarning)
-            grown = np.where(known, np.nanmax(_stack(a, radius), axis=0), np.nan)
-            closed = np.nanmin(_stack(grown, radius), axis=0)
+            grown = np.where(known, np.nanmax(_stack(a, radius, circle), axis=0), np.nan)
+            closed = np.nanmin(_stack(grown, radius, circle), axis=0)
         return {value: np.nan_to_num(closed).astype("int32")}
 
     return tile_map(pixels, keys, [value], 2 * radius, change, f"{value} int", size)

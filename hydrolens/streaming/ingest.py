@@ -30,8 +30,11 @@ def dedupe(readings: DataFrame, watermark: str = "1 day") -> DataFrame:
 
 
 def dedupe_batch(readings: DataFrame) -> DataFrame:
-    """One row per ingestion key: the first by message order when there is one, else any."""
-    return readings.dropDuplicates(["ingestion_key"])
+    """One row per ingestion key: the least by the values of its columns, so that a replay keeps the same one."""
+    others = [c for c in readings.columns if c != "ingestion_key"]
+    ordered = [f.name for f in readings.schema.fields if f.name in others and f.dataType.typeName() != "map"]
+    least = readings.groupBy("ingestion_key").agg(F.min_by(F.struct(*others), F.struct(*ordered)).alias("__row"))
+    return least.select(*[F.col(f"__row.{c}") if c != "ingestion_key" else F.col(c) for c in readings.columns])
 
 
 def to_observations(readings: DataFrame, stations: DataFrame) -> DataFrame:
@@ -91,8 +94,8 @@ def latest_stream(observations: DataFrame) -> DataFrame:
 class IngestJob:
     """Writes observations, alerts, rejects, counters and station state from a stream of messages.
 
-    ``path`` holds ``observations/``, ``alerts/``, ``rejects/``, ``counters/`` and ``seen/`` by batch, and ``keys/``
-    by batch and day. Deduplication against history has no time bound: the keys of a batch are anti-joined with
+    ``path`` holds ``observations/``, ``alerts/``, ``rejects/``, ``quarantine/`` (valid readings of unknown stations),
+    ``counters/`` and ``seen/`` by batch, and ``keys/`` by batch and day. Deduplication against history has no time bound: the keys of a batch are anti-joined with
     the key table. The day of a reading is part of its identity, so only the days in the batch are read.
     """
 
@@ -116,15 +119,16 @@ class IngestJob:
         messages = materialize(messages)
         valid, rejected = ingest(messages, self.subscription)
         rejected = materialize(rejected)
-        observed = to_observations(valid, self.stations).withColumn("key_day", F.to_date("observed_at"))
+        observed = to_observations(valid, self.stations).withColumn("key_day", S.utc_day("observed_at"))
         fresh = materialize(dedupe_batch(observed))
         known = self._known_keys(fresh, batch_id)
         if known is not None:
             fresh = materialize(fresh.join(known.select("key_day", "ingestion_key"), ["key_day", "ingestion_key"], "left_anti"))
-        unknown = unknown_stations(valid, self.stations)
+        unknown = materialize(unknown_stations(valid, self.stations))
         self._write(fresh.drop("raw", "topic_station", "timestamp_text", "key_day"), "observations", batch_id)
         self._write(threshold_alerts(fresh), "alerts", batch_id)
         self._write(rejected.select("raw", "violations"), "rejects", batch_id)
+        self._write(unknown, "quarantine", batch_id)
         self._write(ingest_counters(messages, rejected, unknown, fresh), "counters", batch_id)
         self._write(fresh.groupBy("station_id").agg(F.max("observed_at").alias("observed_at")), "seen", batch_id)
         # keys last: a batch counts as stored only when everything before it is

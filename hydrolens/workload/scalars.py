@@ -465,13 +465,13 @@ def io9(v):
     return rounded(stored.groupBy("model_version").agg(F.count(F.lit(1)).alias("rows"), F.sum("probability").alias("total")), total=6)
 
 
-@query("io10_write_run", "v_predictions", sql="SELECT model_version AS run_version, COUNT(*) AS cells FROM v_predictions WHERE model_version <> 'm3' GROUP BY 1")
+@query("io10_write_run", "v_predictions", sql="SELECT model_version AS run_version, COUNT(*) AS cells FROM v_predictions GROUP BY 1")
 def io10(v):
     from hydrolens.session import scratch_path
     from hydrolens.sources.tables import write_run
 
     path = scratch_path(v.spark, "runs")
-    for version in ("m1", "m2"):
+    for version in ("m1", "m2", "m3"):
         mine = v.v_predictions.where(F.col("model_version") == version).withColumnRenamed("model_version", "run_version")
         write_run(mine.groupBy("run_version").agg(F.count(F.lit(1)).alias("cells")), mine, path)
     runs, predictions = v.spark.read.parquet(f"{path}/runs"), v.spark.read.parquet(f"{path}/predictions")

@@ -73,11 +73,18 @@ def g3(v):
     return rounded(boxes(v.v_cells).select("cell_id", geo.area_m2("geometry").alias("area_m2")), area_m2=2)
 
 
+def paired(v):
+    """Every cell with one of all segments."""
+    n = v.v_segments.agg(F.count(F.lit(1)).alias("n"))  # one row
+    numbered = v.v_cells.crossJoin(F.broadcast(n)).withColumn("segment_id", F.col("cell_id") % F.col("n") + 1).drop("n")
+    return numbered.join(v.v_segments, "segment_id")
+
+
 @query("g4_distance", "v_cells", "v_segments", sql="""
 SELECT c.cell_id, s.segment_id, ROUND(SQRT(POW((s.y1 - c.ymin) * 111320e0, 2) + POW((s.x1 - c.xmin) * 111320e0 * COS((s.y1 + c.ymin) * PI() / 360), 2)), 5) AS d
-FROM v_cells c JOIN v_segments s ON c.cell_id % 100 + 1 = s.segment_id""")
+FROM v_cells c JOIN v_segments s ON c.cell_id % (SELECT COUNT(*) FROM v_segments) + 1 = s.segment_id""")
 def g4(v):
-    j = v.v_cells.withColumn("segment_id", F.col("cell_id") % 100 + 1).join(v.v_segments, "segment_id")
+    j = paired(v)
     return rounded(j.select("cell_id", "segment_id", geo.distance_m("ymin", "xmin", "y1", "x1").alias("d")), d=5)
 
 
@@ -92,9 +99,9 @@ METRES = seg_sql("0e0", "0e0", f"((x1 - x) * {KX})", f"((y1 - y) * {KY})", f"((x
 
 
 @query("g5_distance_point_line", "v_cells", "v_segments", sql=f"""
-SELECT cell_id, ROUND({METRES}, 3) AS d FROM (SELECT c.cell_id, c.xmin AS x, c.ymin AS y, s.* FROM v_cells c JOIN v_segments s ON c.cell_id % 100 + 1 = s.segment_id)""")
+SELECT cell_id, ROUND({METRES}, 3) AS d FROM (SELECT c.cell_id, c.xmin AS x, c.ymin AS y, s.* FROM v_cells c JOIN v_segments s ON c.cell_id % (SELECT COUNT(*) FROM v_segments) + 1 = s.segment_id)""")
 def g5(v):
-    j = v.v_cells.withColumn("segment_id", F.col("cell_id") % 100 + 1).join(v.v_segments, "segment_id")
+    j = paired(v)
     line = geo.line(("x1", "y1"), ("x2", "y2"))
     return rounded(j.select("cell_id", geo.distance_point_line("xmin", "ymin", line).alias("d")), d=3)
 
@@ -343,10 +350,21 @@ A1, B1 = utm_sql("x1", "y1")
 A2, B2 = utm_sql("x2", "y2")
 
 
+def hull_corner(i: int, lon: str, lat: str) -> str:
+    x, y = utm_sql(lon, lat)
+    return f"SELECT {i} AS i, {x} AS x, {y} AS y FROM hull"
+
+
+# each line cut by the four sides of the projected hull
 @query("g17_segment_lines", "v_segments", "v_cells", sql=f"""
 WITH hull AS (SELECT MIN(xmin) AS hx0, MIN(ymin) AS hy0, MAX(xmax) AS hx1, MAX(ymax) AS hy1 FROM v_cells),
-s AS (SELECT segment_id, SQRT(POW({A2} - {A1}, 2) + POW({B2} - {B1}, 2)) AS d FROM v_segments, hull WHERE x1 >= hx0 AND x2 <= hx1 AND y1 >= hy0 AND y2 <= hy1 - 0.0001e0)
-SELECT segment_id, CAST(CEIL(d / 100) AS BIGINT) AS pieces, ROUND(d, 3) AS length_m FROM s""")
+corners AS ({' UNION ALL '.join(hull_corner(i, x, y) for i, (x, y) in enumerate((('hx0', 'hy0'), ('hx1', 'hy0'), ('hx1', 'hy1'), ('hx0', 'hy1'))))}),
+sides AS (SELECT p.x AS px, p.y AS py, q.x - p.x AS dx, q.y - p.y AS dy FROM corners p JOIN corners q ON q.i = (p.i + 1) % 4),
+s AS (SELECT segment_id, {A1} AS ax, {B1} AS ay, {A2} AS bx, {B2} AS bz FROM v_segments),
+f AS (SELECT segment_id, SQRT(POW(bx - ax, 2) + POW(bz - ay, 2)) AS d, dx * (ay - py) - dy * (ax - px) AS f0, dx * (bz - py) - dy * (bx - px) AS f1 FROM s, sides),
+t AS (SELECT segment_id, MAX(d) AS d, MAX(CASE WHEN f1 > f0 THEN GREATEST(0e0, -f0 / (f1 - f0)) WHEN f1 = f0 AND f0 < 0 THEN 2e0 ELSE 0e0 END) AS low,
+  MIN(CASE WHEN f1 < f0 THEN LEAST(1e0, -f0 / (f1 - f0)) ELSE 1e0 END) AS high FROM f GROUP BY segment_id)
+SELECT segment_id, CAST(CEIL((high - low) * d / 100 - 1e-9) AS BIGINT) AS pieces, ROUND((high - low) * d, 3) AS length_m FROM t WHERE low < high""")
 def g17(v):
     lines = v.v_segments.select(
         F.col("segment_id").alias("line_id"), F.concat(F.lit("line "), F.col("segment_id")).alias("name"), F.lit("river").alias("waterway"),
@@ -354,12 +372,7 @@ def g17(v):
     )
     pieces = spatial.segment_lines(lines, area_of_cells(v), 100.0)
     whole = pieces.groupBy(F.col("line_id").alias("segment_id")).agg(F.count(F.lit(1)).alias("pieces"), F.sum("segment_length_m").alias("length_m"))
-    # lines that stick out of the hull are checked in the unit tests
-    hull = area_of_cells(v).select("geometry.bbox.*")
-    inside = v.v_segments.crossJoin(F.broadcast(hull)).where(
-        (F.col("x1") >= F.col("xmin")) & (F.col("x2") <= F.col("xmax")) & (F.col("y1") >= F.col("ymin")) & (F.col("y2") <= F.col("ymax") - 0.0001)
-    )
-    return rounded(whole.join(inside.select("segment_id"), "segment_id", "left_semi"), length_m=3)
+    return rounded(whole, length_m=3)
 
 
 CENTRES = "(SELECT cell_id, (xmin + xmax) / 2 AS x, (ymin + ymax) / 2 AS y FROM v_cells)"
@@ -517,8 +530,8 @@ def r4(v):
 
 @query("r5_close_mask", "v_pixels", sql=f"""
 WITH m AS (SELECT px_row, px_col, CAST(class_code = 80 AS INT) AS f FROM v_pixels),
-g AS (SELECT p.px_row, p.px_col, MAX(n.f) AS f FROM m p, {NEIGHBOURS}, m n WHERE n.px_row = p.px_row + dr AND n.px_col = p.px_col + dc GROUP BY 1, 2)
-SELECT p.px_row, p.px_col, MIN(n.f) AS flooded FROM g p, {NEIGHBOURS}, g n WHERE n.px_row = p.px_row + dr AND n.px_col = p.px_col + dc GROUP BY 1, 2""")
+g AS (SELECT p.px_row, p.px_col, MAX(n.f) AS f FROM m p, {NEIGHBOURS}, m n WHERE dr * dr + dc * dc <= 1 AND n.px_row = p.px_row + dr AND n.px_col = p.px_col + dc GROUP BY 1, 2)
+SELECT p.px_row, p.px_col, MIN(n.f) AS flooded FROM g p, {NEIGHBOURS}, g n WHERE dr * dr + dc * dc <= 1 AND n.px_row = p.px_row + dr AND n.px_col = p.px_col + dc GROUP BY 1, 2""")
 def r5(v):
     return raster.close_mask(v.v_pixels.withColumn("flooded", (F.col("class_code") == 80).cast("int")))
 

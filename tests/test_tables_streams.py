@@ -73,6 +73,34 @@ def test_replayed_and_repeated_batches(spark, tmp_path):
     assert state.status == "active" and state.last_seen_at == dt.datetime(2026, 1, 1, 0, 4)
 
 
+def test_unknown_stations_are_kept(spark, tmp_path):
+    def message(station, i):
+        return (json.dumps({"stationId": station, "timestamp": f"2026-01-01T00:{i:02d}:00Z", "waterLevelCm": 90}), f"sensors/{station}/readings")
+
+    stations = spark.createDataFrame([("s1", "Bridge", "active", 100.0, 150.0, 200.0)], "station_id string, name string, status string, warning_level_cm double, danger_level_cm double, critical_level_cm double")
+    job = IngestJob(spark, str(tmp_path / "job"), stations, "sensors/+/readings")
+    for batch in (0, 1, 1):
+        job.process(spark.createDataFrame([message("s1", batch), message("s9", batch)], "value string, topic string"), batch)
+    assert sorted((r.batch_id, r.station_id) for r in job.table("quarantine").collect()) == [(0, "s9"), (1, "s9")]
+    assert job.table("observations").count() == 2
+
+
+def test_keys_do_not_follow_the_session_zone(spark):
+    from hydrolens.functions import scalars as S
+
+    instants = spark.createDataFrame([(m,) for m in (0, -1, 1_767_225_599_999_999, 1_767_225_600_000_000, 951_782_400_123_456)], "m long").select("m", F.timestamp_micros("m").alias("t"))
+    seen = []
+    try:
+        for zone in ("UTC", "Asia/Yangon", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            seen.append([tuple(r) for r in instants.select("m", S.canonical_timestamp("t"), S.ingestion_key(F.lit("s"), "t", F.lit("x")), S.utc_day("t").cast("string")).orderBy("m").collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert seen[0] == seen[1] == seen[2]
+    want = [(dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=r[0])) for r in seen[0]]
+    assert [r[1] for r in seen[0]] == [w.strftime("%Y-%m-%dT%H:%M:%S.%f") for w in want] and [r[3] for r in seen[0]] == [w.strftime("%Y-%m-%d") for w in want]
+
+
 def test_registered_queries_have_matching_contract():
     from __spark_entry__ import oracle_sql, queries
 
