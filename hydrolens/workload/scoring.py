@@ -200,8 +200,7 @@ def m2(v):
 
 @query("m3_susceptibility", "v_cells", "v_labels")
 def m3(v):
-    d = susceptibility(v)
-    return training.train_susceptibility(d, ["elevation_mean_m", "local_relief_m", "distance_to_waterway_m", "landcover_water_pct"])["metrics"]
+    return training.train_susceptibility(susceptibility(v))["metrics"]
 
 
 @query("m16_rolling_origin")
@@ -211,7 +210,7 @@ def m16(v):
 
 @query("m19_event_model")
 def m19(v):
-    r = training.train_event_model(model_rows(v), MODEL_FEATURES, water="surface_water", rolling=False)
+    r = training.train_event_model(model_rows(v), MODEL_FEATURES, water="surface_water")
     return r["test_by_event"]
 
 
@@ -256,7 +255,9 @@ def m23(v):
 @query("m24_sar_validation", "v_scores")
 def m24(v):
     s, mapping = sensor_rows(v)
-    return agreement.sar_validation(s, s, mapping, {**ARTIFACT, "decision_threshold": 0.5})["pairs"]
+    r = agreement.sar_validation(s, s, mapping, {**ARTIFACT, "decision_threshold": 0.5})
+    # the overall report is the row without a pair
+    return r["pairs"].unionByName(r["overall"], allowMissingColumns=True).withColumns({"status": F.lit(r["status"]), "decision_threshold": F.lit(r["decision_threshold"])})
 
 
 # --- prediction products ------------------------------------------------------------------
