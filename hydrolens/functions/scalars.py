@@ -181,7 +181,7 @@ def classify_level(level, warning, danger, critical) -> Column:
     """Water level against a station's thresholds: struct(risk_level, threshold_cm, explanation)."""
     x, w, d, c = _col(level), _col(warning), _col(danger), _col(critical)
     no_value = F.lit(None).cast("double")
-    crossed = "Observed water level crossed the configured {} threshold."
+    crossed = "The water stands at or above the station's {} mark."
 
     def result(risk: str, threshold: Column, text: str) -> Column:
         return F.struct(
@@ -189,15 +189,15 @@ def classify_level(level, warning, danger, critical) -> Column:
         )
 
     return (
-        F.when(x.isNull(), result("UNAVAILABLE", no_value, "No observed water level was supplied."))
+        F.when(x.isNull(), result("UNAVAILABLE", no_value, "The reading has no water level."))
         .when(
             w.isNull() | d.isNull() | c.isNull(),
-            result("UNAVAILABLE", no_value, "The station does not have a complete threshold set."),
+            result("UNAVAILABLE", no_value, "The station lacks one of its three marks."),
         )
         .when(x >= c, result("CRITICAL", c, crossed.format("critical")))
         .when(x >= d, result("HIGH", d, crossed.format("danger")))
         .when(x >= w, result("MEDIUM", w, crossed.format("warning")))
-        .otherwise(result("LOW", no_value, "Observed water level is below the configured warning threshold."))
+        .otherwise(result("LOW", no_value, "The water stands below the station's warning mark."))
     )
 
 
@@ -208,12 +208,7 @@ def early_warning(probability) -> Column:
     advice = _banded(
         p,
         [0.25, 0.50, 0.75],
-        [
-            "Routine monitoring. No immediate action required.",
-            "Monitor rainfall and waterway levels closely.",
-            "Prepare response teams and review evacuation routes.",
-            "Activate emergency response and issue public alerts.",
-        ],
+        K.WARNING_ADVICE,
     )
     return F.struct(
         round_exact(p, 4).alias("probability"), level.alias("level"), advice.alias("recommendation")
@@ -242,27 +237,8 @@ def outcome(predicted, observed) -> Column:
 
 def recommendation(precision, recall, rolling_precision) -> Column:
     p, r, rp = (F.coalesce(_col(x), F.lit(0.0)) for x in (precision, recall, rolling_precision))
-    return (
-        F.when(
-            p < 0.20,
-            "Keep experimental-only. Held-out precision remains below 20%; do not use for public alerts. "
-            "Prefer conservative mode and review FP/FN maps.",
-        )
-        .when(
-            (p < 0.35) | (rp < 0.25),
-            "Pilot review only. Precision improved but is still too low for automated warnings; "
-            "require human review and independent event validation.",
-        )
-        .when(
-            r < 0.25,
-            "Precision-oriented settings are reducing false alarms, but recall is low. "
-            "Use screening mode for coverage and conservative mode for escalation.",
-        )
-        .otherwise(
-            "Discrimination is usable for historical analysis. Continue monitoring rolling-origin "
-            "stability before any operational escalation path."
-        )
-    )
+    keep, pilot, precise, usable = map(F.lit, K.MODEL_ADVICE)
+    return F.when(p < 0.20, keep).when((p < 0.35) | (rp < 0.25), pilot).when(r < 0.25, precise).otherwise(usable)
 
 
 def area_risk_level(forecast=None, susceptibility=None, screening_summary=None) -> Column:
