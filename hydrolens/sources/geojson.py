@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hydrolens.functions import constants as K
 from hydrolens.functions import geo
 from hydrolens.functions import scalars as S
+from hydrolens.sources.collections import feature_texts
 
 _SHAPE = "struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>"
 _FEATURE = f"struct<geometry:{_SHAPE},properties:map<string,string>>"
@@ -34,18 +35,13 @@ def _exploded(df: DataFrame, shape: str) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """IO1: (geometry, properties) of every feature. Other documents and empty collections fail the job.
+    """IO1: (geometry, properties) of every feature. Other documents and empty collections are an error.
 
-    A collection is one JSON document, so one file is read by one task; many files are read side by side.
-    Newline-delimited features are the splittable form, see ``read_feature_lines``.
+    A large collection is cut into features by many tasks, see ``feature_texts``; many files are read side by side.
     """
-    documents = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
-    bad_type = F.coalesce(F.col("type") != "FeatureCollection", F.lit(True))
-    empty = F.coalesce(F.size("features") <= 0, F.lit(True))
-    checked = _fail(
-        bad_type, "input must be a GeoJSON FeatureCollection", _fail(empty, "feature collection has no features", F.col("features"))
-    )
-    rows = documents.select(F.explode(checked).alias("f")).select("f.geometry", F.coalesce("f.properties", F.create_map().cast("map<string,string>")).alias("properties"))
+    f = F.from_json("value", _FEATURE, {"mode": "FAILFAST"})
+    rows = feature_texts(spark, path).select(f.alias("f"))
+    rows = rows.select("f.geometry", F.coalesce("f.properties", F.create_map().cast("map<string,string>")).alias("properties"))
     return _exploded(rows, "geometry").select("geometry", "properties")
 
 
