@@ -1,7 +1,6 @@
 """Keyed tables on plain files: upsert, replace, append, exports, pixel tables and artifacts.
 
-Tables are Parquet folders. An upsert writes a new version of the affected partitions; with a transactional
-table format the same plan is a ``MERGE INTO``.
+Tables are Parquet folders. An upsert publishes a new version (``VersionedTable``) with the touched partitions rewritten.
 """
 
 from __future__ import annotations
@@ -12,8 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolens.operators.validate import duplicate_keys
-from hydrolens.session import materialize
+from hydrolens.sources.versions import VersionedTable
 
 
 def read_pixels(spark: SparkSession, path: str, nodata: float, value: str = "value") -> DataFrame:
@@ -23,43 +21,17 @@ def read_pixels(spark: SparkSession, path: str, nodata: float, value: str = "val
     return drop_nodata(spark.read.parquet(path), nodata, value)
 
 
-def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
-    clash = duplicate_keys(df, keys).limit(1).collect()
-    if clash:
-        raise ValueError(f"duplicate key in one batch: {[clash[0][k] for k in keys]}")
-
-
-def upserted(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """IO8 as a plan: target rows without an update, plus the updates."""
-    kept = target.join(updates.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(updates, allowMissingColumns=True)
-
-
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], partition_by: Sequence[str] = ()) -> None:
-    """IO8: last write wins per key; keys repeated inside one batch are refused.
+    """IO8: last write wins per key; keys repeated inside one batch are refused. Read the table with ``read_table``.
 
-    With ``partition_by`` (which must be part of the key or fixed by it) only touched partitions are rewritten.
+    With ``partition_by`` (which must be part of the key or fixed by it) only touched partitions are read and rewritten.
     """
-    updates = materialize(updates)
-    assert_unique(updates, keys)
-    if not _exists(spark, path):
-        updates.write.partitionBy(*partition_by).parquet(path)
-        return
-    target = spark.read.parquet(path)
-    if partition_by:
-        touched = updates.select(*partition_by).distinct()
-        target = target.join(touched, list(partition_by), "left_semi")
-    # the result replaces what it reads, so it is stored first
-    merged = materialize(upserted(target, updates, keys))
-    writer = merged.select(*dict.fromkeys([*merged.columns])).write.mode("overwrite")
-    if partition_by:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
-    writer.parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    VersionedTable(spark, path, partition_by).upsert(updates, keys)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of a table that ``upsert`` wrote."""
+    return VersionedTable(spark, path).read()
 
 
 def replace_partition(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:

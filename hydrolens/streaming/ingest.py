@@ -14,7 +14,7 @@ from hydrolens.functions import scalars as S
 from hydrolens.operators import validate
 from hydrolens.operators.joins import enrich_stations, unknown_stations
 from hydrolens.sources.readings import parse_readings, to_observation
-from hydrolens.sources.tables import _exists
+from hydrolens.sources.versions import VersionedTable, part_name
 from hydrolens.session import materialize
 
 
@@ -95,12 +95,13 @@ class IngestJob:
     """Writes observations, alerts, rejects, counters and station state from a stream of messages.
 
     ``path`` holds ``observations/``, ``alerts/``, ``rejects/``, ``quarantine/`` (valid readings of unknown stations),
-    ``counters/`` and ``seen/`` by batch, and ``keys/`` by batch and day. Deduplication against history has no time bound: the keys of a batch are anti-joined with
-    the key table. The day of a reading is part of its identity, so only the days in the batch are read.
+    ``counters/`` and ``seen/`` by batch, and ``keys/``, a versioned table by day that is compacted as it grows. Deduplication against history has no time bound:
+    the keys of a batch are anti-joined with the key table. The day of a reading is part of its identity, so only the days in the batch are read.
     """
 
     def __init__(self, spark: SparkSession, path: str, stations: DataFrame, subscription: str | None = None) -> None:
         self.spark, self.path, self.stations, self.subscription = spark, path.rstrip("/"), stations, subscription
+        self.keys = VersionedTable(spark, f"{self.path}/keys", ["key_day"])
 
     def _write(self, df: DataFrame, name: str, batch_id: int, *more: str) -> None:
         (
@@ -109,11 +110,12 @@ class IngestJob:
         )
 
     def _known_keys(self, fresh: DataFrame, batch_id: int) -> DataFrame | None:
-        if not _exists(self.spark, f"{self.path}/keys"):
+        if self.keys.current() is None:
             return None
+        # the days of one batch are few; only their folders are listed and read
+        days = [part_name(key_day=r.key_day) for r in fresh.select("key_day").distinct().collect()]
         # a replayed batch must not see its own keys
-        keys = self.spark.read.parquet(f"{self.path}/keys").where(F.col("batch_id") < batch_id)
-        return keys.join(fresh.select("key_day").distinct(), "key_day", "left_semi")
+        return self.keys.read(days).where(F.col("batch_id") < batch_id)
 
     def process(self, messages: DataFrame, batch_id: int) -> None:
         messages = materialize(messages)
@@ -132,7 +134,9 @@ class IngestJob:
         self._write(ingest_counters(messages, rejected, unknown, fresh), "counters", batch_id)
         self._write(fresh.groupBy("station_id").agg(F.max("observed_at").alias("observed_at")), "seen", batch_id)
         # keys last: a batch counts as stored only when everything before it is
-        self._write(fresh.select("ingestion_key", "key_day").repartition("key_day"), "keys", batch_id, "key_day")
+        keys = fresh.select("ingestion_key", "key_day", F.lit(batch_id).cast("bigint").alias("batch_id"))
+        self.keys.append(keys.repartition("key_day"), str(batch_id))
+        self.keys.compact()
 
     def start(self, messages: DataFrame, checkpoint: str, available_now: bool = True):
         """ST1-ST7 as one streaming query."""

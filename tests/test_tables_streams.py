@@ -42,7 +42,7 @@ def test_upsert_is_idempotent(spark, tmp_path):
     second = spark.createDataFrame([("b", 3, "y"), ("c", 4, "y")], "k string, v int, kind string")
     for batch in (first, second, second):
         tables.upsert(spark, path, batch, ["k"], ["kind"])
-    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 3), ("c", 4)}
+    assert {(r.k, r.v) for r in tables.read_table(spark, path).collect()} == {("a", 1), ("b", 3), ("c", 4)}
     with pytest.raises(ValueError, match="duplicate"):
         tables.upsert(spark, path, first.union(first), ["k"])
 
