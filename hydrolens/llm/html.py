@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree of blocks. Every paragraph gives points for its length and its commas to its parent and half of them to its
-grandparent; the points of a container shrink with the share of its text that stands in links. The best container
-is kept with the siblings that score well or read like paragraphs, and its blocks are joined in page order.
+A page becomes a tree of blocks. Elements whose class, id or role names page furniture are taken out, unless they hold the page's main article, or bear the word
+only within a longer name (``market-share``) and hold a good part of the paragraphs. Every paragraph gives points for its length and its commas to its parent and half
+of them to its grandparent; the points of a container shrink with the share of its text that stands in links. Where the best container lies in an ``article`` or ``main``,
+all of that is kept; elsewhere its siblings that score well or read like paragraphs are kept with it. The blocks are joined in page order.
 
 Defined cases: null or empty html and pages without text give an empty string; unclosed tags, unknown references and truncated
 pages are read as far as they go; repeated rows are each extracted; nothing is cut at any length; an empty table gives an empty table.
@@ -27,14 +28,26 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 #: Words in class or id that mark page furniture or reader comments.
 FURNITURE = re.compile(r"(?i)(?<![a-z])(ads?|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|disqus|footer|menu|nav\w*|newsletter|notice|pager|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?![a-z])")
+COMMENTS = re.compile(r"(?i)(?<![a-z])(comments?|disqus|respond)(?![a-z])")
 SPACE = re.compile(r"\s+")
+ARTICLE = ("article", "main")
+#: Share of the page's paragraph points from which an element is text although its longer name holds a furniture word.
+TEXT_SHARE = 0.2
+
+
+def furniture(mark: str) -> int:
+    """2 if a name says furniture, 1 if furniture words stand only within longer names, else 0."""
+    found = [(word, m) for word in mark.split() for m in FURNITURE.finditer(word)]
+    if any(m[0] == word or COMMENTS.search(word) for word, m in found):
+        return 2
+    return 1 if found else 0
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "sums")
+    __slots__ = ("tag", "parent", "children", "score", "sums", "mark", "points")
 
-    def __init__(self, tag, parent):
-        self.tag, self.parent, self.children, self.score, self.sums = tag, parent, [], 0.0, None
+    def __init__(self, tag, parent, mark=0):
+        self.tag, self.parent, self.children, self.score, self.sums, self.mark, self.points = tag, parent, [], 0.0, None, mark, 0.0
 
 
 class Tree(HTMLParser):
@@ -72,10 +85,10 @@ class Tree(HTMLParser):
         values = dict(attrs)
         mark = f"{values.get('class') or ''} {values.get('id') or ''} {values.get('role') or ''}"
         header = tag == "header" and not self.open["article"]
-        if tag in DROPPED or header or "hidden" in values or values.get("aria-hidden") == "true" or tag not in ("html", "body", "article", "main") and FURNITURE.search(mark):
+        if tag in DROPPED or header or "hidden" in values or values.get("aria-hidden") == "true":
             self.skip = [tag]
             return
-        node = Node(tag, self.at)
+        node = Node(tag, self.at, 0 if tag in ("html", "body", *ARTICLE) else furniture(mark))
         self.at.children.append(node)
         self.open[tag] += 1
         self.at = node
@@ -139,13 +152,46 @@ def density(node: Node) -> float:
     return node.sums[1] / node.sums[0] if node.sums[0] else 0.0
 
 
+def points_of(node: Node) -> float:
+    """What a paragraph gives: one point, one for each comma, one for each hundred characters up to three."""
+    return 1 + node.sums[2] + min(node.sums[0] / 100, 3) if node.tag in PARAGRAPHS and node.sums[0] else 0.0
+
+
+def without_furniture(root: Node) -> None:
+    """Take marked elements out of the tree, except those that hold the main article or much of the text."""
+    nodes = order(root)
+    marked = [n for n in nodes if n.mark]
+    if not marked:
+        return
+    measure(nodes)
+    below = set()
+    for n in nodes:
+        if n.mark or id(n.parent) in below:
+            below.add(id(n))
+    for n in reversed(nodes):
+        n.points += points_of(n) * (1 - density(n))
+        if n.parent is not None:
+            n.parent.points += n.points
+    # the main article: the one with most text among those outside of furniture, else among all
+    articles = [n for n in nodes if n.tag in ARTICLE and n.points]
+    clear = [n for n in articles if id(n) not in below]
+    holders, at = set(), max(clear or articles, key=lambda n: n.points, default=None)
+    while at is not None:
+        holders.add(id(at))
+        at = at.parent
+    dropped = {id(n) for n in marked if id(n) not in holders and not (n.mark == 1 and n.points >= TEXT_SHARE * root.points and density(n) < 0.5)}
+    for parent in {id(n.parent): n.parent for n in marked}.values():
+        parent.children = [c for c in parent.children if id(c) not in dropped]
+
+
 def best_parts(root: Node) -> list[Node]:
+    without_furniture(root)
     nodes = order(root)
     measure(nodes)
     scored: dict[int, Node] = {}
     for node in nodes:
-        if node.tag in PARAGRAPHS and node.sums[0] and node.parent:
-            points = 1 + node.sums[2] + min(node.sums[0] / 100, 3)
+        points = points_of(node)
+        if points and node.parent:
             for up, share in ((node.parent, 1.0), (node.parent.parent, 0.5)):
                 if up is not None:
                     up.score += points * share
@@ -156,6 +202,11 @@ def best_parts(root: Node) -> list[Node]:
     top = scored[max(final, key=final.get)]
     while top.parent is not None and top.tag in BLOCKS and top.tag in ("p", "li", "ul", "ol", "td", "tr", "tbody", "table", "blockquote"):
         top = top.parent
+    around = top
+    while around is not None and around.tag not in ARTICLE:
+        around = around.parent
+    if around is not None:
+        return [around]
     if top.parent is None:
         return [top]
     bar = max(10.0, 0.2 * final.get(id(top), 0))
