@@ -29,6 +29,9 @@ CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LOOK = 3
 #: Characters read at a time, and entries and length of the memo of short units.
 PIECE, MEMO, SHORT = 1 << 16, 200_000, 48
+#: A unit without an end that is longer than this is read on byte by byte, as one run of the classes of ``CUT``.
+OPEN, SPACES = 4096, r"\s+"
+RUNS = (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", SPACES)
 #: A word of Latin letters and a stop: two cuts of ``CUT``, found without it.
 PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0240]+)([,.]?)")
 
@@ -121,7 +124,8 @@ class Encoder:
 
         self.v, self.memo = vocabulary, memo
         self.cut = regex.compile(CUT)
-        self.rest, self.open = "", b""
+        self.runs = [regex.compile(r) for r in RUNS]
+        self.rest, self.open, self.run = "", b"", None
 
     def _bytes(self, data: bytes, last: bool) -> list[int]:
         """Bytes of the unit that is being read. Tokens that end before the reach of what may follow are emitted."""
@@ -182,23 +186,60 @@ class Encoder:
         return out
 
     def feed(self, piece: str) -> list[int]:
-        """Everything before the last blank that follows other than white space is final."""
-        text = self.rest + piece
+        """Ids that have become stable. What is kept is short: the rest up to ``OPEN`` characters, or some bytes of an open unit."""
+        text, out = self.rest + piece, []
+        if self.run is not None:
+            text = self._run_on(text, out)
+        if self.run is None:
+            text = self._settled(text, out)
+        self.rest = text
+        return out
+
+    def _settled(self, text: str, out: list[int]) -> str:
+        """Everything before the last blank that follows other than white space is final; without blanks, so is every cut that ends before the text."""
         at = text.rfind(" ")
         while at > 0 and text[at - 1].isspace():
             at = text.rfind(" ", 0, at)
-        out: list[int] = []
         if at > 0:
             self._ids(text[:at], out)
             text = text[at:]
-        self.rest = text
-        return out
+        if len(text) <= OPEN:
+            return text
+        at = 0
+        for m in self.cut.finditer(text):
+            if m.end() == len(text) or m.start() + LOOK > len(text):
+                break
+            out.extend(self._unit(m[0]) if len(m[0]) <= 4 * self.v.reach else self._stream(m[0]))
+            at = m.end()
+        text = text[at:]
+        if len(text) <= OPEN:
+            return text
+        self.run = next(r for r in self.runs if r.match(text[-1]))
+        if text[0] == " " and self.run.pattern != SPACES:
+            self._bytes(b" ", False)
+            text = text[1:]
+        return self._run_on(text, out)
+
+    def _run_on(self, text: str, out: list[int]) -> str:
+        """Read the open unit on, up to its end if that has come. The last of several blanks may belong to the next unit, so it waits."""
+        m = self.run.match(text)
+        n = m.end() if m else 0
+        ended = n < len(text)
+        n -= self.run.pattern == SPACES and n > 0
+        for at in range(0, n, OPEN):
+            out.extend(self._bytes(text[at:min(n, at + OPEN)].encode("utf-8", "surrogatepass"), False))
+        if ended:
+            out.extend(self._bytes(b"", True))
+            self.run = None
+        return text[n:]
 
     def end(self) -> list[int]:
         out: list[int] = []
-        if self.rest:
+        if self.run is not None:
+            out = self._bytes(self.rest.encode("utf-8", "surrogatepass"), True)
+        elif self.rest:
             self._ids(self.rest, out)
-        self.rest = ""
+        self.rest, self.run = "", None
         return out
 
 
