@@ -338,15 +338,48 @@ def nearest_sample(points: DataFrame, samples: DataFrame, max_m: float = NEAREST
 # --- grids --------------------------------------------------------------------------------
 
 
-def square_grid(boundary: DataFrame, size_m: int = 500, zone: int = 46) -> DataFrame:
-    """Square UTM cells over a boundary: (grid_i, grid_j, coverage_fraction, bbox in degrees, x, y centre).
-
-    The boundary is dissolved straight into the grid squares, so partial squares carry their exact share.
-    """
+def _grid_cut(boundary: DataFrame, size_m: int, zone: int) -> DataFrame:
+    """(bx, by, xy, area_m2): the boundary's disjoint convex pieces in each square, in the plane."""
     if size_m not in (100, 250, 500, 1000):
         raise ValueError("size_m must be 100, 250, 500 or 1000")
     projected = boundary.select(F.lit(1).alias("__b"), geo.map_vertices("geometry", lambda x, y: geo.to_utm(x, y, zone)).alias("geometry"))
-    pieces = polygons.dissolve(projected, ["__b"], float(size_m), planar=True)
+    return polygons.dissolve(projected, ["__b"], float(size_m), planar=True)
+
+
+def grid_pieces(boundary: DataFrame, size_m: int = 500, zone: int = 46) -> DataFrame:
+    """The clipped geometry of ``square_grid``: (grid_i, grid_j, xy in degrees, area_m2 in the plane).
+
+    The boundary may have many parts and holes. A square is one or several rows, disjoint convex rings that follow the rotated sides of the square
+    and the boundary inside it; no row or task holds more than a square.
+    """
+    points = F.transform(
+        F.sequence(F.lit(0), (F.size("xy") / 2).cast("int") - 1), lambda i: geo.from_utm(F.get("xy", 2 * i), F.get("xy", 2 * i + 1), zone)
+    )
+    placed = _grid_cut(boundary, size_m, zone).select(F.col("bx").alias("grid_i"), F.col("by").alias("grid_j"), points.alias("p"), "area_m2")
+    return placed.select("grid_i", "grid_j", F.flatten(F.transform("p", lambda p: F.array(p["x"], p["y"]))).alias("xy"), "area_m2")
+
+
+def piece_fraction(cells: DataFrame, extents: DataFrame, keys: Sequence[str] = ("event_id",), key: Sequence[str] = ("grid_i", "grid_j"),
+                   bucket_deg: float = outlines.BUCKET_DEG) -> DataFrame:
+    """Share of each cell, given by its pieces, that lies in each extent, given as an outline; cells without an overlap are left out.
+
+    The denominator is the cell's own area, not that of its square or box. Both sides meet bucket by bucket in disjoint pieces, so areas add up.
+    """
+    flat = cells.select(*key, "xy", F.array((F.size("xy") / 2).cast("int")).alias("size"))
+    cut = polygons.bucket_pieces(flat, list(key), bucket_deg).select(*key, "bx", "by", "xy")
+    whole = cut.withColumn("__a", polygons._meet("xy", "xy")).groupBy(*key).agg(F.sum("__a.area").alias("__whole"))
+    near = cut.join(extents.select(*keys, "bx", "by", F.col("xy").alias("__window")), ["bx", "by"])
+    wet = near.withColumn("__a", polygons._meet("xy", "__window")).groupBy(*key, *keys).agg(F.sum("__a.area").alias("__wet")).where("__wet > 0")
+    share = F.least(F.lit(1.0), F.try_divide("__wet", "__whole"))
+    return wet.join(whole, list(key)).select(*key, *keys, share.alias("flooded_fraction"))
+
+
+def square_grid(boundary: DataFrame, size_m: int = 500, zone: int = 46) -> DataFrame:
+    """Square UTM cells over a boundary: (grid_i, grid_j, coverage_fraction, cell_area_m2, bbox in degrees, x, y centre).
+
+    The boundary is dissolved straight into the grid squares, so partial squares carry their exact area and share; ``grid_pieces`` has their geometry.
+    """
+    pieces = _grid_cut(boundary, size_m, zone)
     cells = pieces.groupBy("bx", "by").agg(F.sum("area_m2").alias("__m2"))
     size = float(size_m)
     # every projected point is a column of its own, read several times but computed once
@@ -365,6 +398,7 @@ def square_grid(boundary: DataFrame, size_m: int = 500, zone: int = 46) -> DataF
         F.col("bx").alias("grid_i"),
         F.col("by").alias("grid_j"),
         (F.col("__m2") / size**2).alias("coverage_fraction"),
+        F.col("__m2").alias("cell_area_m2"),
         F.struct(
             edge(F.least, "x").alias("xmin"), edge(F.least, "y").alias("ymin"), edge(F.greatest, "x").alias("xmax"), edge(F.greatest, "y").alias("ymax")
         ).alias("bbox"),

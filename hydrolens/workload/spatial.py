@@ -341,6 +341,24 @@ def g13(v):
     return rounded(g.select("grid_i", "grid_j", "coverage_fraction"), coverage_fraction=6)
 
 
+EAST, NORTH = utm_sql("xmin", "ymin")
+
+
+# a rectangle of the plane, so that SQL can cut it by the squares
+@query("g13_utm_rectangle", "v_cells", sql=f"""
+WITH r AS (SELECT MIN({EAST}) AS x0, MAX({EAST}) AS x1, MIN({NORTH}) AS y0, MAX({NORTH}) AS y1 FROM v_cells),
+i AS (SELECT UNNEST(GENERATE_SERIES(CAST(FLOOR(x0 / 500) AS BIGINT), CAST(FLOOR(x1 / 500) AS BIGINT))) AS grid_i FROM r),
+j AS (SELECT UNNEST(GENERATE_SERIES(CAST(FLOOR(y0 / 500) AS BIGINT), CAST(FLOOR(y1 / 500) AS BIGINT))) AS grid_j FROM r)
+SELECT grid_i, grid_j, ROUND((LEAST(x1, grid_i * 500e0 + 500) - GREATEST(x0, grid_i * 500e0)) * (LEAST(y1, grid_j * 500e0 + 500) - GREATEST(y0, grid_j * 500e0)) / 250000e0, 4) AS coverage_fraction
+FROM r, i, j""")
+def g13_utm(v):
+    corner = v.v_cells.select(geo.to_utm("xmin", "ymin").alias("u"))
+    r = corner.agg(F.min("u.x").alias("x0"), F.min("u.y").alias("y0"), F.max("u.x").alias("x1"), F.max("u.y").alias("y1"))
+    boundary = r.select(geo.map_vertices(geo.box("x0", "y0", "x1", "y1"), lambda x, y: geo.from_utm(x, y)).alias("geometry"))
+    p = spatial.grid_pieces(boundary).groupBy("grid_i", "grid_j").agg((F.sum("area_m2") / 250000.0).alias("coverage_fraction"))
+    return rounded(p, coverage_fraction=4)
+
+
 @query("g19_grid_weights", "v_cells")
 def g19(v):
     return rounded(spatial.grid_weights(area_of_cells(v)), weight=6)
