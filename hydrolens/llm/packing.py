@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,55 +30,89 @@ from .tokens import byte_letters
 
 LENGTH, END = 4096, 2
 #: White space on which the vocabulary's rules and str.split() may disagree.
-ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-#: Latin letters that lower case and composition leave one by one, and a stop.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0240]+)([,.]?)")
-#: Words kept in a worker's memo.
-MEMO = 200_000
+ODD_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: Words of Latin letters that lower case and composition leave one by one, digits and marks; no contraction or added token can begin in them.
+PLAIN = re.compile("[A-Za-z0-9!-&(-/:;=-@\\[-`{-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0240]+")
+#: Fixed value: the runs that the vocabulary's rules cut such a word into, after lower case.
+RUN = re.compile("[a-z\x80-\U0010ffff]+|[0-9]|[!-/:-@\\[-`{-~]+")
+#: Words kept in a worker's memo, and about the bytes of the texts that are encoded together (one text at least).
+MEMO, CHUNK = 200_000, 1 << 23
 
 
 class WordIds:
     """Ids of a text from the public tokenizer, word by word: no token of a word-end vocabulary crosses white space.
 
-    Words of Latin letters, with at most a full stop or comma after them, go straight to the tokenizer's merge model; all
-    others take its whole path. The first ``MEMO`` different words of a worker are remembered.
+    Plain words are cut into runs, which go straight to the tokenizer's merge model; all others take its whole path. The first
+    ``MEMO`` different words and as many runs of a worker are remembered.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.runs = Tokenizer.from_file(path), {}, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.merge = self.tokenizer.model.tokenize
-        self.stops = {c: tuple(self._whole(c)) for c in ("", ",", ".")}
         self.letters = byte_letters()
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _run(self, run: str) -> tuple[int, ...]:
+        ids = self.runs.get(run)
+        if ids is None:
+            ids = tuple([t.id for t in self.merge(run if run.isascii() else "".join([self.letters[b] for b in run.encode()]))])
+            if len(self.runs) < MEMO:
+                self.runs[run] = ids
+        return ids
+
     def _word(self, word: str) -> tuple[int, ...]:
-        plain = PLAIN.fullmatch(word)
-        if plain is None:
+        if PLAIN.fullmatch(word) is None:
             return tuple(self._whole(word))
-        low = plain[1].lower()
-        if not low.isascii():
-            low = "".join([self.letters[b] for b in low.encode()])
-        return (*[t.id for t in self.merge(low)], *self.stops[plain[2]])
+        low = word.lower()
+        if low.isalpha():
+            return self._run(low)
+        ids = ()
+        for run in RUN.findall(low):
+            ids += self._run(run)
+        return ids
 
     def __call__(self, text: str, end: int) -> np.ndarray:
-        if ODD_SPACE.search(text):
-            return np.array([*self._whole(text), end], dtype=np.int32)
-        words, memo = text.split(), self.memo
-        new = set(words).difference(memo)
-        for word in new:
-            memo[word] = self._word(word)
-        ids = np.fromiter(chain(chain.from_iterable(map(memo.__getitem__, words)), (end,)), dtype=np.int32)
-        if len(memo) > MEMO:
-            for word in new:
-                del memo[word]
-        return ids
+        return self.many(pa.array([text]), end)[1]
+
+    def many(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of many texts, ``end`` after each. Arrow splits them and makes their words distinct, so that a
+        word is looked up once however often it occurs; a text with odd white space counts as one word and is encoded whole."""
+        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False))
+        whole = [self._whole(texts[int(i)].as_py()) for i in odd]
+        if len(odd):
+            texts = pc.if_else(pc.match_substring_regex(texts, ODD_SPACE), "", texts)
+        # a blank text is one empty word, as are blanks at the ends; empty words have no ids
+        lists = pc.ascii_split_whitespace(texts)
+        first = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        memo, words = self.memo, coded.dictionary.to_pylist()
+        own = [*map(memo.get, words), *whole]
+        for i, word in enumerate(words):
+            if own[i] is None:
+                own[i] = self._word(word) if word else ()
+                if len(memo) < MEMO:
+                    memo[word] = own[i]
+        codes = coded.indices.to_numpy().copy()
+        codes[first[odd]] = len(words) + np.arange(len(odd))
+        size = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+        flat = np.fromiter(chain.from_iterable(own), dtype=np.int32)
+        n = size[codes]
+        stop = np.cumsum(n)
+        # where each text ends among the ids, with one place for each end before it
+        offsets = np.concatenate([[0], stop[first[1:] - 1] + np.arange(1, len(texts) + 1)])
+        ids = flat[np.repeat((np.cumsum(size) - size)[codes] - (stop - n), n) + np.arange(int(n.sum()))]
+        out = np.full(int(offsets[-1]), end, dtype=np.int32)
+        kept = np.ones(len(out), dtype=bool)
+        kept[offsets[1:] - 1] = False
+        out[kept] = ids
+        return offsets, out
 
 
 @lru_cache(2)
@@ -95,13 +130,13 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         encode, first, part = word_ids(path), 0, TaskContext.get().partitionId()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                ids = [encode(t, end) for t in texts[at:at + 256].to_pylist()]
-                n = np.array([len(x) for x in ids], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids)))
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = np.unique([0, *np.searchsorted(ends, np.arange(CHUNK, int(ends[-1]) if len(ends) else 0, CHUNK)), batch.num_rows])
+            for at, to in zip(cuts.tolist(), cuts[1:].tolist()):
+                offsets, ids = encode.many(texts.slice(at, to - at), end)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [keys[at:at + 256], pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(first + offsets[:-1]), pa.array(n), lists],
+                    [keys[at:to], pa.array(np.full(to - at, part, dtype=np.int32)), pa.array(first + offsets[:-1]), pa.array(np.diff(offsets)), lists],
                     names=["key", "part", "first", "n", "ids"])
                 first += int(offsets[-1])
 
