@@ -106,6 +106,24 @@ def forecast_rain_features(forecast: DataFrame, history: DataFrame, target, days
     )
 
 
+def forecast_anomaly(forecast: DataFrame, history: DataFrame, target) -> DataFrame:
+    """One row, ``rainfall_anomaly_7d``: the 7-day sum up to ``target`` over the usual one of its ISO week, one without a record of that week.
+
+    The usual sum is the mean of the 7-day sums that end on recorded days of the same ISO week before the first forecast day,
+    at least 1 mm. Every recorded day adds to the seven days that it counts for, so no window runs over the whole series.
+    """
+    first = forecast.agg(F.coalesce(F.min("date"), F.current_date()).alias("__first"))
+    past = history.join(F.broadcast(first), F.col("date") < F.col("__first")).groupBy("date").agg(F.avg("precipitation_mm").alias("mm"))  # one row
+    ends = past.select("mm", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda n: F.date_add("date", n))).alias("end"), "date")
+    week = F.weekofyear(F.lit(target).cast("date"))
+    sums = ends.where(F.weekofyear("end") == week).groupBy("end").agg(F.sum("mm").alias("mm"), F.max(F.col("date") == F.col("end")).alias("known"))
+    usual = sums.where("known").agg(F.avg("mm").alias("__usual"))
+    now = forecast_rain_features(forecast, history, target, (7,)).select(F.col("rainfall_accumulation_7d_mm").alias("__now"))
+    return now.crossJoin(F.broadcast(usual)).select(  # one row each
+        F.coalesce(F.col("__now") / F.greatest("__usual", F.when(F.col("__usual").isNotNull(), 1.0)), F.lit(1.0)).alias("rainfall_anomaly_7d")
+    )
+
+
 def rain_anomaly_pct(rain: DataFrame, source: Sequence[str] = ("source_key",)) -> DataFrame:
     """Latest 7-day sum against the mean positive sum of the rows 8 to 366 before the end; null below 14 rows."""
     recency = Window.partitionBy(*source).orderBy(F.col("observed_date").desc())

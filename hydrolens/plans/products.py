@@ -130,7 +130,7 @@ def forecast_run(cells: DataFrame, forecast: DataFrame, history: DataFrame, arti
     beta = float(profile.get("water_temper_beta") or 0.0)
     rainfall = R.forecast_rain_features(forecast, history, target).drop("days_known")
     seven = R.forecast_rain_features(forecast, history, target, (14,)).select("rainfall_accumulation_14d_mm")
-    rainfall = rainfall.crossJoin(F.broadcast(seven)).withColumn("rainfall_anomaly_7d", F.lit(1.0))  # one row
+    rainfall = rainfall.crossJoin(F.broadcast(seven)).crossJoin(F.broadcast(R.forecast_anomaly(forecast, history, target)))  # one row each
     shares = cells.withColumns(
         {n: F.when(F.coalesce(F.col(n), F.lit(0.0)) > 1.0, F.col(n) / 100.0).otherwise(F.coalesce(F.col(n), F.lit(0.0))) for n in K.LANDCOVER_FEATURES}
     )

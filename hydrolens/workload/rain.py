@@ -129,3 +129,20 @@ def m28_rain(v):
     h = v.v_rain.select(day, F.col("mean_precipitation_mm").alias("precipitation_mm"))
     names = ["rainfall_mean_1d_mm", "rainfall_accumulation_3d_mm", "rainfall_accumulation_7d_mm", "rainfall_accumulation_30d_mm"]
     return nudged(R.forecast_rain_features(f, h, last).select(*names), **{n: 6 for n in names})
+
+
+@query("m28_rain_anomaly", "v_rain", sql=f"""
+WITH t AS (SELECT MAX(observed_date) AS target FROM v_rain),
+now AS (SELECT SUM(mm) AS mm FROM (SELECT max_precipitation_mm AS mm FROM v_rain, t WHERE observed_date >= target - 2
+  UNION ALL SELECT mean_precipitation_mm FROM v_rain, t WHERE observed_date < target - 2 AND observed_date >= target - 6)),
+ends AS (SELECT a.observed_date, SUM(b.mean_precipitation_mm) AS mm FROM v_rain a JOIN v_rain b ON b.observed_date BETWEEN a.observed_date - 6 AND a.observed_date, t
+  WHERE a.observed_date < target - 2 AND weekofyear(a.observed_date) = weekofyear(target) GROUP BY a.observed_date)
+SELECT (SELECT target FROM t) AS target_date, (SELECT COUNT(*) FROM ends) AS week_days, {near('COALESCE((SELECT mm FROM now) / GREATEST((SELECT AVG(mm) FROM ends), CASE WHEN (SELECT COUNT(*) FROM ends) > 0 THEN 1e0 END), 1e0)')} AS rainfall_anomaly_7d""")
+def m28_anomaly(v):
+    last = v.v_rain.agg(F.max("observed_date")).first()[0]
+    day = F.col("observed_date").alias("date")
+    f = v.v_rain.where(F.date_diff(F.lit(last), "observed_date") <= 2).select(day, F.col("max_precipitation_mm").alias("precipitation_mm"))
+    h = v.v_rain.select(day, F.col("mean_precipitation_mm").alias("precipitation_mm"))
+    days = v.v_rain.where((F.date_diff(F.lit(last), "observed_date") > 2) & (F.weekofyear("observed_date") == F.weekofyear(F.lit(last)))).agg(F.count(F.lit(1)).alias("week_days"))
+    a = R.forecast_anomaly(f, h, last).crossJoin(F.broadcast(days))  # one row each
+    return nudged(a.select(F.lit(last).alias("target_date"), "week_days", "rainfall_anomaly_7d"), rainfall_anomaly_7d=6)
