@@ -402,6 +402,51 @@ def v10(v):
     return V.duplicate_keys(v.v_predictions.withColumn("slot", F.col("cell_id") % 700), ["model_version", "slot"])
 
 
+#: Readings and observations of which every rule finds some at fault, and values on the edges that none may.
+FAULTY_READINGS = """
+SELECT message_id, CASE message_id % 23 WHEN 1 THEN '  ' WHEN 2 THEN repeat('s', 101) WHEN 3 THEN repeat('s', 100) WHEN 4 THEN NULL ELSE CAST(station_id AS STRING) END AS station_id,
+  CASE WHEN message_id % 23 <> 5 THEN observed_at END AS observed_at,
+  CASE message_id % 23 WHEN 6 THEN -2000.5e0 WHEN 7 THEN 10000.5e0 WHEN 8 THEN 10000e0 WHEN 9 THEN -2000e0 WHEN 20 THEN NULL ELSE water_level_cm END AS water_level_cm,
+  CASE message_id % 23 WHEN 10 THEN -0.5e0 WHEN 11 THEN 5000.5e0 WHEN 12 THEN 5000e0 WHEN 20 THEN NULL ELSE rainfall_mm END AS rainfall_mm,
+  CASE message_id % 23 WHEN 13 THEN -1e0 WHEN 14 THEN 100.5e0 WHEN 15 THEN NULL ELSE soil_moisture_percent END AS soil_moisture_percent,
+  CASE message_id % 23 WHEN 13 THEN -1e0 WHEN 16 THEN 101e0 ELSE battery_percent END AS battery_percent,
+  CASE message_id % 23 WHEN 17 THEN '' WHEN 18 THEN repeat('x', 256) WHEN 19 THEN NULL ELSE source END AS source
+FROM v_readings"""
+
+FAULTY_OBSERVATIONS = """
+SELECT observation_id, CASE observation_id % 19 WHEN 1 THEN NULL WHEN 2 THEN -0.5e0 WHEN 3 THEN 5001e0 ELSE rainfall_mm END AS rainfall_mm,
+  CASE observation_id % 19 WHEN 1 THEN NULL WHEN 4 THEN -20.5e0 WHEN 5 THEN 100.5e0 WHEN 6 THEN 100e0 ELSE water_level_m END AS water_level_m,
+  CASE observation_id % 19 WHEN 7 THEN -1e0 WHEN 8 THEN 1000001e0 WHEN 9 THEN 1000000e0 END AS discharge_m3s,
+  CASE observation_id % 19 WHEN 10 THEN 100.5e0 WHEN 11 THEN 100e0 END AS soil_moisture_percent,
+  CASE observation_id % 19 WHEN 12 THEN -1e0 WHEN 13 THEN 0e0 END AS battery_percent,
+  CASE observation_id % 19 WHEN 14 THEN NULL WHEN 15 THEN 'Verified' ELSE quality_status END AS quality_status
+FROM v_observations"""
+
+
+@query("v3_faulty_readings", "v_readings", sql=unpivot(FAULTY_READINGS, {
+    "station_id must not be blank": "station_id IS NULL OR station_id = '  '", "station_id is too long": "LENGTH(station_id) > 100", "timestamp must be present": "observed_at IS NULL",
+    "water_level_cm out of range": "water_level_cm < -2000 OR water_level_cm > 10000", "rainfall_mm out of range": "rainfall_mm < 0 OR rainfall_mm > 5000",
+    "soil_moisture_percent out of range": "soil_moisture_percent < 0 OR soil_moisture_percent > 100", "battery_percent out of range": "battery_percent < 0 OR battery_percent > 100",
+    "source must not be blank": "source IS NULL OR source = ''", "source is too long": "LENGTH(source) > 255", "waterLevelCm or rainfallMm is required": "water_level_cm IS NULL AND rainfall_mm IS NULL"}))
+def v3_faulty(v):
+    return counted(V.flagged(v.spark.sql(FAULTY_READINGS.replace("v_readings", "{rows}"), rows=v.v_readings), V.reading_rules()))
+
+
+@query("v5_faulty_observations", "v_observations", sql=unpivot(FAULTY_OBSERVATIONS, {
+    "a measurement is required": "rainfall_mm IS NULL AND water_level_m IS NULL AND discharge_m3s IS NULL", "rainfall_mm out of range": "rainfall_mm < 0 OR rainfall_mm > 5000",
+    "water_level_m out of range": "water_level_m < -20 OR water_level_m > 100", "discharge_m3s out of range": "discharge_m3s < 0 OR discharge_m3s > 1000000",
+    "soil_moisture_percent out of range": "soil_moisture_percent > 100", "battery_percent out of range": "battery_percent < 0",
+    "unknown quality_status": "quality_status IS NULL OR quality_status = 'Verified'"}))
+def v5_faulty(v):
+    return counted(V.flagged(v.spark.sql(FAULTY_OBSERVATIONS.replace("v_observations", "{rows}"), rows=v.v_observations), V.observation_rules()))
+
+
+@query("v10_repeated_readings", "v_readings", sql="""
+SELECT station_id, CAST(observed_at AS DATE) AS day, COUNT(*) AS rows FROM v_readings GROUP BY 1, 2 HAVING COUNT(*) > 1""")
+def v10_repeated(v):
+    return V.duplicate_keys(v.v_readings.withColumn("day", F.col("observed_at").cast("date")), ["station_id", "day"])
+
+
 @query("v11_feature_gaps", "v_cells", sql="""
 SELECT COUNT(*) FILTER (WHERE hand_mean_m IS NULL) AS hand_mean_m, COUNT(*) FILTER (WHERE elevation_mean_m IS NULL) AS elevation_mean_m FROM v_cells""")
 def v11(v):
