@@ -450,6 +450,20 @@ def i3(v):
     return r.select("gfd_event_count", "rainfall_aligned_event_count", "sar_event_count", "ready", "event_observed_from", "rainfall_available_to")
 
 
+@query("a16_rain_alignment", "v_labels", "v_rain", sql="""
+WITH r AS (SELECT observed_date FROM v_rain WHERE EXTRACT(DAY FROM observed_date) % 3 <> 0),
+e AS (SELECT event_id, observed_start_date AS d, bool_or(source_key LIKE 'demo:gfd:event:%') AS gfd, bool_or(source_key LIKE 'demo:sar:event:%') AS sar FROM v_labels WHERE observed_start_date IS NOT NULL AND event_id IS NOT NULL GROUP BY 1, 2),
+a AS (SELECT e.*, d IN (SELECT observed_date FROM r) AS ok FROM e),
+c AS (SELECT COUNT(*) FILTER (WHERE gfd) AS gfd, COUNT(*) FILTER (WHERE gfd AND ok) AS aligned, COUNT(*) FILTER (WHERE sar) AS sar, COUNT(*) FILTER (WHERE sar AND ok) AS sar_aligned, MIN(d) AS d1, MAX(d) AS d2 FROM a)
+SELECT gfd >= 4 AND aligned >= 4 AS ready, gfd AS gfd_event_count, aligned AS rainfall_aligned_event_count, gfd - aligned AS missing_rainfall_event_count, sar AS sar_event_count,
+  sar > 0 AND sar = sar_aligned AS sar_validation_ready, d1 AS event_observed_from, d2 AS event_observed_to, (SELECT MIN(observed_date) FROM r) AS rainfall_available_from, (SELECT MAX(observed_date) FROM r) AS rainfall_available_to,
+  CAST(gfd < 4 AS INT) + CAST(aligned < 4 AS INT) AS n_blockers, CAST(gfd < 4 AS INT) + 1 + CAST(aligned < gfd AS INT) + CAST(gfd >= 4 AND aligned >= 4 AS INT) AS n_steps FROM c""")
+def a16(v):
+    # rain is missing on every third day of a month, so that some events are not covered
+    r = products.event_readiness(v.v_labels, v.v_rain.where(F.day("observed_date") % 3 != 0))
+    return r.select("*", F.size("blockers").alias("n_blockers"), F.size("next_steps").alias("n_steps")).drop("blockers", "next_steps")
+
+
 @query("i4_exposure", "v_cells", "v_predictions", sql="""
 SELECT COUNT(*) AS flagged_cells, COUNT(*) * 0.25e0 AS affected_area_km2, COUNT(*) FILTER (WHERE probability >= 0.8e0) AS high_risk_cells, 'experimental_forecast' AS risk_basis FROM v_predictions JOIN v_cells USING (cell_id) WHERE probability >= 0.5e0""")
 def i4(v):
