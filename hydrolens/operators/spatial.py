@@ -150,102 +150,132 @@ def _axis(xy: str, offset: int) -> Column:
 # --- nearest ------------------------------------------------------------------------------
 
 
-#: A level at which all buckets are one or, on either side of zero, two; so every point finds something there.
-_TOP = 40
+#: The finest cells are ``base_deg`` by two to this power; a join of nodes starts with this many pairs at most; shapes in a leaf, about.
+_FINEST, _START_PAIRS, _LEAF = 8, 2_000_000, 8
 
 
-def _passed(segments: DataFrame, base_deg: float) -> DataFrame:
-    """Segments with the buckets (bx, by) of their ``level`` that they pass: along a segment, not over its box."""
-    width = F.lit(base_deg) * F.pow(F.lit(2.0), F.col("level"))
-    slack = width * 1e-9
+def _shapes(segments: DataFrame, kind: str, unit: float, k: int) -> DataFrame:
+    """(kind, ends, ids, n, c, bx, by): segments of equal ends as one row with their ``k`` least ids. ``bx`` and ``by`` are the finest cell of the
+    lower left corner, ``c`` is the level whose cells are as wide as the segment."""
+    ends = ("x1", "y1", "x2", "y2")
+    given = segments.select(kind, "segment_id", *ends).dropna(subset=[kind, *ends])
+    if k == 1:
+        shapes = given.groupBy(kind, *ends).agg(F.array(F.min(F.struct("segment_id"))).alias("ids"))
+    else:
+        from pyspark.sql import Window
+
+        place = F.row_number().over(Window.partitionBy(kind, *ends).orderBy("segment_id"))
+        least = given.dropDuplicates().withColumn("__r", place).where(F.col("__r") <= k)
+        shapes = least.groupBy(kind, *ends).agg(F.collect_list(F.struct("segment_id")).alias("ids"))
+    length = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    return shapes.select(
+        kind, *ends, "ids", F.size("ids").alias("n"), F.when(length > unit, F.ceil(F.log2(length / unit))).otherwise(0).cast("int").alias("c"),
+        F.floor(F.least("x1", "x2") / unit).cast("bigint").alias("bx"), F.floor(F.least("y1", "y2") / unit).cast("bigint").alias("by"),
+    )
+
+
+def _up(c: str, level: int, own: str | None = None) -> Column:
+    """The cell of a level that holds a finest cell; a segment stays on its own level ``own`` below that."""
+    return F.expr(f"shiftright({c}, {level})" if own is None else f"shiftright({c}, greatest({own}, {level}))")
+
+
+def _point_nodes(places: DataFrame, level: int) -> DataFrame:
+    return places.groupBy(_up("px", level).alias("qx"), _up("py", level).alias("qy")).agg(F.struct(
+        F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax")).alias("q"))
+
 
-    def bucket(v: Column) -> Column:
-        return F.floor(v / width).cast("bigint")
+def _shape_nodes(shapes: DataFrame, kind: str, level: int) -> DataFrame:
+    """Nodes of a level with the box of their segments, one end, the number of segments and the node of the level above."""
+    return shapes.groupBy(
+        kind, "c", _up("bx", level, "c").alias("rx"), _up("by", level, "c").alias("ry"), _up("bx", level + 1, "c").alias("ax"), _up("by", level + 1, "c").alias("ay"),
+    ).agg(
+        F.struct(
+            F.min(F.least("x1", "x2")).alias("xmin"), F.min(F.least("y1", "y2")).alias("ymin"), F.max(F.greatest("x1", "x2")).alias("xmax"), F.max(F.greatest("y1", "y2")).alias("ymax"),
+        ).alias("r"),
+        F.min(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))).alias("v"), F.sum("n").alias("n"),
+    )
 
-    x0, x1 = F.least("x1", "x2"), F.greatest("x1", "x2")
-    columns = segments.withColumn("bx", F.explode(F.sequence(bucket(x0 - slack), bucket(x1 + slack))))
-    left, right = F.greatest(F.col("bx") * width, x0), F.least((F.col("bx") + 1) * width, x1)
 
-    def y_at(x: Column) -> Column:
-        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(x - F.col("x1"), F.col("x2") - F.col("x1"))))
-        return F.col("y1") + share * (F.col("y2") - F.col("y1"))
+def _kept(pairs: DataFrame, kind: str, k: int, slack: float) -> DataFrame:
+    """Pairs of nodes that may hold one of the ``k`` nearest segments of some point of the point node, with a ``reach`` that none of these exceeds."""
+    from pyspark.sql import Window
 
-    upright = F.col("x1") == F.col("x2")
-    a, b = F.when(upright, F.col("y1")).otherwise(y_at(left)), F.when(upright, F.col("y2")).otherwise(y_at(right))
-    # the line is straight, so its y lies between those at the sides of the column
-    return columns.withColumn("by", F.explode(F.sequence(bucket(F.least(a, b) - slack), bucket(F.greatest(a, b) + slack))))
+    q, r, v = F.col("q"), F.col("r"), F.col("v")
+    gaps = [F.greatest(r[f"{a}min"] - q[f"{a}max"], q[f"{a}min"] - r[f"{a}max"], F.lit(0.0)) for a in "xy"]
+    if k == 1:
+        far = [F.greatest(F.abs(v[a] - q[f"{a}min"]), F.abs(v[a] - q[f"{a}max"])) for a in "xy"]
+    else:
+        far = [F.greatest(r[f"{a}max"] - q[f"{a}min"], q[f"{a}max"] - r[f"{a}min"]) for a in "xy"]
+    node = Window.partitionBy(kind, "qx", "qy")
+    held = F.sum("n").over(node.orderBy("__far").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    told = pairs.withColumns({"__near": F.hypot(*gaps), "__far": F.hypot(*far)}).withColumn("__held", held)
+    bound = F.min(F.when(F.col("__held") >= k, F.col("__far"))).over(node) * (1 + 1e-9) + slack
+    # fewer than k segments in all: nothing bounds the search
+    bounded = told.withColumn("reach", F.coalesce(bound, F.lit(float("inf"))))
+    return bounded.where(F.col("__near") <= F.col("reach")).select(kind, "qx", "qy", "q", "c", "rx", "ry", "reach")
+
+
+def _leaf_pairs(places: DataFrame, shapes: DataFrame, kind: str, levels: int, k: int) -> tuple[DataFrame, int]:
+    """(kind, qx, qy, c, rx, ry, reach): point cells with the segment cells to search, both of the level that is returned as well."""
+    top = _FINEST + levels + 15
+
+    # one row for each side: how many nodes every second level has, about, and the largest coordinate
+    def sizes(df: DataFrame, x: str, y: str, *own: str) -> Column:
+        return [F.approx_count_distinct(F.struct(*own, _up(x, i, *own[1:]), _up(y, i, *own[1:]))).alias(f"n{i}") for i in range(0, top + 1, 2)]
+
+    of_points = places.agg(*sizes(places, "px", "py"), F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("far")).first()
+    of_shapes = shapes.agg(*sizes(shapes, "bx", "by", kind, "c"), F.count(F.lit(1)).alias("n"), F.max(F.greatest(*[F.abs(e) for e in ("x1", "y1", "x2", "y2")])).alias("far")).first()
+    leaf = max((i for i in range(0, _FINEST + 1, 2) if of_shapes[f"n{i}"] * _LEAF >= of_shapes["n"]), default=0)
+    start = next((i for i in range(leaf, top, 2) if of_points[f"n{i}"] * of_shapes[f"n{i}"] <= _START_PAIRS), top)
+    slack = 1e-14 * max(of_points["far"] or 0.0, of_shapes["far"] or 0.0)
+
+    pairs = _kept(_point_nodes(places, start).crossJoin(_shape_nodes(shapes, kind, start)), kind, k, slack)
+    for level in range(start - 1, leaf - 1, -1):
+        pairs = materialize(pairs.drop("reach"))
+        # first the segments go down and are thinned out, then the points
+        below = _shape_nodes(shapes, kind, level)
+        closer = pairs.select(kind, "c", "qx", "qy", "q", F.col("rx").alias("ax"), F.col("ry").alias("ay")).join(below, [kind, "c", "ax", "ay"])
+        thinned = _kept(closer, kind, k, slack).withColumnsRenamed({"qx": "__ax", "qy": "__ay"}).drop("q")
+        inner = _point_nodes(places, level).withColumns({"__ax": _up("qx", 1), "__ay": _up("qy", 1)})
+        pairs = thinned.join(inner, ["__ax", "__ay"]).drop("__ax", "__ay")
+    return pairs.select(kind, "qx", "qy", "c", "rx", "ry", "reach"), leaf
 
 
 def nearest_segments(points: DataFrame, segments: DataFrame, kind: str = "asset_type", key: str = "cell_id",
                      base_deg: float = 0.005, levels: int = 17, k: int = 1) -> DataFrame:
     """The ``k`` nearest segments of every kind for each point, with their ``rank``: chosen in degrees, reported in metres as well.
 
-    Two rounds of equi-joins on bucket keys. First a bound: a pyramid of grids gives, per occupied point bucket, the finest level at which
-    the surrounding 3x3 buckets hold enough segment ends; the nearest of them (for more than one, the far corner of the buckets)
-    bounds the distance. The last level holds everything, so no point is too far. Then the search: a point looks only into the few buckets,
-    of about the size of its bound, that its bound reaches, and only at segments whose boxes lie within it.
+    Points and segments are both sorted into pyramids of cells, whose nodes know the box of what they hold. The search goes down both pyramids together:
+    a pair of nodes is kept while the boxes may hold a nearest segment, which the farthest distance to the best nodes found so far decides. So a point far
+    from all segments follows the few nodes at their edge, and none looks at all segments. It starts where there are few pairs of nodes, at most ``levels`` levels
+    above cells of ``base_deg`` if so, and ends with cells of a few segments. Exact at any distance.
     """
     ends = ("x1", "y1", "x2", "y2")
-
-    def bucket(v: Column) -> Column:
-        return F.floor(v / base_deg).cast("bigint")
-
-    p = points.select(key, "x", "y", bucket(F.col("x")).alias("px"), bucket(F.col("y")).alias("py"))
-    level = F.explode(F.array(*[F.lit(i) for i in (*range(levels), _TOP)]))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-
-    def up(c: str) -> Column:
-        return F.expr(f"shiftright({c}, level)")
-
-    first = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
-    second = F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
-    # one end per segment where segments are counted
-    corners = segments.select(kind, F.explode(F.array(first, second) if k == 1 else F.array(first)).alias("v")).select(
-        kind, bucket(F.col("v.x")).alias("vx"), bucket(F.col("v.y")).alias("vy"), "v")
-    fine = corners.groupBy(kind, "vx", "vy").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
-    occupied = (
-        fine.withColumn("level", level).groupBy(kind, "level", up("vx").alias("bx"), up("vy").alias("by")).agg(F.min("v").alias("v"), F.sum("n").alias("n"))
-        .withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        .select(kind, "level", (F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by"), "v", "n")
-    )
-    homes = p.select("px", "py").distinct()
-    wide = F.lit(base_deg) * F.pow(F.lit(2.0), F.col("level"))
-    hits = homes.withColumn("level", level).select("px", "py", "level", up("px").alias("bx"), up("py").alias("by")).join(occupied, ["level", "bx", "by"])
-    if k == 1:
-        # from the farthest corner of the home bucket; the least level first, then the least distance, as one number that sorts so
-        far = [F.greatest(F.abs(F.col(c) * base_deg - F.col(f"v.{a}")), F.abs((F.col(c) + 1) * base_deg - F.col(f"v.{a}"))) for c, a in (("px", "x"), ("py", "y"))]
-        least = hits.groupBy("px", "py", kind).agg(F.min(F.col("level") * 8 + F.hypot(*far) / wide).alias("m")).withColumn("level", F.floor(F.col("m") / 8).cast("int"))
-        bound = (F.col("m") - F.col("level") * 8 + 1e-12) * wide
-    else:
-        # the far corner of the 3x3 buckets; none where the last level has to do
-        counted = hits.groupBy("px", "py", kind, "level").agg(F.sum("n").alias("n")).where((F.col("n") >= k) | (F.col("level") == _TOP))
-        least = counted.groupBy("px", "py", kind).agg(F.min("level").alias("level"))
-        bound = F.when(F.col("level") < _TOP, 2 * math.sqrt(2) * wide).otherwise(wide)
-    # read twice below: for the levels in use and for the search
-    found = materialize(least.select("px", "py", kind, (bound * (1 + 1e-9)).alias("reach")))
-    bounded = p.join(found, ["px", "py"]).select(key, kind, "x", "y", "reach")
-    fitting = F.greatest(F.lit(0), F.least(F.lit(_TOP), F.ceil(F.log2(F.col("reach") / base_deg)).cast("int")))
-    sized = bounded.withColumn("level", fitting)
-    width = F.lit(base_deg) * F.pow(F.lit(2.0), F.col("level"))
-
-    def reached(c: str) -> Column:
-        # three buckets at most, since none is smaller than the bound
-        return F.explode(F.sequence(F.floor((F.col(c) - F.col("reach")) / width).cast("bigint"), F.floor((F.col(c) + F.col("reach")) / width).cast("bigint")))
-
-    searched = sized.withColumn("bx", reached("x")).withColumn("by", reached("y"))
-    used = found.groupBy(kind).agg(F.collect_set(fitting).alias("levels"))
-    placed = segments.select(kind, "segment_id", *ends).join(used, kind).withColumn("level", F.explode("levels")).drop("levels")
-    apart = [F.greatest(F.least(a, b) - F.col(c), F.col(c) - F.greatest(a, b), F.lit(0.0)) for a, b, c in (("x1", "x2", "x"), ("y1", "y2", "y"))]
-    candidates = searched.join(_passed(placed, base_deg), [kind, "level", "bx", "by"]).where(F.greatest(*apart) <= F.col("reach"))
-    score = F.struct(geo.segment_distance_deg("x", "y", *ends), F.col("segment_id"))
+    unit = base_deg / 2**_FINEST
+    places = materialize(points.select("x", "y").dropna().distinct().select(
+        "x", "y", F.floor(F.col("x") / unit).cast("bigint").alias("px"), F.floor(F.col("y") / unit).cast("bigint").alias("py")))
+    shapes = materialize(_shapes(segments, kind, unit, k))
+    leaves, leaf = _leaf_pairs(places, shapes, kind, levels, k)
+    at = places.select("x", "y", _up("px", leaf).alias("qx"), _up("py", leaf).alias("qy"))
+    held = shapes.select(kind, "c", *ends, "ids", _up("bx", leaf, "c").alias("rx"), _up("by", leaf, "c").alias("ry"))
+    distance = geo.segment_distance_deg("x", "y", *ends)
+    candidates = leaves.join(at, ["qx", "qy"]).join(held, [kind, "c", "rx", "ry"]).where(distance <= F.col("reach"))
     if k == 1:
-        best = candidates.groupBy(key, kind).agg(F.min_by(F.struct("segment_id", *ends, "x", "y"), score).alias("b")).withColumn("rank", F.lit(1))
+        score = F.struct(distance, F.col("ids")[0]["segment_id"])
+        near = candidates.groupBy("x", "y", kind).agg(F.min_by(F.struct(F.col("ids")[0]["segment_id"].alias("segment_id"), *ends), score).alias("b"))
     else:
         from pyspark.sql import Window
 
-        # a segment comes once for each bucket it shares with the search
-        within = candidates.where(geo.segment_distance_deg("x", "y", *ends) <= F.col("reach"))
-        once = within.select(key, kind, F.struct("segment_id", *ends, "x", "y").alias("b"), score.alias("__score")).dropDuplicates([key, kind, "b"])
+        one = candidates.select("x", "y", kind, F.explode("ids").alias("__id"), *ends)
+        order = Window.partitionBy("x", "y", kind).orderBy(distance, "__id")
+        near = one.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).select("x", "y", kind, F.struct(F.col("__id.segment_id").alias("segment_id"), *ends).alias("b"))
+    found = points.select(key, "x", "y").join(near, ["x", "y"]).select(key, kind, F.struct("b.segment_id", *[f"b.{e}" for e in ends], "x", "y").alias("b"))
+    score = F.struct(geo.segment_distance_deg(*[F.col(f"b.{c}") for c in ("x", "y", *ends)]), F.col("b.segment_id"))
+    if k == 1:
+        # a key may have several places
+        best = found.groupBy(key, kind).agg(F.min_by("b", score).alias("b")).withColumn("rank", F.lit(1))
+    else:
+        once = found.dropDuplicates([key, kind, "b"]).withColumn("__score", score)
         best = once.withColumn("rank", F.row_number().over(Window.partitionBy(key, kind).orderBy("__score"))).where(F.col("rank") <= k)
     return best.select(
         key, kind, F.col("b.segment_id").alias("segment_id"),

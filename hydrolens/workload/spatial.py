@@ -439,7 +439,7 @@ pairs AS (SELECT point_id, sample_id, value, SQRT(POW((s.lat - p.lat) * 111320e0
 def points_samples(v):
     px = v.v_pixels
     points = px.select(
-        (F.col("px_row") * 100000 + F.col("px_col")).alias("point_id"), (95.4 + F.col("px_col") * 0.001 + 0.0005).alias("lng"), (16.45 + F.col("px_row") * 0.001 + 0.0005).alias("lat")
+        (F.col("px_row").cast("bigint") * 100000 + F.col("px_col")).alias("point_id"), (95.4 + F.col("px_col") * 0.001 + 0.0005).alias("lng"), (16.45 + F.col("px_row") * 0.001 + 0.0005).alias("lat")
     )
     cells = v.v_cells.join(v.v_predictions, "cell_id")
     samples = cells.select(

@@ -171,3 +171,26 @@ def test_nearest_against_all_pairs(spark):
             _, px, py = next(q for q in points if q[0] == c)
             want = sorted(distance(px, py, q) for q in segments if q[1] == kind)[:k]
             assert sorted(found) == pytest.approx(want, abs=1e-12)
+
+
+def test_nearest_of_copied_segments(spark):
+    """Rows that repeat a segment are one segment, so they do not use up the ranks."""
+    s = spark.createDataFrame([(1, "a", 0.0, 0.0, 0.001, 0.0)] * 4 + [(2, "a", 0.5, 0.5, 0.501, 0.5), (3, "a", 9.0, 9.0, 9.001, 9.0)],
+                              "segment_id int, asset_type string, x1 double, y1 double, x2 double, y2 double")
+    p = spark.createDataFrame([(1, 0.0005, 0.0005)], "cell_id int, x double, y double")
+    got = spatial.nearest_segments(p, s, k=3).orderBy("rank").collect()
+    assert [r.segment_id for r in got] == [1, 2, 3]
+
+
+def test_far_points_follow_few_nodes(spark):
+    """A point far from all of 4,000 segments does not look at most of them."""
+    rng = random.Random(5)
+    rows = [(i, "a", x := rng.uniform(95.4, 95.65), y := rng.uniform(16.45, 16.65), x + 0.004, y + 0.002) for i in range(4000)]
+    s = spark.createDataFrame(rows, "segment_id int, asset_type string, x1 double, y1 double, x2 double, y2 double")
+    unit = 0.005 / 2**8
+    spots = [(95.4 + 0.005 * (i % 50), 20.0 + 0.005 * (i // 50)) for i in range(2000)]
+    places = spark.createDataFrame([(x, y, math.floor(x / unit), math.floor(y / unit)) for x, y in spots], "x double, y double, px long, py long")
+    for k in (1, 3):
+        shapes = spatial._shapes(s, "asset_type", unit, k).cache()
+        leaves, _ = spatial._leaf_pairs(places, shapes, "asset_type", 17, k)
+        assert leaves.count() <= 100 * len(spots)
