@@ -46,6 +46,11 @@ def _exploded(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return df.select(*keys, F.explode_outer(column).alias("p")).where(F.col("p").isNotNull())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores. Python costs far more a row than reading, and a file of few row groups is read by few tasks."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def flat_polygons(df: DataFrame, geom: str = "geometry") -> DataFrame:
     """Replace a geometry column by its flat form."""
     xy, size = _flat(F.col(geom)["rings"])
@@ -101,9 +106,9 @@ def _cross(o, a, b):
 
 
 def _edges_meet(s: np.ndarray, t: np.ndarray, proper: bool) -> np.ndarray:
-    """Matrix: does segment i of ``s`` meet segment j of ``t``? ``proper`` asks for interior crossings only."""
-    a, b = s[:, None, :2], s[:, None, 2:]
-    c, d = t[None, :, :2], t[None, :, 2:]
+    """Matrix: does segment i of ``s`` meet segment j of ``t``? ``proper`` asks for interior crossings only. Leading axes are rings side by side."""
+    a, b = s[..., :, None, :2], s[..., :, None, 2:]
+    c, d = t[..., None, :, :2], t[..., None, :, 2:]
     d1, d2, d3, d4 = _cross(c, d, a), _cross(c, d, b), _cross(a, b, c), _cross(a, b, d)
     crossing = (d1 * d2 < 0) & (d3 * d4 < 0)
     if proper:
@@ -159,13 +164,50 @@ def _ring_crosses(ring: np.ndarray) -> bool:
     return False
 
 
+def _by_length(rings: list[np.ndarray], limit: int):
+    """(indices, stacked rings) of rings with equally many positions, in blocks of bounded size; longer ones than ``limit`` are left out."""
+    lengths = np.array([len(r) for r in rings], dtype=int)
+    for n in np.unique(lengths[(lengths > 0) & (lengths <= limit)]):
+        which = np.flatnonzero(lengths == n)
+        step = max(1, _BLOCK // int(n) ** 2)
+        for at in range(0, len(which), step):
+            own = which[at:at + step]
+            yield own, np.stack([rings[i] for i in own])
+
+
+#: Pairs of edges in one block of rings, and positions of a ring that is tested in a block.
+_BLOCK, _SHORT = 1 << 18, 32
+
+
+def _rings_crossing(rings: list[np.ndarray]) -> np.ndarray:
+    """``_ring_crosses`` of many rings: short closed ones without empty edges side by side, the others one by one."""
+    told, done = np.zeros(len(rings), dtype=bool), np.zeros(len(rings), dtype=bool)
+    for which, r in _by_length(rings, _SHORT):
+        plain = (r[:, 0] == r[:, -1]).all(axis=1) & (r[:, 1:] != r[:, :-1]).any(axis=2).all(axis=1)
+        which, r = which[plain], r[plain]
+        done[which] = True
+        n = r.shape[1] - 1
+        if n < 4 or not len(which):
+            continue
+        edges = np.concatenate([r[:, :-1], r[:, 1:]], axis=2)
+        gap = np.arange(n)[None, :] - np.arange(n)[:, None]
+        told[which] = (((gap >= 2) & (gap < n - 1)) & _edges_meet(edges, edges, proper=False)).any(axis=(1, 2))
+    for i in np.flatnonzero(~done):
+        told[i] = _ring_crosses(rings[i])
+    return told
+
+
 def _any_meet(s: np.ndarray, t: np.ndarray) -> bool:
     return any(_edges_meet(s[i], t[j], proper=False).any() for i, j in near_edges(s, t))
 
 
 @pandas_udf(T.BooleanType())
 def _self_intersects(xy: pd.Series, sizes: pd.Series) -> pd.Series:
-    return pd.Series([p is not None and any(_ring_crosses(r) for r in _split(p, n)) for p, n in zip(xy, sizes)], dtype=bool)
+    rows = [[] if p is None else _split(p, n) for p, n in zip(xy, sizes)]
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    crossing = np.zeros(len(rows), dtype=bool)
+    crossing[owner[_rings_crossing([r for rings in rows for r in rings])]] = True
+    return pd.Series(crossing, dtype=bool)
 
 
 def _rings_cross(rings: Column) -> Column:
@@ -227,15 +269,49 @@ def intersects(a, b) -> Column:
 
 @pandas_udf(T.DoubleType())
 def _clip_area(xy: pd.Series, sizes: pd.Series, hole: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    def area(points, n, holes, box) -> float:
-        total = 0.0
+    rings, owner, sign = [], [], []
+    for row, (points, n, holes) in enumerate(zip(xy, sizes, hole)):
         for ring, is_hole in zip(_split(points, n), holes):
-            piece = _clip_ring(ring, box)
-            if len(piece) >= 3:
-                total += (-1 if is_hole else 1) * _ring_area(_closed(piece), False)
-        return max(0.0, total)
+            rings.append(_closed(ring)[:-1])
+            owner.append(row)
+            sign.append(-1.0 if is_hole else 1.0)
+    boxes = np.column_stack([x0, y0, x1, y1])
+    total = np.zeros(len(boxes))
+    for which, block in _by_length(rings, np.iinfo(np.int64).max):
+        own = np.asarray(owner)[which]
+        np.add.at(total, own, np.asarray(sign)[which] * _clipped_areas(block, boxes[own]))
+    return pd.Series(np.maximum(0.0, total))
 
-    return pd.Series([area(p, n, h, box) for p, n, h, *box in zip(xy, sizes, hole, x0, y0, x1, y1)], dtype=float)
+
+def _clipped_areas(points: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """``_clip_ring`` and its area for many open rings of one length, each with its own box.
+
+    A ring that loses positions repeats its last one, which changes neither the outline nor the area.
+    """
+    alive = np.ones(len(points), dtype=bool)
+    for axis, side, sign in ((0, 0, 1), (0, 2, -1), (1, 1, 1), (1, 3, -1)):
+        off = sign * (points[:, :, axis] - boxes[:, side][:, None])
+        inside = off >= 0
+        if inside.all():
+            continue
+        following, after = np.roll(points, -1, axis=1), np.roll(off, -1, axis=1)
+        crossing = inside != np.roll(inside, -1, axis=1)
+        gap = np.where(crossing, off - after, 1.0)
+        both = np.empty((len(points), 2 * points.shape[1], 2))
+        both[:, 0::2] = points
+        both[:, 1::2] = points + (following - points) * (off / gap)[:, :, None]
+        keep = np.empty(both.shape[:2], dtype=bool)
+        keep[:, 0::2], keep[:, 1::2] = inside, crossing
+        counts = keep.sum(axis=1)
+        alive &= counts > 0
+        # kept positions first, in order; then the last of them again
+        order = np.argsort(~keep, axis=1, kind="stable")[:, :max(1, counts.max())]
+        place = np.minimum(np.arange(order.shape[1])[None, :], np.maximum(counts - 1, 0)[:, None])
+        points = np.take_along_axis(both, np.take_along_axis(order, place, axis=1)[:, :, None], axis=1)
+    flat = _equal_area(points.reshape(-1, 2)).reshape(points.shape)
+    flat = flat - flat[:, :1]
+    x, y, u, w = flat[:, :, 0], flat[:, :, 1], np.roll(flat[:, :, 0], -1, axis=1), np.roll(flat[:, :, 1], -1, axis=1)
+    return np.where(alive, np.abs((x * w - u * y).sum(axis=1)) / 2, 0.0)
 
 
 def with_clip_area(df: DataFrame, geom: str, box: str, name: str = "overlap_m2") -> DataFrame:
@@ -282,7 +358,7 @@ def simplify(df: DataFrame, tolerance: float, geom: str = "geometry") -> DataFra
         return pd.Series([one(p, n) for p, n in zip(xy, sizes)])
 
     g = F.col(geom)
-    thinned = df.withColumn("__rings", run(*_flat(g["rings"])))
+    thinned = spread(df).withColumn("__rings", run(*_flat(g["rings"])))
     return thinned.withColumn(geom, geo.geometry(g["type"], F.col("__rings"), g["part"], g["hole"])).drop("__rings")
 
 
@@ -438,7 +514,7 @@ def bucket_pieces(df: DataFrame, keys: list[str], bucket: float, planar: bool =
     that a huge outline becomes many tasks. ``filled`` tells that a piece covers its whole bucket.
     """
     flat = df if "xy" in df.columns else flat_polygons(df.select(*keys, "geometry"))
-    flat = flat.select(*keys, "xy", "size")
+    flat = spread(flat.select(*keys, "xy", "size"))
     if _largest_span(flat, bucket) > 16 * fanout**2:
         coarse = _cut(flat, keys, bucket * fanout, origin, planar)
         flat = coarse.repartition(*keys, "bx", "by").select(*keys, "xy", "size")
@@ -524,22 +600,26 @@ def union_area(df: DataFrame, keys: list[str], bucket: float = 0.01) -> DataFram
 
 @pandas_udf(_PART)
 def _parts(kind: pd.Series, xy: pd.Series, sizes: pd.Series, part: pd.Series) -> pd.Series:
-    def one(k, points, n, numbers):
-        if k not in ("Polygon", "MultiPolygon"):
-            return []
+    rows = []
+    for k, points, n, numbers in zip(kind, xy, sizes, part):
         by_part: dict[int, list[np.ndarray]] = {}
-        for ring, number in zip(_split(points, n), numbers):
+        for ring, number in zip(_split(points, n), numbers) if k in ("Polygon", "MultiPolygon") else ():
             if len(ring) >= 3:
                 by_part.setdefault(int(number), []).append(_closed(ring))
+        rows.append(by_part)
+    crossing = iter(_rings_crossing([r for by_part in rows for rings in by_part.values() for r in rings]).tolist())
+
+    def one(by_part):
         result = []
         for rings in by_part.values():
-            crossing = any(_ring_crosses(r) for r in rings)
-            for p in ([[t] for t in union_trapezoids([rings])] if crossing else [rings]):
+            # every ring takes its own answer
+            crosses = any([next(crossing) for _ in rings])
+            for p in ([[t] for t in union_trapezoids([rings])] if crosses else [rings]):
                 if _ring_area(p[0], False) > 0:
                     result.append({"xy": np.concatenate(p).ravel(), "size": [len(r) for r in p]})
         return result
 
-    return pd.Series([one(*row) for row in zip(kind, xy, sizes, part)])
+    return pd.Series([one(by_part) for by_part in rows])
 
 
 def polygonal_parts(df: DataFrame, geom: str = "geometry") -> DataFrame:
@@ -550,7 +630,7 @@ def polygonal_parts(df: DataFrame, geom: str = "geometry") -> DataFrame:
     g = F.col(geom)
     others = [c for c in df.columns if c != geom]
     xy, size = _flat(g["rings"])
-    found = df.withColumn("__p", _parts(g["type"], xy, size, g["part"]))
+    found = spread(df).withColumn("__p", _parts(g["type"], xy, size, g["part"]))
     return _exploded(found, others, "__p").select(*others, "p.xy", "p.size")
 
 

@@ -298,6 +298,7 @@ def unpivot(source: str, rules: dict[str, str]) -> str:
 @query("v1_geometry_rules", "v_labels", sql="SELECT extent_id, extent_id % 9 = 0 AS off_range, extent_id % 7 = 0 AS crossing FROM v_labels")
 def v1(v):
     from hydrolens.functions import geo
+    from hydrolens.operators.polygons import spread
 
     i = F.col("extent_id")
     shift = F.when(i % 9 == 0, 100.0).otherwise(0.0)
@@ -310,7 +311,7 @@ def v1(v):
     square = F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1), p(x0, y0))
     bow = F.array(p(x0, y0), p(x1, y1), p(x1, y0), p(x0, y1), p(x0, y0))
     g = geo.geometry(F.lit("Polygon"), F.array(F.when(i % 7 == 0, bow).otherwise(square)), F.array(F.lit(0)), F.array(F.lit(False)))
-    marked = V.flagged(v.v_labels.withColumn("geometry", g), V.geometry_rules())
+    marked = V.flagged(spread(v.v_labels).withColumn("geometry", g), V.geometry_rules())
     return marked.select(
         "extent_id", F.array_contains("violations", "coordinates must be longitude [-180, 180] and latitude [-90, 90]").alias("off_range"),
         F.array_contains("violations", "geometry intersects itself").alias("crossing"),
