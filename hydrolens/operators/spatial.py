@@ -108,7 +108,9 @@ def box_overlaps(cells: DataFrame, extents: DataFrame, key: str = "cell_id", kee
 def polygon_overlaps(cells: DataFrame, extents: DataFrame, key: str = "cell_id", keep: Sequence[str] = (), bucket_deg: float = 0.02) -> DataFrame:
     """As ``box_overlaps`` for polygonal extents: the part of each polygon inside the cell box."""
     # as in ``spatial_join``, polygons that are boxes never reach Python
-    told = extents.withColumn("__plain", F.coalesce(polygons.is_box("geometry") & ~F.get("geometry.hole", F.lit(0)), F.lit(False)))
+    plain_box = F.coalesce(polygons.is_box("geometry") & ~F.get("geometry.hole", F.lit(0)), F.lit(False))
+    # stored, so that the geometry is made once a row and not once for each of its uses
+    told = materialize(polygons.spread(extents.select("geometry", *keep)).withColumn("__plain", plain_box))
     plain = box_overlaps(cells, told.where("__plain").withColumn("bbox", F.col("geometry.bbox")), key, keep, bucket_deg)
     other = told.where("not __plain").select("geometry", F.col("geometry.bbox").alias("right_bbox"), *keep)
     pairs = bbox_join(cells.select(key, "bbox"), other, "bbox", "right_bbox", bucket_deg)
