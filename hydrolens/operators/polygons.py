@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -283,35 +284,86 @@ def _clip_area(xy: pd.Series, sizes: pd.Series, hole: pd.Series, x0: pd.Series,
     return pd.Series(np.maximum(0.0, total))
 
 
-def _clipped_areas(points: np.ndarray, boxes: np.ndarray) -> np.ndarray:
-    """``_clip_ring`` and its area for many open rings of one length, each with its own box.
+def _cut_side(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """``_half_plane`` of many open rings of one length: (points, which are not empty, which positions are crossings).
 
     A ring that loses positions repeats its last one, which changes neither the outline nor the area.
     """
+    inside = off >= 0
+    if inside.all():
+        return points, np.ones(len(points), dtype=bool), None
+    following, after = np.roll(points, -1, axis=1), np.roll(off, -1, axis=1)
+    crossing = inside != np.roll(inside, -1, axis=1)
+    gap = np.where(crossing, off - after, 1.0)
+    both = np.empty((len(points), 2 * points.shape[1], 2))
+    both[:, 0::2] = points
+    both[:, 1::2] = points + (following - points) * (off / gap)[:, :, None]
+    keep = np.empty(both.shape[:2], dtype=bool)
+    keep[:, 0::2], keep[:, 1::2] = inside, crossing
+    counts = keep.sum(axis=1)
+    # kept positions first, in order; then the last of them again
+    order = np.argsort(~keep, axis=1, kind="stable")[:, :max(1, counts.max())]
+    place = np.minimum(np.arange(order.shape[1])[None, :], np.maximum(counts - 1, 0)[:, None])
+    at = np.take_along_axis(order, place, axis=1)
+    return np.take_along_axis(both, at[:, :, None], axis=1), counts > 0, at % 2 == 1
+
+
+def _clip_many(points: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_clip_ring`` of many open rings of one length, each with its own box, and which are not empty. Crossings lie on the border exactly."""
     alive = np.ones(len(points), dtype=bool)
     for axis, side, sign in ((0, 0, 1), (0, 2, -1), (1, 1, 1), (1, 3, -1)):
-        off = sign * (points[:, :, axis] - boxes[:, side][:, None])
-        inside = off >= 0
-        if inside.all():
-            continue
-        following, after = np.roll(points, -1, axis=1), np.roll(off, -1, axis=1)
-        crossing = inside != np.roll(inside, -1, axis=1)
-        gap = np.where(crossing, off - after, 1.0)
-        both = np.empty((len(points), 2 * points.shape[1], 2))
-        both[:, 0::2] = points
-        both[:, 1::2] = points + (following - points) * (off / gap)[:, :, None]
-        keep = np.empty(both.shape[:2], dtype=bool)
-        keep[:, 0::2], keep[:, 1::2] = inside, crossing
-        counts = keep.sum(axis=1)
-        alive &= counts > 0
-        # kept positions first, in order; then the last of them again
-        order = np.argsort(~keep, axis=1, kind="stable")[:, :max(1, counts.max())]
-        place = np.minimum(np.arange(order.shape[1])[None, :], np.maximum(counts - 1, 0)[:, None])
-        points = np.take_along_axis(both, np.take_along_axis(order, place, axis=1)[:, :, None], axis=1)
-    flat = _equal_area(points.reshape(-1, 2)).reshape(points.shape)
+        limit = boxes[:, side][:, None]
+        points, some, crossed = _cut_side(points, sign * (points[:, :, axis] - limit))
+        alive &= some
+        if crossed is not None:
+            points[:, :, axis] = np.where(crossed, limit, points[:, :, axis])
+    return points, alive
+
+
+def _areas(points: np.ndarray, planar: bool) -> np.ndarray:
+    """``_ring_area`` of many open rings of one length."""
+    flat = points if planar else _equal_area(points.reshape(-1, 2)).reshape(points.shape)
     flat = flat - flat[:, :1]
     x, y, u, w = flat[:, :, 0], flat[:, :, 1], np.roll(flat[:, :, 0], -1, axis=1), np.roll(flat[:, :, 1], -1, axis=1)
-    return np.where(alive, np.abs((x * w - u * y).sum(axis=1)) / 2, 0.0)
+    return np.abs((x * w - u * y).sum(axis=1)) / 2
+
+
+def _clipped_areas(points: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """``_clip_ring`` and its area for many open rings of one length, each with its own box."""
+    points, alive = _clip_many(points, boxes)
+    return np.where(alive, _areas(points, False), 0.0)
+
+
+def _rings_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat values, positions a ring) of the closed rings of many open ones, without repeated positions."""
+    fresh = (points != np.roll(points, -1, axis=1)).any(axis=2)
+    counts = fresh.sum(axis=1)
+    order = np.argsort(~fresh, axis=1, kind="stable")
+    place = np.arange(points.shape[1] + 1)[None, :]
+    at = np.take_along_axis(order, np.where(place < counts[:, None], np.minimum(place, points.shape[1] - 1), 0), axis=1)
+    return np.take_along_axis(points, at[:, :, None], axis=1)[place <= counts[:, None]], counts + 1
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def _flat_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list]:
+    """(all positions, first position of a row, positions of an open plain row or 0, flat values, ring sizes). A row is plain if it is one short ring
+    of finite positions."""
+    xy, size = batch.column("xy"), batch.column("size")
+    lengths = xy.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    points = xy.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2)
+    first = np.cumsum(lengths) - lengths
+    rings = size.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    count = np.where((rings == 1) & (lengths >= 3) & (lengths <= _SHORT), lengths, 0)
+    broken = np.concatenate([[0], np.cumsum(~np.isfinite(points).all(axis=1))])
+    count[broken[first + lengths] > broken[first]] = 0
+    plain = np.flatnonzero(count)
+    closed = (points[first[plain]] == points[first[plain] + count[plain] - 1]).all(axis=1)
+    count[plain] -= closed
+    return points, first, np.where(count >= 3, count, 0), xy, size
 
 
 def with_clip_area(df: DataFrame, geom: str, box: str, name: str = "overlap_m2") -> DataFrame:
@@ -453,7 +505,11 @@ def union_trapezoids(polygons: list[list[np.ndarray]]) -> list[np.ndarray]:
     return result
 
 
-def _pieces_udf(size: float, origin: tuple[float, float], planar: bool):
+#: Pairs of a ring and a bucket that are cut at a time.
+_PAIRS = 1 << 15
+
+
+def _cutter(keys: list[str], size: float, origin: tuple[float, float], planar: bool, share: float):
     ox, oy = origin
 
     def cells(rings: list[np.ndarray]):
@@ -475,12 +531,51 @@ def _pieces_udf(size: float, origin: tuple[float, float], planar: bool):
                 areas = [_ring_area(r, planar) for r in kept]
                 if areas and max(areas) > 0:
                     whole = (box[2] - box[0]) * (box[3] - box[1]) if planar else _ring_area(_box(box), False)
-                    filled = len(kept) == 1 and abs(areas[0] - whole) <= whole * 1e-9
-                    yield {"bx": bx, "by": by, "xy": np.concatenate(kept).ravel(), "size": [len(r) for r in kept], "filled": filled}
-
-    @pandas_udf(_PIECE)
-    def run(xy: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([list(cells(_split(p, n))) for p, n in zip(xy, sizes)])
+                    filled = len(kept) == 1 and abs(areas[0] - whole) <= whole * share
+                    yield bx, by, np.concatenate(kept).ravel(), [len(r) for r in kept], filled
+
+    def side_by_side(rows: np.ndarray, rings: np.ndarray):
+        """Pieces of open rings of one length: (rows, bx, by, flat values, ring sizes, filled), a block of pairs at a time."""
+        low = np.floor((rings.min(axis=1) - (ox, oy)) / size).astype(np.int64)
+        wide = np.floor((rings.max(axis=1) - (ox, oy)) / size).astype(np.int64) - low + 1
+        n = wide.prod(axis=1)
+        ends = np.cumsum(n)
+        for at in range(0, int(ends[-1]), _PAIRS):
+            pair = np.arange(at, min(at + _PAIRS, int(ends[-1])))
+            own = np.searchsorted(ends, pair, side="right")
+            step = pair - (ends[own] - n[own])
+            bx, by = low[own, 0] + step // wide[own, 1], low[own, 1] + step % wide[own, 1]
+            boxes = np.column_stack([bx * size + ox, by * size + oy, (bx + 1) * size + ox, (by + 1) * size + oy])
+            points, alive = _clip_many(rings[own], boxes)
+            area = np.where(alive, _areas(points, planar), 0.0)
+            some = np.flatnonzero(area > 0)
+            if not len(some):
+                continue
+            b = boxes[some]
+            corners = b[:, [0, 1, 2, 1, 2, 3, 0, 3]].reshape(-1, 4, 2)
+            whole = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) if planar else _areas(corners, False)
+            values, sizes = _rings_of(points[some])
+            yield rows[own[some]], bx[some], by[some], values.ravel(), sizes, np.abs(area[some] - whole) <= whole * share
+
+    def run(batches):
+        for batch in batches:
+            points, first, count, xy, size_ = _flat_rows(batch)
+
+            def piece(rows, bx, by, values, lengths, sizes, rings, filled):
+                return pa.RecordBatch.from_arrays([
+                    *[batch.column(k).take(pa.array(rows, pa.int64())) for k in keys], pa.array(bx, pa.int64()), pa.array(by, pa.int64()),
+                    _lists(values, lengths, pa.float64()), _lists(sizes, rings, pa.int32()), pa.array(filled, pa.bool_()),
+                ], names=[*keys, "bx", "by", "xy", "size", "filled"])
+
+            for n in np.unique(count[count > 0]):
+                rows = np.flatnonzero(count == n)
+                for own, bx, by, values, sizes, filled in side_by_side(rows, points[first[rows][:, None] + np.arange(n)]):
+                    yield piece(own, bx, by, values, 2 * sizes, sizes, np.ones(len(own), dtype=int), filled)
+            for row in np.flatnonzero(count == 0):
+                found = list(cells(_split(xy[row].as_py(), size_[row].as_py())))
+                if found:
+                    bx, by, values, sizes, filled = zip(*found)
+                    yield piece([row] * len(found), bx, by, np.concatenate(values), [len(v) for v in values], np.concatenate(sizes), [len(z) for z in sizes], filled)
 
     return run
 
@@ -490,20 +585,29 @@ def _box(box) -> np.ndarray:
     return np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)])
 
 
-def _cut(df: DataFrame, keys: list[str], size: float, origin: tuple[float, float], planar: bool) -> DataFrame:
-    """(keys, bx, by, xy, size, filled): every flat polygon cut to each grid bucket it meets."""
-    cut = df.withColumn("__p", _pieces_udf(size, origin, planar)("xy", "size"))
-    return _exploded(cut, keys, "__p").select(*keys, "p.bx", "p.by", "p.xy", "p.size", "p.filled")
+def _fields(df: DataFrame, keys: list[str], *more: T.StructField) -> T.StructType:
+    return T.StructType([*[df.schema[k] for k in keys], *more])
+
+
+def _cut(df: DataFrame, keys: list[str], size: float, origin: tuple[float, float], planar: bool, share: float = 1e-9) -> DataFrame:
+    """(keys, bx, by, xy, size, filled): every flat polygon cut to each grid bucket it meets. ``share`` of a bucket may be lacking where it is filled."""
+    return df.select(*keys, "xy", "size").mapInArrow(_cutter(keys, size, origin, planar, share), _fields(df, keys, *_PIECE.elementType.fields))
 
 
-def _largest_span(flat: DataFrame, bucket: float) -> float:
+def _largest_span(df: DataFrame, bucket: float) -> float:
     """Most buckets that one polygon's box meets."""
 
-    def extent(offset: int) -> Column:
+    def along(offset: int) -> Column:
         axis = F.filter("xy", lambda _, i: i % 2 == offset)
-        return F.ceil((F.array_max(axis) - F.array_min(axis)) / bucket) + 1
+        return F.array_max(axis) - F.array_min(axis)
 
-    return flat.where(F.size("size") > 0).agg(F.max(extent(0) * extent(1))).first()[0] or 0
+    if "xy" in df.columns:
+        wide = [along(0), along(1)]
+        df = df.where(F.size("size") > 0)
+    else:
+        wide = [F.col(f"geometry.bbox.{a}max") - F.col(f"geometry.bbox.{a}min") for a in "xy"]
+    x, y = (F.ceil(w / bucket) + 1 for w in wide)
+    return df.agg(F.max(x * y)).first()[0] or 0
 
 
 def bucket_pieces(df: DataFrame, keys: list[str], bucket: float, planar: bool = False,
@@ -511,15 +615,27 @@ def bucket_pieces(df: DataFrame, keys: list[str], bucket: float, planar: bool =
     """Every polygon cut to each grid bucket it meets, exact copies dropped.
 
     When some outline meets very many buckets, all are cut to coarse buckets first and shuffled by them, so
-    that a huge outline becomes many tasks. ``filled`` tells that a piece covers its whole bucket.
+    that a huge outline becomes many tasks; a coarse bucket that a piece fills is taken apart without cutting.
+    ``filled`` tells that a piece covers its whole bucket.
     """
-    flat = df if "xy" in df.columns else flat_polygons(df.select(*keys, "geometry"))
-    flat = spread(flat.select(*keys, "xy", "size"))
-    if _largest_span(flat, bucket) > 16 * fanout**2:
-        coarse = _cut(flat, keys, bucket * fanout, origin, planar)
-        flat = coarse.repartition(*keys, "bx", "by").select(*keys, "xy", "size")
-    fine = _cut(flat, keys, bucket, origin, planar)
-    return fine.dropDuplicates([*keys, "bx", "by", "xy", "size"])
+    far = _largest_span(df, bucket) > 16 * fanout**2
+    flat = spread((df if "xy" in df.columns else flat_polygons(df.select(*keys, "geometry"))).select(*keys, "xy", "size"))
+    inner = None
+    if far:
+        # a piece may lack as much of a coarse bucket as of a fine one
+        coarse = materialize(_cut(flat, keys, bucket * fanout, origin, planar, 1e-9 / fanout**2))
+        filled = coarse.where("filled").select(*keys, "bx", "by").distinct()
+
+        def inside(c: str) -> Column:
+            return F.explode(F.sequence(F.col(c) * fanout, F.col(c) * fanout + fanout - 1)).alias(c)
+
+        squares = spread(filled).select(*keys, inside("bx"), "by").select(*keys, "bx", inside("by"))
+        x0, y0, x1, y1 = (F.col(c) * bucket + o if not k else (F.col(c) + 1) * bucket + o for k in (0, 1) for c, o in (("bx", origin[0]), ("by", origin[1])))
+        inner = squares.select(*keys, "bx", "by", F.array(x0, y0, x1, y0, x1, y1, x0, y1, x0, y0).alias("xy"), F.array(F.lit(5)).alias("size"), F.lit(True).alias("filled"))
+        flat = coarse.where("not filled").repartition(*keys, "bx", "by").select(*keys, "xy", "size")
+    fine = _cut(flat, keys, bucket, origin, planar).dropDuplicates([*keys, "bx", "by", "xy", "size"])
+    # squares of a filled coarse bucket are no copies of each other, but may be of pieces beside them
+    return fine if inner is None else fine.unionByName(inner)
 
 
 def _unite_udf(planar: bool):
@@ -548,6 +664,56 @@ def _united(df: DataFrame, group: list[str], planar: bool) -> DataFrame:
     )
 
 
+def _convex_many(points: np.ndarray) -> np.ndarray:
+    """``_convex`` of many open rings of one length: 1 if counter-clockwise, -1 if clockwise, 0 if not convex."""
+    turn = _cross(points, np.roll(points, -1, axis=1), np.roll(points, -2, axis=1))
+    way = np.sign(np.roll(points[:, :, 0], -1, axis=1) - points[:, :, 0])
+    last, changes = np.zeros(len(points)), np.zeros(len(points), dtype=int)
+    for turns in (0, 1):
+        # the first round finds the last way of each ring
+        for i in range(way.shape[1]):
+            moved = way[:, i] != 0
+            if turns:
+                changes += moved & (way[:, i] != last)
+            last = np.where(moved, way[:, i], last)
+    left, right = (turn >= 0).all(axis=1), (turn <= 0).all(axis=1)
+    return np.where(changes > 2, 0, np.where(left, 1, np.where(right, -1, 0)))
+
+
+def _alone(df: DataFrame, group: list[str], planar: bool) -> DataFrame:
+    """As ``_united`` for groups of one polygon, which need not be gathered; short convex rings are told side by side."""
+
+    def run(batches):
+        for batch in batches:
+            points, first, count, xy, size = _flat_rows(batch)
+
+            def piece(rows, values, lengths, areas):
+                return pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(pa.array(rows, pa.int64())) for k in group], _lists(values, lengths, pa.float64()), pa.array(areas, pa.float64())],
+                    names=[*group, "xy", "area_m2"])
+
+            open_ = count == 0
+            for n in np.unique(count[count > 0]):
+                rows = np.flatnonzero(count == n)
+                rings = points[first[rows][:, None] + np.arange(n)]
+                way = _convex_many(rings)
+                open_[rows[way == 0]] = True
+                closed = np.concatenate([rings, rings[:, :1]], axis=1)
+                closed[way < 0] = closed[way < 0][:, ::-1]
+                area = _areas(rings, planar)
+                good = (way != 0) & (area > 0)
+                if good.any():
+                    yield piece(rows[good], closed[good].ravel(), np.full(good.sum(), 2 * n + 2), area[good])
+            for row in np.flatnonzero(open_):
+                pieces = [(t, _ring_area(t, planar)) for t in union_trapezoids([_split(xy[row].as_py(), size[row].as_py())])]
+                pieces = [(t, a) for t, a in pieces if a > 0]
+                if pieces:
+                    yield piece([row] * len(pieces), np.concatenate([t.ravel() for t, _ in pieces]), [t.size for t, _ in pieces], [a for _, a in pieces])
+
+    result = _fields(df, group, T.StructField("xy", _XY), T.StructField("area_m2", T.DoubleType()))
+    return df.select(*group, "xy", "size").mapInArrow(run, result)
+
+
 def _whole(df: DataFrame, group: list[str], size: float, origin: tuple[float, float], planar: bool, x: str, y: str) -> DataFrame:
     x0, y0 = F.col(x) * size + origin[0], F.col(y) * size + origin[1]
     x1, y1 = (F.col(x) + 1) * size + origin[0], (F.col(y) + 1) * size + origin[1]
@@ -576,13 +742,14 @@ def dissolve(df: DataFrame, keys: list[str], bucket: float = 0.01, crowd: int =
     for level in range(levels):
         # the pieces of a level are read several times, so they are cut once
         rows = materialize(rows)
-        counts = rows.groupBy(*inner).agg(F.sum(F.size("xy") / 2).alias("__n"), F.bool_or("filled").alias("__full"))
+        counts = rows.groupBy(*inner).agg(F.sum(F.size("xy") / 2).alias("__n"), F.bool_or("filled").alias("__full"), F.count(F.lit(1)).alias("__k"))
         last = level == levels - 1
         whole = _whole(counts.where("__full"), inner, size, origin, planar, "bx", "by")
-        busy = counts.where(~F.col("__full")).select(*inner, (F.lit(not last) & (F.col("__n") > crowd)).alias("__crowded"))
+        busy = counts.where(~F.col("__full")).select(*inner, (F.lit(not last) & (F.col("__n") > crowd)).alias("__crowded"), "__k")
         told = rows.join(busy, inner)
-        calm = _united(told.where("not __crowded"), inner, planar)
-        part = whole.select(*home).unionByName(calm.select(*home))
+        calm = _united(told.where("not __crowded and __k > 1"), inner, planar)
+        alone = _alone(told.where("not __crowded and __k = 1"), inner, planar)
+        part = whole.select(*home).unionByName(calm.select(*home)).unionByName(alone.select(*home))
         result = part if result is None else result.unionByName(part)
         crowded = told.where("__crowded").select(*held, "xy", "size")
         # one row tells whether another level is needed
@@ -637,30 +804,30 @@ def polygonal_parts(df: DataFrame, geom: str = "geometry") -> DataFrame:
 # --- general clipping to a boundary --------------------------------------------------------
 
 
-def _convex_clip(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Ring cut by a counter-clockwise convex ring."""
-    points = _closed(subject)[:-1]
-    win = _closed(window)[:-1]
-    for a, b in zip(win, np.roll(win, -1, axis=0)):
-        if len(points) == 0:
-            break
-        if (a == b).all():
-            continue
-        points = _half_plane(points, (b[0] - a[0]) * (points[:, 1] - a[1]) - (b[1] - a[1]) * (points[:, 0] - a[0]))
-    return points
-
-
 @pandas_udf(T.StructType([T.StructField("xy", _XY), T.StructField("area", T.DoubleType())]))
 def _meet(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    def one(p, q):
-        piece = _convex_clip(np.asarray(p, dtype=float).reshape(-1, 2), np.asarray(q, dtype=float).reshape(-1, 2))
-        if len(piece) < 3:
-            return np.empty(0), 0.0
-        ring = _closed(piece)
-        return ring.ravel(), _ring_area(ring, False)
-
-    rows = [one(p, q) for p, q in zip(a, b)]
-    return pd.DataFrame({"xy": [r[0] for r in rows], "area": [r[1] for r in rows]})
+    """Rings cut by counter-clockwise convex rings, those of equal lengths side by side, and their areas."""
+    def opened(p):
+        return _closed(np.asarray(p, dtype=float).reshape(-1, 2))[:-1]
+
+    left, right = [opened(p) for p in a], [opened(q) for q in b]
+    pieces, areas = [np.empty(0)] * len(left), np.zeros(len(left))
+    lengths = np.array([(len(p), len(q)) for p, q in zip(left, right)], dtype=int).reshape(-1, 2)
+    for n, m in np.unique(lengths[(lengths > 0).all(axis=1)], axis=0):
+        which = np.flatnonzero((lengths == (n, m)).all(axis=1))
+        points, window = np.stack([left[i] for i in which]), np.stack([right[i] for i in which])
+        alive = np.ones(len(which), dtype=bool)
+        for i in range(m):
+            c, d = window[:, i, None], window[:, (i + 1) % m, None]
+            side = (d[..., 0] - c[..., 0]) * (points[:, :, 1] - c[..., 1]) - (d[..., 1] - c[..., 1]) * (points[:, :, 0] - c[..., 0])
+            points, some, _ = _cut_side(points, side)
+            alive &= some
+        values, sizes = _rings_of(points)
+        area = np.where(alive & (sizes > 3), _areas(points, False), 0.0)
+        for i, ring, own in zip(which, np.split(values, np.cumsum(sizes)[:-1]), area):
+            if own > 0:
+                pieces[i], areas[i] = ring.ravel(), own
+    return pd.DataFrame({"xy": pieces, "area": areas})
 
 
 def clip_to_boundary(df: DataFrame, boundary: DataFrame, keys: list[str], bucket: float = 0.01) -> DataFrame:
