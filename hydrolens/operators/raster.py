@@ -265,7 +265,8 @@ def mask_pixels(pixels: DataFrame, water: DataFrame, hand: DataFrame, occurrence
 def flood_frequency(pixels: DataFrame, keys: Sequence[str] = ("px_row", "px_col")) -> DataFrame:
     """Number of events that flooded each pixel outside permanent water; pixels never flooded are dropped."""
     wet = (F.col("flooded") == 1) & (F.coalesce(F.col("permanent_water"), F.lit(0)) != 1)
-    return pixels.where(wet).groupBy(*keys).agg(F.count(F.lit(1)).alias("event_count"))
+    # dealt out by pixel before any count is kept, so that no task that reads much holds a table of all its pixels
+    return pixels.where(wet).select(*keys).repartition(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("event_count"))
 
 
 # --- connected patches --------------------------------------------------------------------
