@@ -20,7 +20,11 @@ from hydrolens.session import materialize
 
 def ingest(messages: DataFrame, subscription: str | None = None) -> tuple[DataFrame, DataFrame]:
     """ST1: (valid readings, rejected messages with their violations) of a batch or stream."""
-    parsed = parse_readings(messages, subscription)
+    return checked(parse_readings(messages, subscription))
+
+
+def checked(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ingest`` for messages that are parsed already."""
     return validate.validate(parsed, {**validate.message_rules(), **validate.topic_rules()})
 
 
@@ -118,9 +122,10 @@ class IngestJob:
         return self.keys.read(days).where(F.col("batch_id") < batch_id)
 
     def process(self, messages: DataFrame, batch_id: int) -> None:
-        messages = materialize(messages)
-        valid, rejected = ingest(messages, self.subscription)
-        rejected = materialize(rejected)
+        # dealt out by content, since a file of few row groups is read by few tasks; every message is parsed once
+        dealt = messages.repartition(2 * self.spark.sparkContext.defaultParallelism, *[c for c in ("value", "topic") if c in messages.columns])
+        parsed = materialize(parse_readings(dealt, self.subscription))
+        valid, rejected = checked(parsed)
         observed = to_observations(valid, self.stations).withColumn("key_day", S.utc_day("observed_at"))
         fresh = materialize(dedupe_batch(observed))
         known = self._known_keys(fresh, batch_id)
@@ -131,7 +136,7 @@ class IngestJob:
         self._write(threshold_alerts(fresh), "alerts", batch_id)
         self._write(rejected.select("raw", "violations"), "rejects", batch_id)
         self._write(unknown, "quarantine", batch_id)
-        self._write(ingest_counters(messages, rejected, unknown, fresh), "counters", batch_id)
+        self._write(ingest_counters(parsed, rejected, unknown, fresh), "counters", batch_id)
         self._write(fresh.groupBy("station_id").agg(F.max("observed_at").alias("observed_at")), "seen", batch_id)
         # keys last: a batch counts as stored only when everything before it is
         keys = fresh.select("ingestion_key", "key_day", F.lit(batch_id).cast("bigint").alias("batch_id"))
