@@ -69,7 +69,7 @@ def test_filled_places_of_a_large_outline_are_not_cut(spark, monkeypatch):
 
 
 def test_frequency_deals_out_pixels_before_it_counts(spark):
-    px = spark.range(40).select((F.col("id") % 5).alias("px_row"), F.lit(1).alias("px_col"), (F.col("id") % 2).alias("flooded"), F.lit(None).cast("int").alias("permanent_water"))
+    px = spark.range(40).select((F.col("id") % 5).alias("px_row"), (F.col("id") % 5 + 1).alias("px_col"), (F.col("id") % 2).alias("flooded"), F.lit(None).cast("int").alias("permanent_water"))
     counted = raster.flood_frequency(px)
     assert {(r.px_row, r.event_count) for r in counted.collect()} == {(i, 4) for i in range(5)}
     plan = raster.flood_frequency(px)._jdf.queryExecution().executedPlan().toString()
