@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hydrolens.functions import geo
 from hydrolens.functions import scalars as S
-from hydrolens.operators import polygons
+from hydrolens.operators import outlines, polygons
 from hydrolens.session import materialize
 
 TILE = 256
@@ -105,8 +105,9 @@ def zonal_classes(pixels: DataFrame, keys: Sequence[str] = ("cell_id",), code: s
 
 def clip_pixels(pixels: DataFrame, boundary: DataFrame, x: str = "lon", y: str = "lat", bucket_deg: float = 0.01) -> DataFrame:
     """Pixels whose centre lies inside the boundary, through the boundary's disjoint pieces per grid bucket."""
-    pieces = polygons.dissolve(boundary.select(F.lit(1).alias("__b"), "geometry"), ["__b"], bucket_deg)
-    homes = pixels.withColumn("bx", F.floor(F.col(x) / bucket_deg).cast("bigint")).withColumn("by", F.floor(F.col(y) / bucket_deg).cast("bigint"))
+    pieces = outlines.boxed(polygons.dissolve(boundary.select(F.lit(1).alias("__b"), "geometry"), ["__b"], bucket_deg)).withColumn("__plain", outlines._is_box())
+    # the test costs far more a pixel than reading, and a file of few row groups is read by few tasks
+    homes = polygons.spread(pixels).withColumn("bx", F.floor(F.col(x) / bucket_deg).cast("bigint")).withColumn("by", F.floor(F.col(y) / bucket_deg).cast("bigint"))
     # half-open even-odd test, so a pixel on a shared side belongs to one piece only
     ends = "xy[2 * i] AS x0, xy[2 * i + 1] AS y0, xy[2 * i + 2] AS x1, xy[2 * i + 3] AS y1"
     ends = ", ".join(f"'{e.split(' AS ')[1]}', {e.split(' AS ')[0]}" for e in ends.split(", "))
@@ -114,7 +115,10 @@ def clip_pixels(pixels: DataFrame, boundary: DataFrame, x: str = "lon", y: str =
         f"aggregate(transform(sequence(0, size(xy) div 2 - 2), i -> named_struct({ends})), 0, (n, s) -> n + "
         f"if((s.y0 > {y}) != (s.y1 > {y}) AND {x} < s.x0 + ({y} - s.y0) * (s.x1 - s.x0) / (s.y1 - s.y0), 1, 0)) % 2 = 1"
     )
-    return homes.join(pieces.select("bx", "by", "xy"), ["bx", "by"]).where(F.expr(test)).select(*pixels.columns)
+    b = F.col("box")
+    in_box = (F.col(x) >= b["xmin"]) & (F.col(x) < b["xmax"]) & (F.col(y) >= b["ymin"]) & (F.col(y) < b["ymax"])  # the same for a box
+    held = F.when(F.col("__plain"), in_box).otherwise(F.expr(test))
+    return homes.join(pieces.select("bx", "by", "xy", "box", "__plain"), ["bx", "by"]).where(held).select(*pixels.columns)
 
 
 # --- neighbourhoods -----------------------------------------------------------------------

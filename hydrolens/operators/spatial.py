@@ -308,11 +308,12 @@ def distance_to_network(cells: DataFrame, segments: DataFrame, key: str = "cell_
     def project(x: str, y: str, tag: str, df: DataFrame) -> DataFrame:
         return df.withColumn(tag, geo.to_utm(x, y, zone))
 
-    p = project("x", "y", "u", cells.select(key, "x", "y")).select(key, F.col("u.x").alias("x"), F.col("u.y").alias("y"))
-    s = project("x2", "y2", "v", project("x1", "y1", "u", segments)).select(
+    # each side is projected once and stored: a later step would repeat the whole series for every use of a coordinate
+    p = materialize(project("x", "y", "u", polygons.spread(cells.select(key, "x", "y"))).select(key, F.col("u.x").alias("x"), F.col("u.y").alias("y")))
+    s = project("x2", "y2", "v", project("x1", "y1", "u", polygons.spread(segments.select("segment_id", "x1", "y1", "x2", "y2")))).select(
         F.lit("network").alias("kind"), "segment_id", F.col("u.x").alias("x1"), F.col("u.y").alias("y1"), F.col("v.x").alias("x2"), F.col("v.y").alias("y2")
     )
-    near = nearest_segments(p, s, "kind", key, base_m)
+    near = nearest_segments(p, materialize(s), "kind", key, base_m)
     return near.select(key, F.col("distance_deg").alias("distance_to_waterway_m"))  # units of the plane: metres
 
 
@@ -417,28 +418,19 @@ def square_grid(boundary: DataFrame, size_m: int = 500, zone: int = 46) -> DataF
     pieces = _grid_cut(boundary, size_m, zone)
     cells = pieces.groupBy("bx", "by").agg(F.sum("area_m2").alias("__m2"))
     size = float(size_m)
-    # every projected point is a column of its own, read several times but computed once
-    names = [f"__p{i}{j}" for i in (0, 1) for j in (0, 1)]
-    placed = cells.withColumns(
-        {
-            **{f"__p{i}{j}": geo.from_utm((F.col("bx") + i) * size, (F.col("by") + j) * size, zone) for i in (0, 1) for j in (0, 1)},
-            "__centre": geo.from_utm((F.col("bx") + 0.5) * size, (F.col("by") + 0.5) * size, zone),
-        }
+    # one row for each projected point, so that the series is written, and computed, once
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0), (0.5, 0.5))])
+    points = polygons.spread(cells).withColumn("__o", F.explode(offsets)).select(
+        "bx", "by", "__m2", (F.col("__o.i") == 0.5).alias("__mid"), geo.from_utm((F.col("bx") + F.col("__o.i")) * size, (F.col("by") + F.col("__o.j")) * size, zone).alias("__p")
+    )
+    corner, centre = F.when(~F.col("__mid"), F.col("__p")), F.when(F.col("__mid"), F.col("__p"))
+    placed = points.groupBy("bx", "by", "__m2").agg(
+        F.struct(F.min(corner["x"]).alias("xmin"), F.min(corner["y"]).alias("ymin"), F.max(corner["x"]).alias("xmax"), F.max(corner["y"]).alias("ymax")).alias("bbox"),
+        F.max(centre["x"]).alias("x"), F.max(centre["y"]).alias("y"),
     )
-
-    def edge(pick, axis: str) -> Column:
-        return pick(*[F.col(f"{n}.{axis}") for n in names])
-
     return placed.select(
-        F.col("bx").alias("grid_i"),
-        F.col("by").alias("grid_j"),
-        (F.col("__m2") / size**2).alias("coverage_fraction"),
-        F.col("__m2").alias("cell_area_m2"),
-        F.struct(
-            edge(F.least, "x").alias("xmin"), edge(F.least, "y").alias("ymin"), edge(F.greatest, "x").alias("xmax"), edge(F.greatest, "y").alias("ymax")
-        ).alias("bbox"),
-        F.col("__centre.x").alias("x"),
-        F.col("__centre.y").alias("y"),
+        F.col("bx").alias("grid_i"), F.col("by").alias("grid_j"), (F.col("__m2") / size**2).alias("coverage_fraction"), F.col("__m2").alias("cell_area_m2"),
+        "bbox", "x", "y",
     )
 
 

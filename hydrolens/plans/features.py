@@ -281,8 +281,10 @@ def build_terrain_grid(boundary: DataFrame, pixels: DataFrame, segments: DataFra
     """Grid, zonal elevation, network distance, percentile and relief."""
     grid = spatial.square_grid(boundary, size_m, zone).withColumn("cell_id", F.concat_ws(":", F.lit(dataset), "grid_i", "grid_j"))
     inside = raster.clip_pixels(pixels, boundary)
-    stats = raster.zonal_stats(raster.assign_cells(inside, size_m, zone), ["grid_i", "grid_j"])
-    cells = grid.join(stats.where(F.col("elevation_sample_count") > 0), ["grid_i", "grid_j"])
+    # stored, since a join on the indices would have their projection filtered for nulls at every pixel where pixels are read
+    stats = materialize(raster.zonal_stats(raster.assign_cells(inside, size_m, zone), ["grid_i", "grid_j"]))
+    # stored, so that the search projects plain columns instead of the expressions that the centres are made by
+    cells = materialize(polygons.spread(grid.join(stats.where(F.col("elevation_sample_count") > 0), ["grid_i", "grid_j"])))
     near = spatial.distance_to_network(cells, segments, "cell_id", zone)
     relief = S.relief("elevation_min_m", "elevation_max_m")
     full = cells.join(near, "cell_id", "left").withColumns(
