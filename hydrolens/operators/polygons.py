@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from hydrolens.functions import geo
 from hydrolens.operators.sweep import near_edges
@@ -398,16 +398,81 @@ def _simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
     return result if len(result) >= 4 else ring
 
 
+def _kept_side_by_side(points: np.ndarray, sizes: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices of many closed rings ``_simplified`` keeps. A pass splits every open stretch of every ring that still moves."""
+    last = np.cumsum(sizes) - 1
+    first = last - sizes + 1
+    home = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(points))
+
+    def farthest(value: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(largest value, its first position) of each stretch; stretches lie end to end."""
+        most = np.maximum.reduceat(value, begins)
+        at = np.where(value == np.repeat(most, lengths), np.arange(len(value)), len(value))
+        return most, np.minimum.reduceat(at, begins)
+
+    keep = np.zeros(len(points), dtype=bool)
+    _, far = farthest(np.hypot(*(points - points[first[home]]).T), first, sizes)
+    keep[first], keep[far], keep[last] = True, True, True
+    moving = np.ones(len(sizes), dtype=bool)
+    while moving.any():
+        # vertices between two kept ones of rings that changed in the last pass
+        left = np.maximum.accumulate(np.where(keep, place, 0))
+        right = np.minimum.accumulate(np.where(keep, place, len(points))[::-1])[::-1]
+        open_ = np.flatnonzero(~keep & moving[home])
+        if not len(open_):
+            break
+        a, span = points[left[open_]], points[right[open_]] - points[left[open_]]
+        length = np.hypot(*span.T)
+        rel = points[open_] - a
+        line = np.abs(rel[:, 0] * span[:, 1] - rel[:, 1] * span[:, 0])
+        gap = np.where(length > 0, line / np.where(length > 0, length, 1.0), np.hypot(*rel.T))
+        begins = np.flatnonzero(np.diff(left[open_], prepend=-1))
+        most, at = farthest(gap, begins, np.diff(np.append(begins, len(gap))))
+        split = open_[at[most > tolerance]]
+        keep[split] = True
+        moving = np.zeros(len(sizes), dtype=bool)
+        moving[home[split]] = True
+    few = np.add.reduceat(keep.astype(int), first) < 4
+    return keep | few[home]
+
+
+def _simplified_rows(xy: pa.Array, sizes: pa.Array, tolerance: float) -> pa.Array:
+    """Thinned rings of every row as lists of positions. Short rings of finite positions are thinned side by side, others one by one."""
+    counts = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    points = xy.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2)
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    broken = np.concatenate([[0], np.cumsum(~np.isfinite(points).all(axis=1))])
+    short = (counts > 0) & (counts <= _SHORT) & (broken[ends] == broken[begins])
+    # a ring is closed by its first vertex where it is open
+    closing = np.zeros(len(counts), dtype=bool)
+    closing[short] = (points[begins[short]] != points[ends[short] - 1]).any(axis=1)
+    lengths = np.where(short, counts + closing, 0)
+    if short.any():
+        step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        ring = np.repeat(np.arange(len(counts)), lengths)
+        closed = points[begins[ring] + np.where(step < counts[ring], step, 0)]
+        keep = _kept_side_by_side(closed, lengths[short], tolerance)
+        thin, kept = closed[keep], np.bincount(ring[keep], minlength=len(counts))
+    else:
+        thin, kept = points[:0], np.zeros(len(counts), dtype=np.int64)
+    if not short.all():
+        places = np.cumsum(kept) - kept
+        parts = [thin[p : p + k] if s else _simplified(_closed(points[b:e]), tolerance) for s, p, k, b, e in zip(short, places, kept, begins, ends)]
+        thin, kept = np.vstack(parts), np.array([len(p) for p in parts])
+    positions = pa.StructArray.from_arrays([pa.array(thin[:, 0]), pa.array(thin[:, 1])], names=["x", "y"])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32), pa.int32())
+    of_rows = pa.array(np.concatenate([[0], np.cumsum(sizes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32), pa.int32())
+    return pa.ListArray.from_arrays(of_rows, pa.ListArray.from_arrays(offsets, positions), mask=sizes.is_null())
+
+
 def simplify(df: DataFrame, tolerance: float, geom: str = "geometry") -> DataFrame:
     """Douglas-Peucker per ring; a ring that would fall below four positions stays as it is."""
 
-    @pandas_udf(geo.RINGS_TYPE)
-    def run(xy: pd.Series, sizes: pd.Series) -> pd.Series:
-        def one(p, n):
-            thin = [_simplified(_closed(r), tolerance) for r in _split(p, n)]
-            return [[{"x": x, "y": y} for x, y in r.tolist()] for r in thin]
-
-        return pd.Series([one(p, n) for p, n in zip(xy, sizes)])
+    @arrow_udf(geo.RINGS_TYPE)
+    def run(xy: pa.Array, sizes: pa.Array) -> pa.Array:
+        return _simplified_rows(xy, sizes, tolerance)
 
     g = F.col(geom)
     thinned = spread(df).withColumn("__rings", run(*_flat(g["rings"])))

@@ -75,3 +75,19 @@ def test_frequency_deals_out_pixels_before_it_counts(spark):
     plan = raster.flood_frequency(px)._jdf.queryExecution().executedPlan().toString()
     # the only exchange lies below both steps of the count
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.rindex("HashAggregate")
+
+
+def test_thinned_rings_equal_one_by_one():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    many = [r for r in rings(60)] + [np.round(rng.uniform(0, 3, (k, 2))) for k in (1, 2, 3, 9, 30, 200, 900)]
+    many += [np.vstack([r, r[:1]]) for r in many] + [np.array([[0, 0], [np.nan, 1], [1, 1], [1, 0], [0, 0.0]]), np.zeros((6, 2))]
+    rows = [many[i : i + 1 + i % 3] for i in range(0, len(many) - 2, 3)] + [[]]
+    xy = pa.array([[float(v) for r in row for v in r.ravel()] for row in rows], pa.list_(pa.float64()))
+    sizes = pa.array([[len(r) for r in row] for row in rows], pa.list_(pa.int32()))
+    for tolerance in (0.0, 0.05, 0.6):
+        found = polygons._simplified_rows(xy, sizes, tolerance).to_pylist()
+        wanted = [[polygons._simplified(polygons._closed(r), tolerance) for r in row] for row in rows]
+        for f, w in zip(found, wanted, strict=True):
+            assert all(np.array_equal([(p["x"], p["y"]) for p in a], b, equal_nan=True) for a, b in zip(f, w, strict=True))
