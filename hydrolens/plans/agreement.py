@@ -10,6 +10,7 @@ from hydrolens.operators.aggregates import ratio
 from hydrolens.operators.joins import pair_labels
 from hydrolens.plans import metrics as M
 from hydrolens.plans.training import score
+from hydrolens.session import materialize
 
 _PAIR = ["reference_event_id", "sar_event_id"]
 
@@ -50,9 +51,11 @@ def sar_validation(gfd: DataFrame, sar: DataFrame, mapping: DataFrame, artifact:
     cell of a paired event. Without satellite rows the status is ``awaiting_sar_labels`` and the frames are empty.
     """
     threshold = balanced_threshold(artifact)
-    pairs = agreement_pairs(
+    # both reports read the labels, so these are made, scored and paired once
+    sar = materialize(sar)
+    pairs = materialize(agreement_pairs(
         gfd.select("event_id", key, "flooded_fraction", "target_label"), sar.select("event_id", key, "flooded_fraction", "target_label"), mapping, key
-    )
+    ))
     scored = score(sar, artifact).select(
         F.col("event_id").alias("sar_event_id"), key, F.col("target_label").alias("label"), "probability",
         F.concat_ws(":", "event_id", F.col(key).cast("string")).alias("row_key"),
