@@ -2,7 +2,7 @@
 
 Vectors are dealt to shards of about ``SHARD`` rows by a hash of their id. Each shard builds its graph in one task over its distinct
 vectors and is stored as one row of flat arrays: ids, vectors, and per level a padded neighbour array. Queries travel in
-blocks to every shard, and the shard results are merged by exact distance, ties to the smaller id.
+blocks to every lot of a few shards, and the shard results are merged by exact distance, ties to the smaller id.
 
 Defined cases: rows with a null id, and null, empty or zero vectors or ones with null or non-finite components, take no part; equal vectors
 are one node that holds all its ids; repeated rows count once; vectors only meet those of their length; an empty table gives no rows.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SHARD, BLOCK = 2048, 512
+#: Shards of a lot at most, and lots that are made before a lot gets a second shard. A block of queries travels once to each lot.
+LOT, LOTS = 16, 64
 LINKS, BUILD, SEARCH, TOP = 12, 80, 96, 10
 
 
@@ -129,6 +131,17 @@ def index(rows: DataFrame, shards: int) -> DataFrame:
     return stored(dealt.groupBy("size", "shard").applyInPandas(make, "size int, shard int, start int, nodes binary, ids binary, x binary, links array<binary>"), "vector-index")
 
 
+def met(asked: DataFrame, indexed: DataFrame, shards: int) -> DataFrame:
+    """Each block of queries with each shard once.
+
+    Both sides are dealt out. Left to itself Spark takes the blocks for as small as they were before they were copied to every lot, and
+    would gather all copies, queries times lots, on the driver to broadcast them.
+    """
+    lots = min(shards, max(LOTS, -(-shards // LOT)))
+    copies = asked.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    return copies.join(indexed.withColumn("lot", F.pmod("shard", F.lit(lots))).hint("merge"), ["size", "lot"])
+
+
 def nearest(vectors: DataFrame, every: int = 100, top: int = TOP, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``."""
     rows = stored(usable(vectors, key, vector), "vectors")
@@ -137,8 +150,7 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = TOP, key: str = "ve
     asking = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
     blocks = max(1, -(-asking.count() // BLOCK))
     asked = asking.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("size", "block").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    # Each block of queries meets each shard once.
-    work = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(indexed, ["size", "shard"]).select("size", "start", "nodes", "ids", "x", "links", "asked")
+    work = met(asked, indexed, shards).select("size", "start", "nodes", "ids", "x", "links", "asked")
 
     def run(frames):
         for frame in frames:
