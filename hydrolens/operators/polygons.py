@@ -811,7 +811,8 @@ def dissolve(df: DataFrame, keys: list[str], bucket: float = 0.01, crowd: int =
         last = level == levels - 1
         whole = _whole(counts.where("__full"), inner, size, origin, planar, "bx", "by")
         busy = counts.where(~F.col("__full")).select(*inner, (F.lit(not last) & (F.col("__n") > crowd)).alias("__crowded"), "__k")
-        told = rows.join(busy, inner)
+        # Both sides are dealt out: squares that were made of one coarse bucket count as little as it to Spark, which would broadcast them all.
+        told = rows.where("not filled").join(busy.hint("merge"), inner)
         calm = _united(told.where("not __crowded and __k > 1"), inner, planar)
         alone = _alone(told.where("not __crowded and __k = 1"), inner, planar)
         part = whole.select(*home).unionByName(calm.select(*home)).unionByName(alone.select(*home))
